@@ -73,22 +73,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 ORACLES = {
     "op2_neardup": r"""
     WITH words AS (
-        SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+        SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
         FROM documents),
     sets AS (
         SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-            ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')) END) AS s
+            ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
         FROM words),
     base AS (SELECT doc_id, coalesce(len(s), 0)::BIGINT AS n FROM sets),
     grams AS (SELECT doc_id, md5_number_lower(g) AS g FROM (SELECT doc_id, unnest(s) AS g FROM sets)),
     pairs AS (
-        SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
     links AS (
-        SELECT a, b FROM pairs JOIN base x ON x.doc_id = a JOIN base y ON y.doc_id = b WHERE 100 * both >= 85 * (x.n + y.n - both)),
-    RECURSIVE_LINKS AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        SELECT a, b FROM pairs JOIN base x ON x.doc_id = a JOIN base y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+    sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
     reach(doc_id, r) AS (
         SELECT doc_id, doc_id FROM base
-        UNION SELECT l.b, reach.r FROM reach JOIN RECURSIVE_LINKS l ON l.a = reach.doc_id),
+        UNION SELECT l.b, reach.r FROM reach JOIN sides l ON l.a = reach.doc_id),
     comp AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
     SELECT base.doc_id, n AS n_shingles, component_id, base.doc_id = component_id AS kept FROM base JOIN comp USING (doc_id)""".replace("WITH words", "WITH RECURSIVE words", 1),
     "op4_licenses": licenses.oracle(),
@@ -98,7 +98,7 @@ ORACLES = {
     lines AS (
         SELECT owner, text, string_split(text, chr(10)) AS l FROM texts),
     named AS (
-        SELECT owner, text, l, list_transform(l, x -> len(regexp_extract_all(x, '\S+'))) AS w FROM lines),
+        SELECT owner, text, l, list_transform(l, lambda x: len(regexp_extract_all(x, '\S+'))) AS w FROM lines),
     runs AS (
         SELECT owner, i, j, md5(array_to_string(l[i:j], chr(10))) AS run, j - i + 1 AS size
         FROM (SELECT owner, l, w, i, unnest(range(i, len(l) + 1)) AS j FROM (SELECT owner, l, w, unnest(range(1, len(l) + 1)) AS i FROM named))
@@ -111,14 +111,14 @@ ORACLES = {
         SELECT d.doc_id, n.l, d.text, n.owner = d.doc_id OR list_sum(n.w) < 10 AS own, CASE WHEN n.owner = d.doc_id THEN coalesce(g.g, []) ELSE [] END AS g
         FROM documents d JOIN named n ON n.text = d.text LEFT JOIN gones g ON g.owner = n.owner)
     SELECT doc_id, len(l)::INTEGER AS n_lines, (CASE WHEN own THEN len(g) ELSE len(l) END)::INTEGER AS n_removed,
-        sha256(CASE WHEN own THEN array_to_string(list_transform(list_filter(range(1, len(l) + 1), i -> NOT list_contains(g, i)), i -> l[i]), chr(10)) ELSE '' END) AS text_sha256
+        sha256(CASE WHEN own THEN array_to_string(list_transform(list_filter(range(1, len(l) + 1), lambda i: NOT list_contains(g, i)), lambda i: l[i]), chr(10)) ELSE '' END) AS text_sha256
     FROM result""",
     "op7_topk": """
     WITH good AS (
-        SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
-        WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0),
+        SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
     scores AS (
-        SELECT q.vec_id AS query_id, r.vec_id, list_sum(list_transform(range(1, least(len(q.v), len(r.v)) + 1), i -> q.v[i] * r.v[i]))::BIGINT AS score
+        SELECT q.vec_id AS query_id, r.vec_id, list_sum(list_transform(range(1, least(len(q.v), len(r.v)) + 1), lambda i: q.v[i] * r.v[i]))::BIGINT AS score
         FROM good q JOIN good r ON q.vec_id % 50 = 0 AND q.vec_id <> r.vec_id),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scores)
     SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
