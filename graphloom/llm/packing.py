@@ -16,6 +16,7 @@ matches a range of ranks with a range of sequence numbers.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -24,54 +25,82 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import cut, global_index
 
-CACHE_ENTRIES = 500_000
-CACHE_CHARS = 64
+CACHE_ENTRIES = 600_000
+CACHE_CHARS = 48
+# Fixed value: how the tokenizer file cuts text, after composing (NFC) and lower-casing it.
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+WORD_END = "</w>"
 # str.split() also cuts at these four, which the tokenizer doesn't see as white space
 ODD = "\x1c\x1d\x1e\x1f"
-BLANKS = re.compile(r"[ \t\n\r\v\f\x85\xa0]+")
+# str.lower() looks at the neighbours of sigma, the tokenizer doesn't; beyond the first plane the two know
+# different versions of Unicode
+OTHER = re.compile("[\u03a3\U00010000-\U0010ffff]")
 
 
 class WordTokenizer:
-    """Ids as the tokenizer file gives them, as bytes of little-endian 32-bit numbers.  Its
-    tokens never span white space, so ids are kept for each chunk between blanks."""
+    """Ids as the tokenizer file gives them, as bytes of little-endian 32-bit numbers.
+
+    Tokens never span white space nor two pieces, so ids are kept for each chunk between blanks and for
+    each piece.  Pieces that are new go through the tokenizer together, a blank between them; the token
+    that ends a word ends the piece."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith(WORD_END)
 
-    def _ids(self, text: str) -> bytes:
+    def plain(self, text: str) -> bytes:
+        """By the tokenizer alone."""
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return self._ids(text)
-        odd = any(c in text for c in ODD)
-        chunks = BLANKS.split(text) if odd else text.split()
+        if not text.isascii() and (OTHER.search(text) or not unicodedata.is_normalized("NFC", text)):
+            return self.plain(text)
+        if "<|" in text and any(s in text for s in self.special) or any(c in text for c in ODD):
+            return self.plain(text)
+        chunks = text.lower().split()
         try:
-            return b"".join(map(self.known.__getitem__, chunks))
+            return b"".join(map(self.chunks.__getitem__, chunks))
         except KeyError:
-            pass
-        known = self.known
-        new = list(dict.fromkeys(c for c in chunks if c not in known))
-        local = {}
-        for c, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            ids = np.array(e.ids, "<u4").tobytes()
-            if len(c) <= CACHE_CHARS:
-                known[c] = ids
-            else:
-                local[c] = ids
-        out = b"".join([known.get(c) if c in known else local[c] for c in chunks])
+            return self._learn(chunks)
+
+    def _learn(self, chunks: list[str]) -> bytes:
+        known = self.chunks
+        new = {c: PIECES.findall(c) for c in dict.fromkeys(chunks) if c not in known}
+        fresh = list(dict.fromkeys(p for ps in new.values() for p in ps if p not in self.pieces))
+        local: dict[str, bytes] = {}
+        if fresh:
+            ids = np.array(self.tokenizer.encode(" ".join(fresh), add_special_tokens=False).ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(fresh):
+                data, ends = ids.tobytes(), (4 * stops).tolist()
+                local = dict(zip(fresh, (data[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+            else:  # a piece that the tokenizer cuts otherwise
+                local = {p: self.plain(p) for p in fresh}
+        pieces = self.pieces
+        out = {}
+        for c, ps in new.items():
+            out[c] = b"".join([pieces[p] if p in pieces else local[p] for p in ps])
+        result = b"".join([known[c] if c in known else out[c] for c in chunks])
         if len(known) > CACHE_ENTRIES:
             known.clear()
-        return out
+        if len(pieces) > CACHE_ENTRIES:
+            pieces.clear()
+        known.update((c, v) for c, v in out.items() if len(c) <= CACHE_CHARS)
+        pieces.update((p, v) for p, v in local.items() if len(p) <= CACHE_CHARS)
+        return result
 
 
 @lru_cache(maxsize=2)
