@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import cut
 
+LINKS_PER_TASK = 100_000
+
 
 def _state(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -21,6 +23,8 @@ def components(links: DataFrame) -> DataFrame:
         links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
     before = _state(edges)
+    # as many partitions as the links need: few links take few tasks and shuffle next to nothing
+    edges = edges.coalesce(max(1, -(-before[0] // LINKS_PER_TASK)))
     while before[0]:
         # large star: each node hands its larger neighbours the least of its neighbourhood
         both = edges.union(edges.select(F.col("b"), F.col("a")))

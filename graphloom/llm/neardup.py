@@ -1,15 +1,17 @@
 """Operator 2: near-duplicates by MinHash bands and sequential Bayesian verification.
 
 1. Texts with the same set of shingles form a class, named by a digest of the set.
-2. Classes meet in buckets of signature bands (24 of 5 rows: a pair at similarity 0.85 shares
-   none with odds of 1e-6, at 0.8 of 1e-4 - the pipeline's stage takes 40 bands for 3e-7).
-3. A bucket never emits all its pairs.  In rounds, its smallest members (1, 4, 16, ...) are
-   compared with the others; links join classes into components; buckets whose members share a
-   component are settled, and members that were compared leave.  Rounds end when no bucket is
-   open, so every pair of a bucket was compared or is connected already.
-4. A pair's signatures are compared 16 values at a time; it goes when the posterior odds of
+2. Classes meet in buckets of signature bands (24 of 5 rows: a pair at similarity 0.85 shares none
+   with odds of 1e-6; the pipeline's stage takes 40 bands, which give 1e-7 at 0.8).
+3. A bucket's smallest members (1, 8, 64, ... as the rounds go) are its hubs.
+   Kernels compare members with hubs, so pairs never become rows unless they look similar: signatures (low bytes
+   of 384 minima) are compared a batch at a time and a pair goes when the posterior odds of
    reaching the threshold (uniform prior) fall under ``MISS``.
-5. What survives is verified on the full sets.
+4. What survives is verified on the full sets, and links join classes into components.
+5. Buckets whose members share a component are settled; hubs, which met everyone, leave.  Rounds
+   end when no bucket is open, so every pair of a bucket was compared or is connected already.
+
+A large bucket is dealt over tasks by a salt; its hubs go to each of them.
 """
 
 from __future__ import annotations
@@ -26,61 +28,134 @@ from graphloom.llm.common import cut
 from graphloom.llm.components import components
 from graphloom.llm.shingles import MinHash, band_keys, set_key, shingle_list, shingle_lists
 
-MISS = 1e-6
-BATCH = 16
+MISS = 1e-5
+BATCH = 32
+HASHES = 384
+GROWTH = 8
+SALT_ROWS = 4096
+PAIRS = 200_000
 
 
 def least_matches(threshold: float, hashes: int, miss: float) -> list[tuple[int, int]]:
-    """After n compared values, the least number of matches that keeps a pair.  With a uniform
-    prior, the posterior odds of similarity >= t after m matches of n are P(Bin(n+1, t) <= m)."""
+    """After n compared values, the least number of matches that keeps a pair.  With a uniform prior,
+    the posterior odds of similarity >= t after m matches of n are P(Bin(n+1, t) <= m).  Bytes
+    also agree by chance, which lifts the threshold."""
+    t = threshold + (1 - threshold) / 256
     out = []
     for n in range(BATCH, hashes + 1, BATCH):
         total, m = 0.0, -1
         while total < miss:
             m += 1
-            total += math.comb(n + 1, m) * threshold**m * (1 - threshold) ** (n + 1 - m)
+            total += math.exp(math.lgamma(n + 2) - math.lgamma(m + 1) - math.lgamma(n + 2 - m) + m * math.log(t) + (n + 1 - m) * math.log1p(-t))
         out.append((n, m))
     return out
 
 
-def _fingerprints(df: DataFrame, kind: str, shingle: int, bands: int, rows: int, hashes: int) -> DataFrame:
-    schema = pa.schema([("n", pa.int64()), ("node", pa.binary()), ("sig", pa.binary()), ("bands", pa.list_(pa.int64()))])
+def _fingerprints(df: DataFrame, kind: str, shingle: int, bands: int, rows: int) -> DataFrame:
+    """``id, n, node, sig, heads, bands``: size and digest of the set, low bytes of the minima, band keys (and
+    32 bits of each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family = MinHash(hashes)
+        family = MinHash(max(HASHES, bands * rows))
         for b in batches:
-            texts = [(t or "").encode() for t in b.column(1).to_pylist()]
-            for lo in range(0, len(texts), 512):
-                lists = shingle_lists(texts[lo : lo + 512], shingle)
-                sigs = family.signatures(lists)
-                keys = band_keys(sigs, bands, rows)
+            for lo in range(0, b.num_rows, 512):
+                part = b.slice(lo, 512)
+                lists = shingle_lists([(t or "").encode() for t in part.column(1).to_pylist()], shingle)
+                minima = family.signatures(lists)
+                keys = band_keys(minima, bands, rows)
                 sets = [np.unique(x) for x in lists]
-                part = [
+                low = minima[:, :HASHES].astype(np.uint8)
+                columns = [
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([set_key(s) for s in sets], pa.binary()),
-                    pa.array([s.tobytes() for s in sigs], pa.binary()),
+                    pa.array([s.tobytes() for s in low], pa.binary()),
+                    pa.array([k.astype(np.uint32).tobytes() for k in keys], pa.binary()),
                     pa.array(list(keys), pa.list_(pa.int64())),
                 ]
-                ids = b.column(0).slice(lo, len(sets))
-                yield pa.RecordBatch.from_arrays([ids, *part], names=["id", *schema.names])
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["id", "n", "node", "sig", "heads", "bands"])
 
-    return df.mapInArrow(run, f"id {kind}, n long, node binary, sig binary, bands array<long>")
+    return df.mapInArrow(run, f"id {kind}, n long, node binary, sig binary, heads binary, bands array<long>")
 
 
-def _promising(pairs: DataFrame, threshold: float, hashes: int) -> DataFrame:
-    """Pairs (``hub, node``) whose signatures don't rule them out."""
-    steps = least_matches(threshold, hashes, MISS)
+def _promising(met: DataFrame, threshold: float, first_only: bool) -> DataFrame:
+    """``hub, node`` of the pairs that signatures don't rule out.  ``met``: ``key, salt, member, band, node, comp,
+    sig, heads``, each (key, salt) with its hubs (member false) before its members.  If ``first_only``, a pair that
+    shares several bands comes from the first of them alone: its bucket there stays open until one of
+    the pair was a hub, or both are connected."""
+    steps = least_matches(threshold, HASHES, MISS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint32).reshape(-1, hashes) for i in (2, 3))
-            alive, matches, done = np.arange(len(x)), np.zeros(len(x), np.int64), 0
+        nodes: list[bytes] = []
+        comps: list[bytes] = []
+        sigs: list[bytes] = []
+        heads: list[bytes] = []
+        band_of: list[int] = []
+        left: list[np.ndarray] = []
+        right: list[np.ndarray] = []
+        waiting = 0
+        group, hubs, members = None, [], []
+
+        def close() -> None:
+            """Pairs of the group's hubs with the members met so far."""
+            nonlocal waiting, members
+            if hubs and members:
+                h, m = np.array(hubs), np.array(members)
+                left.append(np.repeat(h, len(m)))
+                right.append(np.tile(m, len(h)))
+                waiting += len(h) * len(m)
+            members = []
+
+        def test() -> pa.RecordBatch:
+            i, j = np.concatenate(left), np.concatenate(right)
+            name = np.frombuffer(b"".join(nodes), ">u8").reshape(-1, 2)
+            part = np.frombuffer(b"".join(comps), ">u8").reshape(-1, 2)
+            x = np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, HASHES)
+            before = (name[i, 0] < name[j, 0]) | ((name[i, 0] == name[j, 0]) & (name[i, 1] < name[j, 1]))
+            apart = (part[i] != part[j]).any(axis=1)
+            i, j = i[before & apart], j[before & apart]
+            matches, done = np.zeros(len(i), np.int64), 0
             for n, least in steps:
-                matches[alive] += (x[alive, done:n] == y[alive, done:n]).sum(axis=1)
-                alive, done = alive[matches[alive] >= least], n
-            yield b.select([0, 1]).take(pa.array(alive))
+                matches += (x[i, done:n] == x[j, done:n]).sum(axis=1)
+                keep = matches >= least
+                i, j, matches, done = i[keep], j[keep], matches[keep], n
+            if first_only:
+                head = np.frombuffer(b"".join(heads), np.uint32).reshape(len(heads), -1)
+                own = (head[i] == head[j]).argmax(axis=1) == np.array(band_of)[j]
+                i, j = i[own], j[own]
+            out = pa.RecordBatch.from_arrays([pa.array([nodes[k] for k in i], pa.binary()), pa.array([nodes[k] for k in j], pa.binary())], names=["hub", "node"])
+            return out
 
-    return pairs.select("hub", "node", "hub_sig", "sig").mapInArrow(run, "hub binary, node binary")
+        def drop() -> None:
+            """Forgets all rows but the open group's hubs."""
+            nonlocal nodes, comps, sigs, heads, band_of, left, right, waiting, hubs
+            nodes, comps, sigs, heads, band_of = ([v[k] for k in hubs] for v in (nodes, comps, sigs, heads, band_of))
+            hubs, left, right, waiting = list(range(len(hubs))), [], [], 0
+
+        for b in batches:
+            columns = [c.to_pylist() for c in b.columns]
+            for key, salt, member, band, node, comp, sig, head in zip(*columns, strict=True):
+                if (key, salt) != group:
+                    close()
+                    group, hubs = (key, salt), []
+                    if waiting >= PAIRS or len(nodes) >= PAIRS // 8:
+                        if left:
+                            yield test()
+                        drop()
+                elif member and len(members) * max(1, len(hubs)) >= PAIRS:
+                    close()
+                    yield test()
+                    drop()
+                (members if member else hubs).append(len(nodes))
+                nodes.append(node)
+                comps.append(comp)
+                sigs.append(sig)
+                heads.append(head)
+                band_of.append(band)
+        close()
+        if left:
+            yield test()
+
+    return met.select("key", "salt", "member", "band", "node", "comp", "sig", "heads").mapInArrow(run, "hub binary, node binary")
 
 
 def _linked(pairs: DataFrame, percent: int, shingle: int) -> DataFrame:
@@ -127,53 +202,49 @@ def near_duplicates(
     whether it is the row's own.  Null or empty text and text without words: no shingles, not
     linked, kept.  Rows without an id are kept and link with nothing.  Repeated rows belong to
     the same component and agree on ``kept``.  Other columns are left out."""
-    hashes = math.ceil(bands * rows / BATCH) * BATCH
     kind = df.schema[id_col].dataType.simpleString()
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    prints = cut(_fingerprints(docs, kind, shingle, bands, rows, hashes))
+    prints = cut(_fingerprints(docs, kind, shingle, bands, rows))
     usable = prints.where("n > 0 and id is not null")
     classes = cut(
-        usable.groupBy("node").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+        usable.groupBy("node").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("heads").alias("heads"), F.first("bands").alias("bands"))
     )
-    banded = classes.select("node", F.explode("bands").alias("key"))
+    banded = classes.select("node", F.posexplode("bands").alias("band", "key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
-    state = cut(banded.join(shared, "key").withColumn("comp", F.col("node")).select("key", "node", "comp"))
+    state = cut(banded.join(shared, "key").select("key", "band", "node", F.col("node").alias("comp")))
     cand = state.select("node").distinct()
-    full = cut(
-        classes.select("node", "rep").join(cand, "node")
-        .join(docs.where("id is not null"), F.col("rep") == F.col("id"))
+    sigs = cut(classes.select("node", "rep", "sig", "heads").join(cand, "node"))
+    texts = cut(
+        sigs.select("node", "rep").join(docs.where("id is not null"), F.col("rep") == F.col("id"))
         .select("node", "text", F.md5("text").alias("digest"))
         .dropDuplicates(["node", "digest"])
         .drop("digest")
     )
-    sigs = cut(classes.select("node", "sig").join(cand, "node"))
     links, hubs = None, 1
     while True:
-        open_keys = state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-        state = cut(state.join(open_keys.select("key"), "key"))
+        keys = state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"))
+        keys = keys.where("lo <> hi").select("key", F.ceil(F.col("m") / SALT_ROWS).cast("int").alias("salts"))
+        state = cut(state.join(keys, "key").select("key", "band", "node", "comp", "salts"))
         if state.isEmpty():
             break
         order = Window.partitionBy("key").orderBy("node")
-        chosen = cut(
-            state.withColumn("place", F.row_number().over(order)).where(F.col("place") <= hubs)
-            .select("key", F.col("node").alias("hub"), F.col("comp").alias("hub_comp"))
-        )
-        pairs = cut(
-            state.join(chosen, "key").where("node > hub and comp <> hub_comp").select("hub", "node").distinct()
-        )
-        sides = sigs, sigs.select(F.col("node").alias("hub"), F.col("sig").alias("hub_sig"))
-        likely = cut(_promising(pairs.join(sides[0], "node").join(sides[1], "hub"), percent / 100, hashes))
-        texts = full.select("node", "text"), full.select(F.col("node").alias("hub"), F.col("text").alias("hub_text"))
-        found = _linked(likely.join(texts[0], "node").join(texts[1], "hub"), percent, shingle)
-        found = cut(found.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
-        links = found if links is None else cut(links.union(found))
-        labels = components(links)
+        chosen = cut(state.withColumn("place", F.row_number().over(order)).where(F.col("place") <= hubs).drop("place"))
+        salt = F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")
+        members = state.withColumns({"salt": salt, "member": F.lit(True)})
+        copies = chosen.withColumns({"salt": F.explode(F.sequence(F.lit(0), F.col("salts") - 1)), "member": F.lit(False)})
+        met = members.unionByName(copies).join(sigs.select("node", "sig", "heads"), "node")
+        met = met.repartition("key", "salt").sortWithinPartitions("key", "salt", "member", "node")
+        likely = cut(_promising(met, percent / 100, hubs > 1).distinct())
+        hub_texts = texts.select(F.col("node").alias("hub"), F.col("text").alias("hub_text"))
+        found = _linked(likely.join(texts, "node").join(hub_texts, "hub"), percent, shingle)
+        found = found.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+        links = cut(found if links is None else links.union(found))
         state = (
-            state.join(chosen.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti")
-            .join(labels, "node", "left")
-            .select("key", "node", F.coalesce("component", "node").alias("comp"))
+            state.join(chosen.select("key", "node"), ["key", "node"], "left_anti")
+            .join(components(links), "node", "left")
+            .select("key", "band", "node", F.coalesce("component", "node").alias("comp"))
         )
-        hubs *= 4
+        hubs *= GROWTH
     named = classes.select("node", "rep")
     if links is not None:
         labels = named.join(components(links), "node")
