@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from graphloom.graph import FLAGS, IMMUTABLE, Collection, Graph, _semi, normalise
 from graphloom.operators.iterate import cut
 
-MEMBER = F.coalesce("__member", F.lit(False))
+
+def _member() -> Column:
+    return F.coalesce("__member", F.lit(False))
+
 
 
 def _marked(df: DataFrame, members: DataFrame) -> DataFrame:
@@ -20,7 +23,7 @@ def _marked(df: DataFrame, members: DataFrame) -> DataFrame:
 def _update(df: DataFrame, members: DataFrame, values: dict[str, Column], where: Column | None = None) -> DataFrame:
     """Sets columns on members only; new columns are null elsewhere."""
     marked = _marked(df, members)
-    test = MEMBER if where is None else MEMBER & where
+    test = _member() if where is None else _member() & where
     new = {c: F.when(test, v).otherwise(F.col(f"`{c}`") if c in df.columns else F.lit(None)) for c, v in values.items()}
     return marked.withColumns(new).drop("__member")
 

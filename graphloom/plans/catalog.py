@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from graphloom.plans import q_algorithms, q_collections, q_selectors, q_style_space  # noqa: F401  they register queries
+from graphloom.plans.registry import ORACLES, QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
