@@ -1,11 +1,12 @@
 """Operator 7: exact top-k search by aggregation of sorted lists without random access.
 
-Vectors are cut into blocks of rows; a block holds one list for each dimension, its values in
-order.  For a query, a list is read from the end that contributes most.  Every row has a lower
-bound (what was read, plus the least that the unread lists can give) and an upper bound (plus
-the values where their reading stands); reading stops when no row outside the best k, read
-or unread, can reach the k-th lower bound.  The rows that still can are scored in full.  The
-best k of each block then compete.
+Vectors are cut into blocks of rows; a block holds one list for each dimension, of whose sorted order only
+the two ends matter, because a list is read to its end at once.  For a query, lists are read one after another,
+those first whose contributions spread widest: every row of a dense vector is on every list, so
+reading all lists in step would read most of each before a bound binds.  A row
+has a lower bound (what was read, plus the least entries of the unread lists) and an upper bound (plus their
+largest entries).  Rows that can't reach the k-th best lower bound are out; reading stops when few
+are left, and those are scored in full.  The best k of each block then compete.
 
 Blocks of queries meet blocks of rows by an equi-join on the number of the query block, which
 each block of rows is sent to; a task holds one block of each, whatever the number of rows.
@@ -20,17 +21,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 8192
 QUERY_ROWS = 512
+#: Bounds are looked at after so many lists.
+CHECK = 4
+#: Reading stops when one row in so many can still be among the best; those are scored in full.
+RESOLVE = 8
 
 
 class SortedLists:
-    """One block: integer vectors (rows x dimensions) and, for each dimension, its order."""
+    """One block: integer vectors (rows x dimensions) and, for each dimension, its list and the list's ends."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         self.ids, self.x = ids, x.astype(np.float64)  # whole numbers; exact up to 2^53
-        self.order = np.argsort(x, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(self.x, self.order, axis=0)
+        self.lists = np.ascontiguousarray(self.x.T)
+        self.least, self.most = self.lists.min(axis=1), self.lists.max(axis=1)
 
     def top(self, q: np.ndarray, k: int, own: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows but ``own``: higher score first, then smaller id."""
@@ -38,32 +43,21 @@ class SortedLists:
         dims = np.flatnonzero(q)
         alive = np.ones(n, bool) if own is None else self.ids != own
         candidates = np.flatnonzero(alive)
-        if len(dims) and n > 4 * k:
-            seen = np.zeros((n, len(dims)), bool)
-            summed = np.zeros(n)
-            w = q[dims]
-            # column j holds what list j contributes, largest first
-            ends = [(self.order[::-1, d], self.sorted[::-1, d] * q[d]) if q[d] > 0 else (self.order[:, d], self.sorted[:, d] * q[d]) for d in dims]
-            floor = np.array([v[-1] for _, v in ends])
-            at, step = 0, max(16, n // 16)
-            while at < n:
-                to = min(n, at + step)
-                for j, (rows, values) in enumerate(ends):
-                    summed[rows[at:to]] += values[at:to]
-                    seen[rows[at:to], j] = True
-                at, step = to, step * 2
-                if at == n:
-                    break
-                front = np.array([v[at] for _, v in ends])
-                unread = (~seen).astype(np.float64)
-                low, high = summed + unread @ floor, summed + unread @ front
-                low[~alive] = -np.inf
-                bound = np.partition(low, n - k)[n - k]
-                can = alive & (high >= bound)
-                if can.sum() <= 4 * k:
-                    candidates = np.flatnonzero(can)
-                    break
-            del w
+        if len(dims) and n > 64 * k:
+            spread = np.abs(q[dims]) * (self.most[dims] - self.least[dims])
+            schedule = dims[np.argsort(-spread, kind="stable")]
+            unread = np.sort(spread)[::-1].sum() - np.cumsum(np.sort(spread)[::-1])
+            read = np.zeros(n)
+            for j, d in enumerate(schedule):
+                read += self.lists[d] * q[d]
+                if j % CHECK == CHECK - 1 and j + 1 < len(schedule):
+                    # bounds: what was read, plus the least and the most of the unread lists, which are
+                    # the same for every row and whose difference is the sum of their spreads
+                    low = read[candidates]
+                    bound = np.partition(low, len(low) - k)[len(low) - k] if len(low) >= k else -np.inf
+                    candidates = candidates[low + unread[j] >= bound]
+                    if len(candidates) <= n // RESOLVE:
+                        break
         scores = self.x[candidates] @ q
         best = np.lexsort((self.ids[candidates], -scores))[:k]
         return self.ids[candidates[best]], scores[best]
