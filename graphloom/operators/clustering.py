@@ -162,7 +162,7 @@ def _gathered(c: Collection, attributes: Sequence[Column], kernel, schema: str)
         return kernel(rows.sort_values("ord", kind="stable").reset_index(drop=True))
 
     few = _points(c, attributes).limit(MAX_NODES + 1)
-    return few.groupBy(F.lit(0)).applyInPandas(guarded, schema)
+    return few.withColumn("__g", F.lit(0)).groupBy("__g").applyInPandas(guarded, schema)
 
 
 def hierarchical(c: Collection, attributes: Sequence[Column], name: str = "euclidean", linkage: str = "min", threshold: float | None = None, depth: int = 0, mode: str = "threshold") -> DataFrame:

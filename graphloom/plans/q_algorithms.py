@@ -1 +1,379 @@
-"""Queries."""
+"""Queries of graph algorithms and clustering."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from graphloom.graph import Graph
+from graphloom.operators import centrality as cen
+from graphloom.operators import clustering as clu
+from graphloom.operators import kernels as ker
+from graphloom.operators import paths as pa
+from graphloom.plans.registry import query
+
+ROUNDS = 9
+W = "weight"
+
+
+def finite(name: str):
+    """-1 for what can't be reached."""
+    return F.when(F.col(name) == float("inf"), -1.0).otherwise(F.round(name, 6)).alias(name)
+
+
+def relax(arcs: str, weight: str, start: str = "n3", rounds: int = 25) -> str:
+    """Unrolled relaxation over a table of arcs (a, b, w): the tables d0 ... as CTEs."""
+    out = [f", d0 AS (SELECT '{start}' AS id, 0.0::DOUBLE AS d)"]
+    for k in range(1, rounds + 1):
+        out.append(f", d{k} AS MATERIALIZED (SELECT id, min(d) AS d FROM (SELECT * FROM d{k - 1} UNION ALL SELECT b, d + {weight} FROM d{k - 1} x JOIN {arcs} y ON y.a = x.id) GROUP BY id)")
+    return "".join(out)
+
+
+# searches
+
+
+def layers(nodes: str, edges: str, start: str, rounds: int = ROUNDS) -> str:
+    return relax(edges, "1", start, rounds) + f" SELECT id, d::INTEGER AS depth FROM d{rounds}"
+
+
+@query("g1_bfs_undirected", layers("tn", "tb", "n3"), on="trade")
+def g1(g: Graph) -> DataFrame:
+    c = g.elements()
+    return pa.bfs(c, c.filter("#n3").nodes.select("id")).select("id", "depth")
+
+
+@query("g1_bfs_directed", layers("tn", "ta", "n3"), on="trade")
+def g1_directed(g: Graph) -> DataFrame:
+    c = g.elements()
+    return pa.bfs(c, c.filter("#n3").nodes.select("id"), directed=True).select("id", "depth")
+
+
+@query("g1_bfs_geo", layers("gn", "gb", "c7", 12), on="geo")
+def g1_geo(g: Graph) -> DataFrame:
+    return pa.bfs(g.elements(), g.get("c7").nodes.select("id")).select("id", "depth")
+
+
+@query("g1_bfs_depth_limit", relax("gb", "1", "c7", 2) + " SELECT id, d::INTEGER AS depth FROM d2", on="geo")
+def g1_limit(g: Graph) -> DataFrame:
+    return pa.bfs(g.elements(), g.get("c7").nodes.select("id"), max_depth=2).select("id", "depth")
+
+
+@query("g2_dfs_reach", relax("ta", "1", "n3", ROUNDS) + f" SELECT id FROM d{ROUNDS}", on="trade")
+def g2(g: Graph) -> DataFrame:
+    return ker.dfs(g.elements(), "n3", directed=True).select("id")
+
+
+@query("g2_dfs", on="trade")
+def g2_order(g: Graph) -> DataFrame:
+    return ker.dfs(g.elements(), "n3", directed=True)
+
+
+DISTANCES = " SELECT tn.id, coalesce(round(d, 6), -1.0) AS distance FROM tn LEFT JOIN d25 USING (id)"
+
+
+@query("g3_dijkstra", relax("tb", "w") + DISTANCES, on="trade")
+def g3(g: Graph) -> DataFrame:
+    return pa.dijkstra(g.elements(), "n3", F.col(W)).select("id", finite("distance"))
+
+
+@query("g3_dijkstra_directed", relax("ta", "w") + DISTANCES, on="trade")
+def g3_directed(g: Graph) -> DataFrame:
+    return pa.dijkstra(g.elements(), "n3", F.col(W), directed=True).select("id", finite("distance"))
+
+
+@query("g3_path_length", relax("tb", "w") + " SELECT round(d, 6) AS length FROM d25 WHERE id = 'n17'", on="trade")
+def g3_path(g: Graph) -> DataFrame:
+    """The weights along the path that the predecessors give add up to the distance."""
+    c = g.elements()
+    found = pa.dijkstra(c, "n3", F.col(W))
+    steps = pa.path_to(found, "n17")[1::2]
+    return g.edges.where(F.col("id").isin(steps)).agg(F.round(F.sum(W), 6).alias("length")).where("length is not null")
+
+
+@query("g4_a_star", relax("tb", "w") + " SELECT true AS found, round(d, 6) AS distance FROM d25 WHERE id = 'n17'", on="trade")
+def g4(g: Graph) -> DataFrame:
+    r = pa.a_star(g.elements(), "n3", "n17", F.col(W))
+    rows = [(r["found"], None if r["distance"] is None else round(r["distance"], 6))]
+    return g.nodes.sparkSession.createDataFrame([x for x in rows if x[0]], "found boolean, distance double")
+
+
+@query("g5_bellman_ford", relax("ta", "(w - 1.25)") + " SELECT tn.id, coalesce(round(d, 6), -99.0) AS distance FROM tn LEFT JOIN d25 USING (id) WHERE (SELECT min(w) FROM ta) >= 1.25", on="trade")
+def g5(g: Graph) -> DataFrame:
+    """Lowered weights; compared where none is negative."""
+    found, _ = pa.bellman_ford(g.elements(), "n3", F.col(W) - 1.25, directed=True)
+    low = pa.arcs(g.elements(), F.col(W), directed=True).agg((F.min("w") >= 1.25).alias("ok"))
+    return found.join(F.broadcast(low)).where("ok").select("id", F.when(F.col("distance") == float("inf"), -99.0).otherwise(F.round("distance", 6)).alias("distance"))  # one row
+
+
+@query("g5_negative_cycle", "SELECT true AS negative", on="trade")
+def g5_cycle(g: Graph) -> DataFrame:
+    _, negative = pa.bellman_ford(g.elements(), "n3", F.lit(-1.0))
+    return g.nodes.sparkSession.createDataFrame([(negative,)], "negative boolean")
+
+
+ALL_PAIRS = ", f0 AS (SELECT id AS a, id AS b, 0.0::DOUBLE AS d FROM tn UNION ALL SELECT a, b, w FROM {arcs})" + "".join(
+    f", f{k} AS MATERIALIZED (SELECT a, b, min(d) AS d FROM (SELECT * FROM f{k - 1} UNION ALL SELECT x.a, y.b, x.d + y.d FROM f{k - 1} x JOIN f{k - 1} y ON x.b = y.a) GROUP BY a, b)" for k in range(1, 6)
+)
+
+
+@query("g6_floyd_warshall", ALL_PAIRS.format(arcs="tb") + " SELECT a, b, round(d, 6) AS distance FROM f5", on="trade")
+def g6(g: Graph) -> DataFrame:
+    return pa.all_pairs(g.elements(), F.col(W)).select("a", "b", F.round("distance", 6).alias("distance"))
+
+
+@query("g6_floyd_warshall_directed", ALL_PAIRS.format(arcs="ta") + " SELECT a, b, round(d, 6) AS distance FROM f5", on="trade")
+def g6_directed(g: Graph) -> DataFrame:
+    return pa.all_pairs(g.elements(), F.col(W), directed=True).select("a", "b", F.round("distance", 6).alias("distance"))
+
+
+# an edge is in the forest iff its ends aren't connected by edges before it in (weight, order)
+FOREST = """, o AS MATERIALIZED (SELECT id, a, b, w, row_number() OVER (ORDER BY w, ord) AS k FROM ta),
+r(k, n, m) AS (SELECT o.k, o.a, o.a FROM o UNION SELECT r.k, r.n, CASE WHEN e.a = r.m THEN e.b ELSE e.a END FROM r JOIN o e ON e.k < r.k AND (e.a = r.m OR e.b = r.m))
+SELECT id AS edge, w FROM o WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.k = o.k AND r.m = o.b)"""
+
+
+@query("g7_kruskal", FOREST, on="trade", recursive=True)
+def g7(g: Graph) -> DataFrame:
+    return pa.minimum_spanning_forest(g.elements(), F.col(W)).select("edge", "w")
+
+
+@query("g8_karger_stein", "SELECT true AS whole, true AS separated, true AS small", on="trade")
+def g8(g: Graph) -> DataFrame:
+    """Invariants of a cut of one component: the parts are all its nodes, cut edges run between them, and the
+    cut is no larger than a node's edges."""
+    c = g.elements()
+    label = pa.components(c)
+    largest = label.groupBy("component").count().orderBy(F.col("count").desc(), "component").limit(1).select("component")
+    part = c.within(label.join(largest, "component", "left_semi").select("id"))
+    part = type(c)(g, part.nodes, pa.inner_edges(type(c)(g, part.nodes, g.edges)))
+    r = ker.min_cut(part, seed=3)
+    degrees = pa.arcs(part).groupBy("a").count().agg(F.min("count")).first()[0]
+    one, two = set(r["partition1"]), set(r["partition2"])
+    across = {x["id"] for x in part.edges.where("source <> target").collect() if (x["source"] in one) != (x["target"] in one)}
+    row = (len(one | two) == part.nodes.count() and not one & two, across == set(r["cut"]), len(r["cut"]) <= degrees)
+    return g.nodes.sparkSession.createDataFrame([row], "whole boolean, separated boolean, small boolean")
+
+
+# components
+
+
+def spread(nodes: str, arcs: str, rounds: int) -> str:
+    out = [f", l0 AS (SELECT id, id AS l FROM {nodes})"]
+    for k in range(1, rounds + 1):
+        out.append(f", l{k} AS MATERIALIZED (SELECT id, min(l) AS l FROM (SELECT * FROM l{k - 1} UNION ALL SELECT b, l FROM l{k - 1} x JOIN {arcs} y ON y.a = x.id) GROUP BY id)")
+    return "".join(out)
+
+
+@query("j13_components", spread("gn", "gb", 12) + " SELECT id, l AS component FROM l12", on="geo")
+def j13(g: Graph) -> DataFrame:
+    return pa.components(g.elements())
+
+
+@query("j13_components_of_part", ", pb AS (SELECT a, b FROM gb WHERE id IN (SELECT id FROM ge WHERE weight > 47))" + spread("gn", "pb", 25) + " SELECT id, l AS component FROM l25", on="geo")
+def j13_part(g: Graph) -> DataFrame:
+    return pa.components(g.elements("node, edge[weight > 47]"))
+
+
+@query("j13_components_web", ", wb AS (SELECT source AS a, target AS b FROM we UNION ALL SELECT target, source FROM we)" + spread("wn", "wb", 25) + " SELECT id, l AS component FROM l25", on="web")
+def j13_web(g: Graph) -> DataFrame:
+    return pa.components(g.elements())
+
+
+@query("j14_component", spread("gn", "gb", 12) + " SELECT id FROM l12 WHERE l = (SELECT l FROM l12 WHERE id = 'c7')", on="geo")
+def j14(g: Graph) -> DataFrame:
+    return pa.component_of(g.elements(), "c7").nodes.select("id")
+
+
+@query("g14_strongly_connected", ", r(a, b) AS (SELECT id, id FROM tn UNION SELECT r.a, ta.b FROM r JOIN ta ON ta.a = r.b) SELECT r.a AS id, min(r.b) AS component FROM r JOIN r s ON s.a = r.b AND s.b = r.a GROUP BY 1", on="trade", recursive=True)
+def g14(g: Graph) -> DataFrame:
+    """Components named by their smallest node."""
+    found = pa.strongly_connected(g.elements())
+    name = found.groupBy("component").agg(F.min("id").alias("name"))
+    return found.join(name, "component").select("id", F.col("name").alias("component"))
+
+
+CUT_VERTICES = """, r(x, a, b) AS (SELECT t.id, n.id, n.id FROM tn t JOIN tn n ON n.id <> t.id UNION SELECT r.x, r.a, tb.b FROM r JOIN tb ON tb.a = r.b AND tb.b <> r.x),
+parts AS (SELECT x, count(DISTINCT l) AS n FROM (SELECT x, a, min(b) AS l FROM r GROUP BY x, a) GROUP BY x),
+z(a, b) AS (SELECT id, id FROM tn UNION SELECT z.a, tb.b FROM z JOIN tb ON tb.a = z.b),
+base AS (SELECT count(DISTINCT l) AS n FROM (SELECT a, min(b) AS l FROM z GROUP BY a))
+SELECT x AS id FROM parts, base WHERE parts.n > base.n"""
+
+
+@query("g13_cut_vertices", CUT_VERTICES, on="trade", recursive=True)
+def g13(g: Graph) -> DataFrame:
+    return ker.biconnected(g.elements()).where("cut").select("id").distinct()
+
+
+@query("g13_biconnected", on="trade")
+def g13_parts(g: Graph) -> DataFrame:
+    return ker.biconnected(g.elements())
+
+
+EULER = """, d AS (SELECT id, count(*) AS n FROM (SELECT source AS id FROM te UNION ALL SELECT target FROM te) GROUP BY id)""" + spread("tn", "tb", 25) + """
+SELECT (SELECT count(*) FROM d WHERE n % 2 = 1) IN (0, 2) AND (SELECT count(DISTINCT l) FROM l25 WHERE id IN (SELECT id FROM d)) <= 1 AS exists"""
+
+
+@query("g15_euler_exists", EULER, on="trade")
+def g15(g: Graph) -> DataFrame:
+    return pa.euler_check(g.elements())
+
+
+@query("g15_euler_trail", "SELECT 9 AS edges, 5 AS nodes")
+def g15_trail(spark, sf_dir: str) -> DataFrame:
+    """The house: a trail over its eight edges and a loop; every edge comes once."""
+    ends = ["ab", "bc", "cd", "da", "ac", "bd", "ae", "eb", "aa"]
+    e = spark.createDataFrame([(f"x{i}", s, t, i) for i, (s, t) in enumerate(ends)], "id string, source string, target string, ord long")
+    g = Graph.of(spark.createDataFrame([(c, i) for i, c in enumerate("abcde")], "id string, ord long"), e)
+    trail = ker.euler_trail(g.elements())
+    return trail.agg(F.countDistinct(F.when(F.col("id").startswith("x"), F.col("id"))).cast("int").alias("edges"), F.countDistinct(F.when(~F.col("id").startswith("x"), F.col("id"))).cast("int").alias("nodes"))
+
+
+# centrality
+
+E = 1 / (2 - 0.8)
+
+
+def ranks(nodes: str, edges: str, n: int) -> str:
+    """Unrolled rank iterations over edges (source, target, weight)."""
+    out = [
+        f", lk AS MATERIALIZED (SELECT source AS a, target AS b, sum(weight) AS w FROM {edges} WHERE source <> target GROUP BY 1, 2)",
+        ", tot AS MATERIALIZED (SELECT a, sum(w) AS t FROM lk GROUP BY 1)",
+        f", cnt AS (SELECT count(*)::DOUBLE AS n FROM {nodes}), k0 AS (SELECT id, 1 / n AS r FROM {nodes}, cnt)",
+    ]
+    for k in range(1, n + 1):
+        p = f"k{k - 1}"
+        out.append(
+            f", k{k} AS MATERIALIZED (SELECT {p}.id, {E} * (coalesce(g.v, 0) + (SELECT coalesce(sum(r), 0) FROM {p} WHERE id NOT IN (SELECT a FROM tot)) / n) + {1 - E} / n AS r"
+            f" FROM {p} CROSS JOIN cnt LEFT JOIN (SELECT b AS id, sum(w / t * r) AS v FROM lk JOIN tot USING (a) JOIN {p} ON {p}.id = lk.a GROUP BY 1) g ON g.id = {p}.id)"
+        )
+    return "".join(out)
+
+
+@query("g9_page_rank", ranks("tn", "te", 8) + " SELECT id, round(r, 9) AS rank FROM k8", on="trade")
+def g9(g: Graph) -> DataFrame:
+    return cen.page_rank(g.elements(), precision=0.0, iterations=8, weight=F.col(W)).select("id", F.round("rank", 9).alias("rank"))
+
+
+@query("g9_page_rank_supply", ranks("pn", "pe", 5) + " SELECT id, round(r, 10) AS rank FROM k5", on="supply")
+def g9_supply(g: Graph) -> DataFrame:
+    return cen.page_rank(g.elements(), precision=0.0, iterations=5, weight=F.col(W)).select("id", F.round("rank", 10).alias("rank"))
+
+
+@query("g10_closeness", relax("tb", "w") + " SELECT round(sum(1 / d), 6) AS closeness FROM d25 WHERE id <> 'n3'", on="trade")
+def g10(g: Graph) -> DataFrame:
+    return cen.closeness(g.elements(), "n3", F.col(W)).select(F.round("closeness", 6).alias("closeness"))
+
+
+CLOSE = ", c AS (SELECT tn.id, coalesce(sum(1 / d), 0) AS c FROM tn LEFT JOIN f5 ON a = id AND b <> id GROUP BY 1) SELECT id, round(c / max(c) OVER (), 6) AS closeness FROM c"
+
+
+@query("g11_closeness_normalized", ALL_PAIRS.format(arcs="tb") + CLOSE, on="trade")
+def g11(g: Graph) -> DataFrame:
+    return cen.closeness_all(g.elements(), F.col(W)).select("id", F.round("closeness", 6).alias("closeness"))
+
+
+@query("g11_closeness_normalized_directed", ALL_PAIRS.format(arcs="ta") + CLOSE, on="trade")
+def g11_directed(g: Graph) -> DataFrame:
+    return cen.closeness_all(g.elements(), F.col(W), directed=True).select("id", F.round("closeness", 6).alias("closeness"))
+
+
+def between(arcs: str, rounds: int = 12) -> str:
+    """Shortest path counts by layers; v lies between s and t if the distances add up."""
+    out = [f", q AS MATERIALIZED (SELECT DISTINCT a, b FROM {arcs}), h0 AS (SELECT id AS s, id AS t, 0 AS d, 1.0::DOUBLE AS n FROM tn)"]
+    for k in range(1, rounds + 1):
+        seen = " UNION ALL ".join(f"SELECT s, t FROM h{i}" for i in range(k))
+        out.append(f", h{k} AS MATERIALIZED (SELECT s, b AS t, {k} AS d, sum(n) AS n FROM h{k - 1} JOIN q ON a = t WHERE (s, b) NOT IN ({seen}) GROUP BY 1, 2)")
+    union = " UNION ALL ".join(f"SELECT * FROM h{i}" for i in range(rounds + 1))
+    return "".join(out) + f", hh AS MATERIALIZED ({union}), bt AS (SELECT x.t AS id, sum(x.n * y.n / z.n) AS b FROM hh x JOIN hh y ON y.s = x.t JOIN hh z ON z.s = x.s AND z.t = y.t WHERE x.d + y.d = z.d AND x.t <> x.s AND x.t <> y.t GROUP BY 1)"
+
+
+BETWEEN = " SELECT tn.id, round(coalesce(b, 0), 6) AS betweenness, round(coalesce(b / (SELECT max(b) FROM bt), 0), 6) AS normalized FROM tn LEFT JOIN bt USING (id)"
+
+
+@query("g12_betweenness", between("tb") + BETWEEN, on="trade")
+def g12(g: Graph) -> DataFrame:
+    return cen.betweenness(g.elements()).select("id", *[F.round(k, 6).alias(k) for k in ("betweenness", "normalized")])
+
+
+@query("g12_betweenness_directed", between("ta") + BETWEEN, on="trade")
+def g12_directed(g: Graph) -> DataFrame:
+    return cen.betweenness(g.elements(), directed=True).select("id", *[F.round(k, 6).alias(k) for k in ("betweenness", "normalized")])
+
+
+# clustering
+
+
+def uv():
+    return [F.col("u"), F.col("v")]
+
+
+def lloyd(table: str, x: str, y: str, centres: list[tuple[float, float]], dist: str, rounds: int) -> str:
+    """Unrolled k-means from given centroids."""
+    rows = ", ".join(f"({j}, {a}::DOUBLE, {b}::DOUBLE)" for j, (a, b) in enumerate(centres))
+    out = [f", c0 AS (SELECT * FROM (VALUES {rows}) v(j, cx, cy))"]
+    for k in range(1, rounds + 1):
+        out.append(f", m{k} AS MATERIALIZED (SELECT id, {x} AS px, {y} AS py, (SELECT j FROM c{k - 1} ORDER BY {dist}, j LIMIT 1) AS j FROM {table})")
+        out.append(f", c{k} AS MATERIALIZED (SELECT c.j, coalesce(avg(px), any_value(cx)) AS cx, coalesce(avg(py), any_value(cy)) AS cy FROM c{k - 1} c LEFT JOIN m{k} USING (j) GROUP BY c.j)")
+    return "".join(out) + f" SELECT id, j AS cluster FROM m{rounds}"
+
+
+CENTRES = [(0.0, 0.0), (3.0, 8.0), (6.0, 2.0)]
+
+
+@query("k1_k_means", lloyd("tn", "u", "v", CENTRES, "sqrt((u - cx) ^ 2 + (v - cy) ^ 2)", 4), on="trade")
+def k1(g: Graph) -> DataFrame:
+    return clu.k_means(g.elements(), uv(), k=3, centroids=[list(p) for p in CENTRES], max_iterations=4, sensitivity=0.0)
+
+
+@query("k1_k_means_vectors", lloyd("vn", "a0", "a1", [(-0.1, 0.0), (0.1, 0.05)], "abs(a0 - cx) + abs(a1 - cy)", 3), on="vectors")
+def k1_vectors(g: Graph) -> DataFrame:
+    return clu.k_means(g.elements(), [F.col("a0"), F.col("a1")], k=2, name="manhattan", centroids=[[-0.1, 0.0], [0.1, 0.05]], max_iterations=3, sensitivity=0.0)
+
+
+def medoids(rounds: int) -> str:
+    out = [", e0 AS (SELECT * FROM (VALUES (0, 'n0'), (1, 'n11'), (2, 'n22')) v(j, id))"]
+    for k in range(1, rounds + 1):
+        out.append(f", a{k} AS MATERIALIZED (SELECT tn.*, (SELECT e.j FROM e{k - 1} e JOIN tn c ON c.id = e.id ORDER BY sqrt((tn.u - c.u) ^ 2 + (tn.v - c.v) ^ 2), e.j LIMIT 1) AS j FROM tn)")
+        out.append(f", e{k} AS MATERIALIZED (SELECT j, arg_min(id, struct_pack(c := cost, o := ord)) AS id FROM (SELECT x.j, x.id, x.ord, sum(abs(x.u - y.u) + abs(x.v - y.v)) AS cost FROM a{k} x JOIN a{k} y USING (j) GROUP BY ALL) GROUP BY j)")
+    return "".join(out) + f" SELECT a.id, a.j AS cluster, e.id AS medoid FROM a{rounds} a JOIN e{rounds} e USING (j)"
+
+
+@query("k2_k_medoids", medoids(8), on="trade")
+def k2(g: Graph) -> DataFrame:
+    return clu.k_medoids(g.elements(), uv(), k=3, medoids=["n0", "n11", "n22"])
+
+
+@query("k3_fuzzy_c_means", "SELECT id, 1.0::DOUBLE AS total, true AS best FROM tn", on="trade")
+def k3(g: Graph) -> DataFrame:
+    """Memberships add up to 1 and the cluster is the largest."""
+    r = clu.fuzzy_c_means(g.elements(), uv(), k=3, seed=5)
+    total = F.round(F.aggregate("membership", F.lit(0.0), lambda a, x: a + x), 6)
+    return r.select("id", total.alias("total"), (F.get("membership", F.col("cluster")) == F.array_max("membership")).alias("best"))
+
+
+SINGLE = ", nb AS MATERIALIZED (SELECT x.id AS a, y.id AS b FROM tn x JOIN tn y ON x.id <> y.id WHERE sqrt((x.u - y.u) ^ 2 + (x.v - y.v) ^ 2) < 2.2)" + spread("tn", "nb", 20) + " SELECT id, l AS cluster FROM l20"
+
+
+@query("k4_single_linkage", SINGLE, on="trade")
+def k4(g: Graph) -> DataFrame:
+    return clu.hierarchical(g.elements(), uv(), linkage="single", threshold=2.2)
+
+
+@query("k4_complete_linkage", on="trade")
+def k4_complete(g: Graph) -> DataFrame:
+    return clu.hierarchical(g.elements(), uv(), linkage="complete", threshold=4.0)
+
+
+@query("k4_dendrogram", on="trade")
+def k4_dendrogram(g: Graph) -> DataFrame:
+    return clu.hierarchical(g.elements(), uv(), linkage="mean", mode="dendrogram", depth=2)
+
+
+@query("k5_markov", on="trade")
+def k5(g: Graph) -> DataFrame:
+    return clu.markov(g.elements(), F.col(W), inflate=1.8)
+
+
+@query("k6_affinity", on="trade")
+def k6(g: Graph) -> DataFrame:
+    return clu.affinity(g.elements(), uv(), preference="median", damping=0.8)
