@@ -120,7 +120,7 @@ class Sheet:
 
 def parse_value(name: str, value: Any) -> Any:
     """A literal in canonical form, a mapper, or None if it isn't valid for the property."""
-    if isinstance(value, (Data, MapData, Column)):
+    if isinstance(value, (Data, MapData, Column)) or callable(value):
         return value
     if isinstance(value, str):
         if m := re.fullmatch(r"\s*data\(\s*([\w.]+)\s*\)\s*", value):
@@ -167,9 +167,9 @@ def cascade(graph: Graph, sheet: Sheet, properties: list[str], bypass: bool = Tr
             for condition, (_, props) in reversed(list(zip(conditions, sheet.rules, strict=True))):
                 if p in props:
                     value = parse_value(p, props[p])
-                    col = value.column(df) if isinstance(value, (Data, MapData)) else value.cast("string") if isinstance(value, Column) else None if value is None else F.lit(_text(value))
+                    col = value.column(df) if isinstance(value, (Data, MapData)) else value(df) if callable(value) and not isinstance(value, Column) else value.cast("string") if isinstance(value, Column) else None if value is None else F.lit(_text(value))
                     if col is not None:
-                        options.append(F.when(condition, col))
+                        options.append(F.when(condition, col.cast("string")))
             default = (EDGE_DEFAULTS if edges else {}).get(p, DEFAULTS.get(p))
             options.append(F.lit(None if default is None else _text(parse_value(p, default))).cast("string"))
             out.append(F.coalesce(*options).alias(p.replace("-", "_")))

@@ -1 +1,303 @@
-"""Queries."""
+"""Queries of style, geometry, layouts, scalar functions and events."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from graphloom.functions import colors
+from graphloom.graph import Graph
+from graphloom.operators import geometry as geo
+from graphloom.operators import layouts as lay
+from graphloom.operators import style as sty
+from graphloom.plans import graphs
+from graphloom.plans.registry import query
+from graphloom.streaming import events as ev
+
+SHEET = sty.Sheet.from_text("""
+    node { width: 20px; background-color: red; label: data(name) }
+    .customer[acctbal > 5000] { width: mapData(acctbal, 5000, 10000, 20, 60); background-color: mapData(acctbal, 5000, 10000, #000000, rgb(255,255,255)) }
+    :selected { opacity: 0.5 }
+    #n3 > node { shape: star; opacity: 7 }
+    edge { width: 2 } edge[weight > 40] { width: 4 }
+""")
+
+
+@query("y1_cascade", """, s AS (SELECT *, least(greatest((acctbal - 5000) / 5000, 0), 1) AS t FROM gn)
+SELECT id, 'nodes' AS grp, CASE WHEN kind = 'customer' AND acctbal > 5000 THEN round(t * 40 + 20, 6) ELSE 20.0 END AS width, CASE WHEN selected THEN 0.5 ELSE 1.0 END AS opacity, CASE WHEN parent = 'n3' THEN 'star' ELSE 'ellipse' END AS shape FROM s
+UNION ALL SELECT id, 'edges', CASE WHEN weight > 40 THEN 4.0 ELSE 2.0 END, 1.0, 'ellipse' FROM ge""", on="geo")
+def y1(g: Graph) -> DataFrame:
+    """Later rules win; invalid values (opacity 7) are left out."""
+    r = sty.cascade(g, SHEET, ["width", "opacity", "shape"])
+    return r.select("id", "grp", F.round(F.col("width").cast("double"), 6).alias("width"), F.col("opacity").cast("double").alias("opacity"), "shape")
+
+
+@query("y2_defaults", "SELECT id, CASE WHEN id IN (SELECT parent FROM gn) THEN 'rectangle' ELSE 'ellipse' END AS shape, CASE WHEN id IN (SELECT parent FROM gn) THEN 10.0 ELSE 0.0 END AS padding FROM gn", on="geo")
+def y2(g: Graph) -> DataFrame:
+    r = sty.cascade(g, sty.Sheet(sty.DEFAULT_SHEET), ["shape", "padding"]).where("grp = 'nodes'")
+    return r.select("id", "shape", F.col("padding").cast("double").alias("padding"))
+
+
+@query("y3_data_mapper", "SELECT id, coalesce(name, '') AS label FROM gn", on="geo")
+def y3(g: Graph) -> DataFrame:
+    return sty.cascade(g, SHEET, ["label"]).where("grp = 'nodes'").select("id", "label")
+
+
+@query("y4_map_data_color", """, s AS (SELECT id, kind, acctbal, floor(least(greatest((acctbal - 5000) / 5000, 0), 1) * 255 + 0.5)::INTEGER AS c FROM gn)
+SELECT id, CASE WHEN kind = 'customer' AND acctbal > 5000 THEN 'rgb(' || c || ',' || c || ',' || c || ')' ELSE 'rgb(255,0,0)' END AS color FROM s""", on="geo")
+def y4(g: Graph) -> DataFrame:
+    return sty.cascade(g, SHEET, ["background-color"]).where("grp = 'nodes'").select("id", F.col("background_color").alias("color"))
+
+
+@query("y5_function_mapper", "SELECT id, CASE WHEN kind = 'supplier' THEN length(name)::DOUBLE ELSE 30.0 END AS height FROM gn", on="geo")
+def y5(g: Graph) -> DataFrame:
+    r = sty.cascade(g, sty.Sheet().rule(".supplier", height=lambda df: F.length("name").cast("double") if "name" in df.columns else None), ["height"])
+    return r.where("grp = 'nodes'").select("id", F.col("height").cast("double").alias("height"))
+
+
+@query("y6_bypass", "SELECT id, CASE WHEN kind = 'supplier' THEN 99.0 ELSE 20.0 END AS width FROM gn WHERE kind <> 'customer'", on="geo")
+def y6(g: Graph) -> DataFrame:
+    g = sty.bypass(sty.bypass(g, "node", {"width": 5}), ".supplier", {"width": 99})
+    g = sty.bypass(g, ".nation, .region, .customer", {"width": None})
+    return sty.cascade(g, SHEET, ["width"]).where("grp = 'nodes'").join(g.nodes.where("kind <> 'customer'").select("id"), "id").select("id", F.col("width").cast("double").alias("width"))
+
+
+@query("y7_parse_values", "SELECT * FROM (VALUES ('width', '16.0'), ('opacity', 'none'), ('shape', 'none'), ('color', 'rgb(255,0,0)'), ('em', '32.0')) v(name, value)")
+def y7(spark, sf_dir: str) -> DataFrame:
+    cases = [("width", "width", "16px"), ("opacity", "opacity", 7), ("shape", "shape", "blob"), ("color", "line-color", "hsl(0, 100%, 50%)"), ("em", "width", "2em")]
+    out = [(name, str(v) if (v := sty.parse_value(prop, value)) is not None else "none") for name, prop, value in cases]
+    return spark.createDataFrame(out, "name string, value string")
+
+
+@query("y8_numeric_style", "SELECT id, CASE WHEN weight > 40 THEN 4.0 ELSE 2.0 END * 3 AS rendered FROM ge", on="geo")
+def y8(g: Graph) -> DataFrame:
+    return sty.cascade(g, SHEET, ["width"]).where("grp = 'edges'").select("id", (F.col("width").cast("double") * 3.0).alias("rendered"))
+
+
+HIDDEN = ", h AS (SELECT id FROM gn WHERE id = 'n3' OR acctbal > 9000), v AS (SELECT id FROM gn WHERE id NOT IN (SELECT id FROM h) AND id NOT IN (SELECT gc.id FROM gc JOIN h ON h.id = gc.ancestor))"
+
+
+@query("y9_visibility", HIDDEN + " SELECT id, id IN (SELECT id FROM v) AS visible FROM gn UNION ALL SELECT id, source IN (SELECT id FROM v) AND target IN (SELECT id FROM v) FROM ge", on="geo")
+def y9(g: Graph) -> DataFrame:
+    g = sty.bypass(g, "#n3, [acctbal > 9000]", {"display": "none"})
+    return sty.visibility(g).select("id", "visible")
+
+
+@query("y10_effective_opacity", "SELECT g.id, CASE WHEN g.id = 'r1' OR b.id IS NOT NULL THEN 0.5 ELSE 1.0 END * CASE WHEN g.id = 'n3' OR g.parent = 'n3' THEN 0.0 ELSE 1.0 END AS opacity, g.id = 'n3' OR coalesce(g.parent = 'n3', false) AS transparent FROM gn g LEFT JOIN (SELECT id FROM gc WHERE ancestor = 'r1') b USING (id)", on="geo")
+def y10(g: Graph) -> DataFrame:
+    g = sty.bypass(sty.bypass(g, "#r1", {"opacity": 0.5}), "#n3", {"opacity": 0})
+    n = g.nodes.select("id")
+    return sty.visibility(g).join(n, "id").select("id", F.col("effective_opacity").alias("opacity"), "transparent")
+
+
+# geometry
+
+
+BOX = "SELECT min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, max(x2) - min(x1) AS w, max(y2) - min(y1) AS h FROM (SELECT x - 1.5 AS x1, y - 1.5 AS y1, x + 1.5 AS x2, y + 1.5 AS y2 FROM gn WHERE {})"
+
+
+@query("b1_bounding_box", BOX.format("kind = 'nation'"), on="geo")
+def b1(g: Graph) -> DataFrame:
+    return geo.bounding_box(g.elements(".nation"))
+
+
+@query("b2_rendered_box", "SELECT x1 * 2 + 5 AS x1, y1 * 2 + 5 AS y1, x2 * 2 + 5 AS x2, y2 * 2 + 5 AS y2, w * 2 AS w, h * 2 AS h FROM (" + BOX.format("kind = 'nation'") + ")", on="geo")
+def b2(g: Graph) -> DataFrame:
+    return geo.rendered(geo.bounding_box(g.elements(".nation")), 2.0, (5.0, 5.0))
+
+
+@query("b2_box_at", "SELECT -1.5 AS x1, -1.5 AS y1, 25.5 AS x2, 1.5 AS y2, 27.0 AS w, 3.0 AS h", on="geo")
+def b2_at(g: Graph) -> DataFrame:
+    return geo.bounding_box_at(g.elements(".nation"), (F.col("ord") - 1000).cast("double"), F.lit(0.0))
+
+
+@query("b3_compound_bounds", """, k AS (SELECT parent AS id, min(x - 0.5) - 2 AS x1, max(x + 0.5) + 2 AS x2, min(y - 0.5) - 2 AS y1, max(y + 0.5) + 2 AS y2 FROM gn WHERE kind IN ('customer', 'supplier') GROUP BY 1),
+q AS (SELECT * FROM k UNION ALL SELECT n.parent, min(x1) - 2, max(x2) + 2, min(y1) - 2, max(y2) + 2 FROM k JOIN gn n USING (id) GROUP BY 1)
+SELECT gn.id, (x1 + x2) / 2 AS x, (y1 + y2) / 2 AS y, x2 - x1 AS w, y2 - y1 AS h FROM gn JOIN q USING (id)""", on="geo")
+def b3(g: Graph) -> DataFrame:
+    return geo.compound_bounds(g, padding=2.0).join(g.parents(), "id", "left_semi")
+
+
+@query("b4_outer_size", "SELECT 30 + 2 + 2 * 5.0 AS center, 30 + 4 + 2 * 5.0 AS outside, 30 + 2 * 5.0 AS inside")
+def b4(spark, sf_dir: str) -> DataFrame:
+    d, b, p = F.lit(30.0), F.lit(2.0), F.lit(5.0)
+    return spark.range(1).select(*[geo.outer_size(d, b, p, k).alias(k) for k in ("center", "outside", "inside")])
+
+
+@query("b5_box_algebra", "SELECT true AS meets, false AS inside, -1.0 AS x1")
+def b5(spark, sf_dir: str) -> DataFrame:
+    a = {k: F.lit(v) for k, v in {"x1": 0.0, "y1": 0.0, "x2": 10.0, "y2": 10.0}.items()}
+    b = {k: F.lit(v) for k, v in {"x1": 10.0, "y1": 5.0, "x2": 12.0, "y2": 7.0}.items()}
+    return spark.range(1).select(geo.boxes_intersect(a, b).alias("meets"), geo.box_in_box(a, b).alias("inside"), geo.expand(a, 1, 1, 1, 1)["x1"].alias("x1"))
+
+
+@query("b6_box_selection", "SELECT id FROM gn WHERE x + 0.5 >= 100 AND x - 0.5 <= 300 AND y + 0.5 >= 50 AND y - 0.5 <= 200", on="geo")
+def b6(g: Graph) -> DataFrame:
+    return geo.in_box(g.elements(), 300, 200, 100, 50)
+
+
+@query("b6_range_join", "SELECT b.k AS box, id FROM gn JOIN (SELECT k, k * 100.0 AS x1, k * 70.0 AS y1, k * 100.0 + 150 AS x2, k * 70.0 + 120 AS y2 FROM range(8) t(k)) b ON x + 0.5 >= x1 AND x - 0.5 <= x2 AND y + 0.5 >= y1 AND y - 0.5 <= y2", on="geo")
+def b6_join(g: Graph) -> DataFrame:
+    k = F.col("id")
+    boxes = g.nodes.sparkSession.range(8).select(k.alias("box"), (k * 100.0).alias("x1"), (k * 70.0).alias("y1"), (k * 100.0 + 150).alias("x2"), (k * 70.0 + 120).alias("y2"))
+    return geo.in_boxes(g.elements(), boxes, cell=64.0)
+
+
+@query("b7_nearest", "SELECT 'node' AS kind, id FROM gn WHERE abs(x - 100.2) <= 0.5 AND abs(y - 650.1) <= 0.5 ORDER BY ord DESC LIMIT 1", on="geo")
+def b7(g: Graph) -> DataFrame:
+    return geo.nearest(g.elements("node"), 100.2, 650.1)
+
+
+@query("b8_segment_maths", "SELECT 25.0 AS d, true AS crossing, true AS ellipse, true AS polygon, false AS apart")
+def b8(spark, sf_dir: str) -> DataFrame:
+    L = lambda *v: [F.lit(float(x)) for x in v]
+    return spark.range(1).select(
+        geo.segment_sqdist(*L(5, 5, 0, 0, 10, 0)).alias("d"),
+        geo.segments_cross(L(0, 0, 10, 10), L(0, 10, 10, 0)).alias("crossing"),
+        geo.in_ellipse(*L(2, 1, 10, 6, 0, 0)).alias("ellipse"),
+        geo.in_polygon(*L(2, 2), [(0, 0), (5, 0), (0, 5)]).alias("polygon"),
+        geo.segments_cross(L(0, 0, 1, 1), L(5, 5, 9, 0)).alias("apart"),
+    )
+
+
+@query("b9_fit", "SELECT round(least(780 / w, 580 / h), 9) AS zoom, round((800 - least(780 / w, 580 / h) * (x1 + x2)) / 2, 6) AS px FROM (" + BOX.format("true") + ")", on="geo")
+def b9(g: Graph) -> DataFrame:
+    f = geo.fit(g.with_(edges=g.edges.limit(0)), 800, 600, 10)
+    return g.nodes.sparkSession.createDataFrame([(round(f.zoom, 9), round(f.pan[0], 6))], "zoom double, px double")
+
+
+@query("b10_midpoints", "SELECT e.id, (s.x + t.x) / 2 AS x, (s.y + t.y) / 2 AS y FROM ge e JOIN gn s ON s.id = e.source JOIN gn t ON t.id = e.target", on="geo")
+def b10(g: Graph) -> DataFrame:
+    return geo.midpoints(g.elements())
+
+
+# layouts
+
+
+@query("l1_null", "SELECT id, 0.0 AS x, 0.0 AS y FROM gn", on="geo")
+def l1(g: Graph) -> DataFrame:
+    return lay.run(g.elements(), "null")
+
+
+@query("l2_preset", "SELECT id, CASE WHEN kind = 'nation' THEN ord::DOUBLE ELSE x END AS x, CASE WHEN kind = 'nation' THEN 1.0 ELSE y END AS y FROM gn", on="geo")
+def l2(g: Graph) -> DataFrame:
+    return lay.run(g.elements(), "preset", positions=g.nodes.where("kind = 'nation'").select("id", F.col("ord").cast("double").alias("x"), F.lit(1.0).alias("y")))
+
+
+@query("l3_random", "SELECT id, true AS inside FROM gn", on="geo")
+def l3(g: Graph) -> DataFrame:
+    return lay.run(g.elements(), "random", seed=3).select("id", F.col("x").between(0, 1000).alias("inside") & F.col("y").between(0, 1000)).toDF("id", "inside")
+
+
+LEAVES = ", k AS (SELECT id, row_number() OVER (ORDER BY ord) - 1 AS i, count(*) OVER () AS n FROM gn WHERE kind IN ('customer', 'supplier'))"
+
+
+@query("l4_grid", LEAVES + " SELECT id, round((i % 40) * 25 + 12.5, 6) AS x, round((i // 40) * (1000.0 / ceil(n / 40.0)) + 500.0 / ceil(n / 40.0), 6) AS y FROM k", on="geo")
+def l4(g: Graph) -> DataFrame:
+    return lay.run(g.elements(), "grid", cols=40).select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query("l4_grid_square", ", k AS (SELECT id, row_number() OVER (ORDER BY ord) - 1 AS i FROM tn) SELECT id, (i % 5) * 200.0 + 100 AS x, (i // 5) * 200.0 + 100 AS y FROM k", on="trade")
+def l4_square(g: Graph) -> DataFrame:
+    return lay.run(g.elements(), "grid")
+
+
+@query("l5_circle", f", k AS (SELECT id, row_number() OVER (ORDER BY ord) - 1 AS i, count(*) OVER () AS n FROM tn) SELECT id, round(500 + 500 * cos({1.5 * math.pi} + i * 2 * pi() / n), 6) AS x, round(500 + 500 * sin({1.5 * math.pi} + i * 2 * pi() / n), 6) AS y FROM k", on="trade")
+def l5(g: Graph) -> DataFrame:
+    return lay.run(g.elements(), "circle").select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query("l6_concentric", on="trade")
+def l6(g: Graph) -> DataFrame:
+    return lay.run(g.elements(), "concentric")
+
+
+def _layers() -> str:
+    from graphloom.plans.q_algorithms import relax
+
+    return relax("tb", "1", "n3", 12) + " SELECT tn.id, coalesce(d, (SELECT max(d) FROM d12))::INTEGER AS depth FROM tn LEFT JOIN d12 USING (id)"
+
+
+@query("l7_breadthfirst", _layers(), on="trade")
+def l7(g: Graph) -> DataFrame:
+    return lay.run(g.elements(), "breadthfirst", roots=g.get("n3").nodes.select("id")).select("id", "depth")
+
+
+@query("l8_cose", "SELECT id, true AS placed FROM tn", on="trade")
+def l8(g: Graph) -> DataFrame:
+    return lay.run(g.elements(), "cose", iterations=100).select("id", (~F.isnan("x") & ~F.isnan("y")).alias("placed"))
+
+
+# scalar functions
+
+
+@query("x_text_functions", "SELECT 'background-color' AS dash, 'backgroundColor' AS camel, 'Abc' AS cap")
+def x_text(spark, sf_dir: str) -> DataFrame:
+    return spark.range(1).select(colors.camel_to_dash(F.lit("backgroundColor")).alias("dash"), colors.dash_to_camel(F.lit("background-color")).alias("camel"), colors.capitalize(F.lit("abc")).alias("cap"))
+
+
+@query("x_math_functions", "SELECT [1.0, 3.0]::DOUBLE[] AS roots, 0.5 AS bezier, 5.0 AS clamped")
+def x_math(spark, sf_dir: str) -> DataFrame:
+    L = lambda v: F.lit(float(v))
+    return spark.range(1).select(colors.quadratic_roots(L(1), L(-4), L(3)).alias("roots"), colors.bezier_at(L(0), L(0.5), L(1), L(0.5)).alias("bezier"), colors.clamp(L(0), L(9), L(5)).alias("clamped"))
+
+
+# events
+
+
+@query("e1_on", "SELECT event_id FROM events WHERE event_type IN ('click', 'view')")
+def e1(spark, sf_dir: str) -> DataFrame:
+    return ev.on(graphs.flow(spark, sf_dir), "click view").select("event_id")
+
+
+@query("e1_once", "SELECT event_type AS type, user_id, min(ts) AS ts FROM events GROUP BY 1, 2")
+def e1_once(spark, sf_dir: str) -> DataFrame:
+    log = graphs.flow(spark, sf_dir)
+    types = " ".join(sorted(r["type"] for r in log.select("type").distinct().collect()))
+    return ev.once(log, types).select("type", F.substring("target", 2, 20).cast("long").alias("user_id"), "ts")
+
+
+TARGET = "'c' || (1 + user_id % 20)"
+
+
+@query("e2_bubble", f"SELECT {TARGET} AS target, 0 AS level, {TARGET} AS reached FROM events WHERE event_id < 50 UNION ALL SELECT {TARGET}, depth, ancestor FROM events JOIN gc ON gc.id = {TARGET} WHERE event_id < 50 UNION ALL SELECT {TARGET}, 3, NULL FROM events WHERE event_id < 50".join(["WITH " + graphs.GEO.strip() + " ", ""]))
+def e2(spark, sf_dir: str) -> DataFrame:
+    log = graphs.table(spark, sf_dir, "events").where("event_id < 50").select(F.col("event_type").alias("type"), F.concat(F.lit("c"), (1 + F.col("user_id") % 20).cast("string")).alias("target"), "ts")
+    return ev.bubble(log, graphs.geo(spark, sf_dir)).select("target", "level", F.col("at").alias("reached"))
+
+
+@query("e3_replay", "SELECT 'u' || user_id AS target, event_type AS type, arg_max(value, ts) AS value FROM events GROUP BY 1, 2")
+def e3(spark, sf_dir: str) -> DataFrame:
+    return ev.replay(graphs.flow(spark, sf_dir))
+
+
+@query("e4_batches", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type AS type, count(DISTINCT user_id) AS n FROM events GROUP BY 1, 2")
+def e4(spark, sf_dir: str) -> DataFrame:
+    return ev.batched(graphs.flow(spark, sf_dir), "1 hour").select("start", "type", F.size("targets").cast("long").alias("n"))
+
+
+@query("e5_clicks", ", m AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM m) SELECT 'u' || user_id AS target, min(ts) AS start, count(*) AS n FROM r GROUP BY user_id, k".replace(", m", "WITH m", 1))
+def e5(spark, sf_dir: str) -> DataFrame:
+    return ev.clicks(graphs.flow(spark, sf_dir), "6 hours")
+
+
+@query("e6_degree_stream", "SELECT id, count(*) AS degree FROM (SELECT 'p' || l_partkey AS id FROM lineitem UNION ALL SELECT 's' || l_suppkey FROM lineitem) GROUP BY 1")
+def e6(spark, sf_dir: str) -> DataFrame:
+    """Degrees kept over a stream of line items, run to its end; what a batch would give."""
+    import uuid
+
+    from graphloom.operators.iterate import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    name = uuid.uuid4().hex
+    li = graphs.table(spark, sf_dir, "lineitem")
+    stream = spark.readStream.schema(li.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/lineitem.parquet*")
+    edges = stream.select(F.concat(F.lit("p"), "l_partkey").alias("source"), F.concat(F.lit("s"), "l_suppkey").alias("target"))
+    out = f"{base.rstrip('/')}/degrees-{name}"
+    save = lambda df, n: df.write.mode("overwrite").parquet(out)  # noqa: E731  the last batch holds the complete result
+    q = ev.degree_stream(edges).writeStream.outputMode("complete").option("checkpointLocation", f"{out}-log").trigger(availableNow=True).foreachBatch(save).start()
+    q.awaitTermination()
+    return spark.read.parquet(out)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.plans import graphs
 
+#: Numbers with a point mean doubles in the oracles, not decimals.
+DECIMAL = re.compile(r"(?<![\w.'])(\d+\.\d+)(?![\w.']|::)")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 SOURCES = {
@@ -26,6 +29,7 @@ def register(name: str, f: Callable[[SparkSession, str], DataFrame], sql: str |
         raise ValueError(f"there is a query {name!r} already")
     QUERIES[name] = f if on is None else lambda spark, sf_dir: f(SOURCES[on][0](spark, sf_dir))
     if sql is not None:
+        sql = DECIMAL.sub(r"\1::DOUBLE", sql)
         ORACLES[name] = sql if on is None else f"WITH {'RECURSIVE ' if recursive else ''}{SOURCES[on][1].strip()} {sql}"
 
 
