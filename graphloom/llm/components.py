@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut
+from graphloom.llm.common import cut, release
 
 LINKS_PER_TASK = 100_000
 
@@ -36,6 +36,8 @@ def components(links: DataFrame) -> DataFrame:
         small = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least)
         edges = cut(small.where("a <> b").distinct())
         after = _state(edges)
+        del both, least, large, small
+        release(links.sparkSession)
         if after == before:
             break
         before = after

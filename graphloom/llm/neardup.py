@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut
+from graphloom.llm.common import cut, release
 from graphloom.llm.components import components
 from graphloom.llm.shingles import MinHash, band_keys, set_key, shingle_list, shingle_lists
 
@@ -220,6 +220,7 @@ def near_duplicates(
         .dropDuplicates(["node", "digest"])
         .drop("digest")
     )
+    release(df.sparkSession)
     links, hubs = None, 1
     while True:
         keys = state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"))
@@ -245,6 +246,8 @@ def near_duplicates(
             .select("key", "band", "node", F.coalesce("component", "node").alias("comp"))
         )
         hubs *= GROWTH
+        del keys, chosen, members, copies, met, likely, found
+        release(df.sparkSession)
     named = classes.select("node", "rep")
     if links is not None:
         labels = named.join(components(links), "node")
