@@ -35,7 +35,7 @@ def checked(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         raise IntegrityError(f"Can not create edge {first['id']} with a missing source or target")
     known = ids.select(F.col("id").alias("parent"), F.lit(True).alias("__known"))
     nodes = nodes.join(known, "parent", "left").withColumn("parent", F.when(F.col("__known"), F.col("parent"))).drop("__known")
-    return _without_cycles(nodes.select("ord", *[c for c in nodes.columns if c != "ord"])), edges
+    return _without_cycles(nodes), edges
 
 
 def _without_cycles(nodes: DataFrame) -> DataFrame:
