@@ -221,7 +221,7 @@ def near_duplicates(
         .drop("digest")
     )
     release(df.sparkSession)
-    links, hubs = None, 1
+    comps, hubs = None, 1
     while True:
         keys = state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"))
         keys = keys.where("lo <> hi").select("key", F.ceil(F.col("m") / SALT_ROWS).cast("int").alias("salts"))
@@ -238,19 +238,21 @@ def near_duplicates(
         likely = cut(_promising(met, percent / 100, hubs > 1).distinct())
         hub_texts = texts.select(F.col("node").alias("hub"), F.col("text").alias("hub_text"))
         found = _linked(likely.join(texts, "node").join(hub_texts, "hub"), percent, shingle)
-        found = found.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-        links = cut(found if links is None else links.union(found))
+        links = found.select(F.col("hub").alias("a"), F.col("node").alias("b"))
+        # earlier links count as what they connected
+        links = cut(links if comps is None else links.union(comps.where("node <> component").select("node", "component")))
+        comps = cut(components(links))
         state = (
             state.join(chosen.select("key", "node"), ["key", "node"], "left_anti")
-            .join(components(links), "node", "left")
+            .join(comps, "node", "left")
             .select("key", "band", "node", F.coalesce("component", "node").alias("comp"))
         )
         hubs *= GROWTH
-        del keys, chosen, members, copies, met, likely, found
+        del keys, chosen, members, copies, met, likely, found, links
         release(df.sparkSession)
     named = classes.select("node", "rep")
-    if links is not None:
-        labels = named.join(components(links), "node")
+    if comps is not None:
+        labels = named.join(comps, "node")
         least = labels.groupBy("component").agg(F.min("rep").alias("component_id"))
         least = labels.join(least, "component").select("node", "component_id")
         named = named.join(least, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))

@@ -118,6 +118,22 @@ def test_components(spark):
     assert components(links.limit(0)).count() == 0
 
 
+def test_components_of_many_parts(spark, monkeypatch):
+    from graphloom.llm import components as module
+
+    monkeypatch.setattr(module, "LINKS_PER_TASK", 5)
+    rng = random.Random(9)
+    pairs = [(i, i + 1) for i in range(30)] + [(100, 100 + rng.randrange(40)) for _ in range(40)] + [(200 + rng.randrange(60), 200 + rng.randrange(60)) for _ in range(45)]
+    want = {x: x for p in pairs if p[0] != p[1] for x in p}
+    while any(want[a] != want[b] for a, b in pairs if a != b):
+        for a, b in pairs:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    links = spark.createDataFrame([(b"%03d" % a, b"%03d" % b) for a, b in pairs], "a binary, b binary").repartition(6)
+    got = {int(r["node"]): int(r["component"]) for r in components(links).collect()}
+    assert got == want
+
+
 def secret_cases():
     s = "x password = 'hunter2hunter2' y"
     q = lambda t: urllib.parse.quote(t, safe="")
