@@ -2,9 +2,9 @@
 
 The text itself is the first layer.  A worklist unwraps each layer: percent escapes, Unicode
 and HTML escapes, base64 runs and, inside those, gzip, zlib or bzip2 data, until nothing new
-appears; layers that were seen are not taken again, so cycles end.  Every layer is scanned with
-the same patterns and keeps, for each of its characters, the span of the original text that it
-came from.
+appears; a layer of the same text from the same place is not taken again, so cycles end, but
+every copy of an encoded text counts.  Every layer is scanned with the same patterns and keeps,
+for each of its characters, the span of the original text that it came from.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import bz2
 import hashlib
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -160,9 +161,16 @@ def _unpacked(layer: Layer) -> Iterator[Layer]:
             yield inner, where
 
 
+def _key(layer: Layer) -> bytes:
+    """A digest of a layer's text and of where its characters come from."""
+    h = hashlib.blake2b(layer[0].encode("utf-8", "surrogatepass"), digest_size=16)
+    h.update(b"\xff" + array("q", [x for span in layer[1] for x in span]).tobytes())
+    return h.digest()
+
+
 def layers(text: str) -> Iterator[Layer]:
     """All decoded layers under the text, without the text itself."""
-    seen, work = {text}, [(text, None)]
+    seen, work = set(), [(text, None)]
     while work:
         layer = work.pop()
         found = []
@@ -172,8 +180,8 @@ def layers(text: str) -> Iterator[Layer]:
             found.append(new)
         found.extend(_unpacked(layer))
         for new in found:
-            if new[0] not in seen:
-                seen.add(new[0])
+            if (key := _key(new)) not in seen:
+                seen.add(key)
                 work.append(new)
                 yield new
 

@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import json
 import random
+import re
 import urllib.parse
 import zlib
 
@@ -161,6 +162,18 @@ def test_secret_scan_base_and_layers(spark):
     assert not any("hunter2" in (r["text"] or "") for r in clean)
 
 
+def test_every_copy_of_an_encoded_secret_counts(spark):
+    b = lambda t: base64.b64encode(t).decode()
+    one, squeezed = b(b"password=hunter2hunter2"), b(zlib.compress(b"password=hunter2hunter2"))
+    texts = [f"a {one} b {one} c", f"a {one} b {b(one.encode())} c {one}", f"a {squeezed} b {squeezed} c", f"a {one} b {urllib.parse.quote('é ' + one, safe='')}"]
+    for text, n in zip(texts, (2, 3, 2, 2)):
+        spans = secretscan.find_secrets(text)[1]
+        blobs = [(m.start(), m.end()) for m in re.finditer("[A-Za-z0-9+/=]{30,}", text)]
+        assert len(spans) == n and all(any(x <= a and b <= y for a, b, _ in spans for x, y in [blob]) for blob in blobs), text
+    clean = [r["text"] for r in secretscan.redact_secrets(table(spark, texts)).orderBy("doc_id").collect()]
+    assert clean[0] == "a [SECRET]= b [SECRET]= c" and clean[2].count("[SECRET]") == 2 and not any(one[:12] in c or squeezed[:12] in c for c in clean)
+
+
 def test_licenses(spark):
     mit = licenses.LICENSES[0][1]
     texts = ODD + [mit, "Copyright (c) 2020 Someone\n" + mit.upper().replace("license", "licence"), "text\nReleased under the MIT Licence!\nmore", mit + " extra"]
