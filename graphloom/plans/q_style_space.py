@@ -268,6 +268,13 @@ def e2(spark, sf_dir: str) -> DataFrame:
     return ev.bubble(log, graphs.geo(spark, sf_dir)).select("target", "level", F.col("at").alias("reached"))
 
 
+@query("e2_bubble_every", f"SELECT {TARGET} AS target, 0 AS level, {TARGET} AS reached FROM events UNION ALL SELECT {TARGET}, depth, ancestor FROM events JOIN gc ON gc.id = {TARGET} UNION ALL SELECT {TARGET}, 3, NULL FROM events".join(["WITH " + graphs.GEO.strip() + " ", ""]))
+def e2_every(spark, sf_dir: str) -> DataFrame:
+    """Bubbling of the whole table of events."""
+    log = graphs.table(spark, sf_dir, "events").select(F.col("event_type").alias("type"), F.concat(F.lit("c"), (1 + F.col("user_id") % 20).cast("string")).alias("target"), "ts")
+    return ev.bubble(log, graphs.geo(spark, sf_dir)).select("target", "level", F.col("at").alias("reached"))
+
+
 @query("e3_replay", "SELECT 'u' || user_id AS target, event_type AS type, arg_max(value, ts) AS value FROM events GROUP BY 1, 2")
 def e3(spark, sf_dir: str) -> DataFrame:
     return ev.replay(graphs.flow(spark, sf_dir))

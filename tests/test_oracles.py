@@ -34,3 +34,10 @@ def test_query_equals_sql(spark, name):
 
 def test_every_oracle_has_a_query():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
+
+
+def test_every_event_bubbles(spark):
+    """Each event gives a row at its target, at two ancestors and at the core, as its SQL says."""
+    rows = catalog.queries()["e2_bubble_every"](spark, DIR)
+    assert rows.count() == 4 * spark.read.parquet(f"{DIR}/events.parquet").count()
+    test_query_equals_sql(spark, "e2_bubble_every")
