@@ -1,17 +1,19 @@
 """Operator 3: secret scans over recursively decoded layers.
 
 The text itself is the first layer.  A worklist unwraps each layer: percent escapes, Unicode
-and HTML escapes, base64 runs and, inside those, gzip, zlib or bzip2 data, until nothing new
-appears; a layer of the same text from the same place is not taken again, so cycles end, but
-every copy of an encoded text counts.  Every layer is scanned with the same patterns and keeps,
-for each of its characters, the span of the original text that it came from.
+and HTML escapes, base64 runs (of one line or wrapped, from each of the four alignments) and, inside
+those, gzip, zlib or bzip2 data, until nothing new appears; a layer of the same text from the same
+place is not taken again, so cycles end, but every copy of an encoded text counts.  Every layer is
+scanned with the same patterns and keeps, for each of its characters, the span of the original
+text that it came from.  Compressed data come from their run as a whole, so they are inflated in
+pieces, to their end, and only the kinds of secrets in them are kept.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
+import codecs
 import hashlib
 import re
 import zlib
@@ -32,9 +34,15 @@ LEAST_VALUE = 8
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|(?:\\u[0-9A-Fa-f]{4})+|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{12,}={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+BREAKS = re.compile(r"[\r\n \t=]+")
+LEAST_RUN = 12
+PACKED = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\x78[\x01\x5e\x9c\xda]")
 QUICK = re.compile(r"[:=]")
-#: A compressed layer may grow to so many bytes; a bomb is read up to there and no further.
-INFLATE_BYTES = 1 << 24
+#: Inflated data pass in pieces of so many bytes; those of up to KEPT_BYTES are kept to be inflated further.
+PIECE_BYTES, KEPT_BYTES = 1 << 18, 1 << 24
+#: Behind these, text can be cut: no secret, escape or run goes across them, nor does one in a layer decoded from the text.
+CUT = re.compile(r"[,!?()<>|*@$^~`\[\]]|[g-zG-Z]\x20(?=[A-Za-z])")
 
 Layer = tuple[str, list[tuple[int, int]] | None]
 
@@ -110,53 +118,102 @@ def _escape(m: re.Match) -> list[tuple[str, int, int]] | None:
     return None if code > 0x10FFFF or 0xD800 <= code < 0xE000 else [(chr(code), 0, len(s))]
 
 
-def _inflated(data: bytes) -> bytes | None:
-    try:
-        if data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] == 0x78 and (data[0] * 256 + data[1]) % 31 == 0):
-            return zlib.decompressobj(47).decompress(data, INFLATE_BYTES)
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, INFLATE_BYTES)
-    except (zlib.error, OSError, ValueError, EOFError):
-        pass
-    return None
-
-
-def _readable(data: bytes) -> str | None:
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c in "\t\n\r" for c in text) else None
-
-
-def _base64(run: str) -> bytes | None:
-    body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
-    try:
-        return base64.b64decode(body + "=" * (-len(body) % 4))
-    except (binascii.Error, ValueError):
-        return None
-
-
-def _unpacked(layer: Layer) -> Iterator[Layer]:
+def _decoder(head: bytes):
+    """What inflates data that begin so, or None."""
+    if head[:2] == b"\x1f\x8b" or (len(head) > 2 and head[0] == 0x78 and (head[0] * 256 + head[1]) % 31 == 0):
+        return zlib.decompressobj(47)
+    return bz2.BZ2Decompressor() if head[:3] == b"BZh" else None
+
+
+def _inflated(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    """In pieces, what the compressed data hold, with all members that follow each other; ends where
+    the data end or break."""
+    data = b""
+    while True:
+        while len(data) < 3 and (more := next(chunks, b"")):
+            data = (data + more).lstrip(b"\0")
+        stream = _decoder(data)
+        if stream is None:
+            return
+        try:
+            while not stream.eof:
+                out = stream.decompress(data, PIECE_BYTES)
+                data = getattr(stream, "unconsumed_tail", b"")
+                if out:
+                    yield out
+                elif not stream.eof and not data and not (data := next(chunks, b"")):
+                    return
+        except (zlib.error, OSError, ValueError, EOFError):
+            return
+        data = stream.unused_data.lstrip(b"\0")
+
+
+def _pieces(chunks: Iterator[bytes]) -> Iterator[str]:
+    """The text of the data in pieces that no match goes across."""
+    decoder, parts = codecs.getincrementaldecoder("utf-8")("surrogateescape"), []
+    for chunk in chunks:
+        text = decoder.decode(chunk)
+        for size in (256, 8192, len(text)):
+            if cuts := [m.end() for m in CUT.finditer(text, max(0, len(text) - size))]:
+                yield "".join([*parts, text[: cuts[-1]]])
+                parts, text = [], text[cuts[-1] :]
+                break
+        parts.append(text)
+    yield "".join([*parts, decoder.decode(b"", True)])
+
+
+def _kinds(data: bytes, memo: dict[bytes, set[int]]) -> set[int]:
+    """The kinds of secrets in compressed data and in what these hold in turn."""
+    key = hashlib.blake2b(data, digest_size=16).digest()
+    if key in memo:
+        return memo[key]
+    found = memo[key] = set()
+    source, seen = lambda: (data[i : i + PIECE_BYTES] for i in range(0, len(data), PIECE_BYTES)), {key}
+    while True:
+        level, head, size, kept = hashlib.blake2b(digest_size=16), b"", 0, []
+
+        def passing(chunks: Iterator[bytes]) -> Iterator[bytes]:
+            nonlocal head, size
+            for chunk in chunks:
+                level.update(chunk)
+                head, size = head + chunk[: 3 - len(head)] if len(head) < 3 else head, size + len(chunk)
+                kept.append(chunk) if size <= KEPT_BYTES else kept.clear()
+                yield chunk
+
+        inner = lambda outer=source: _inflated(iter(outer()))
+        for text in _pieces(passing(inner())):
+            found.update(kind for _, _, kind in scan(text))
+            found.update(kind for _, _, kind in _decoded(text, memo))
+            if len(found) == len(KINDS):
+                return found
+        if level.digest() in seen or _decoder(head) is None:
+            return found
+        seen.add(level.digest())
+        source = (lambda whole=kept: whole) if size <= KEPT_BYTES else inner
+
+
+def _unpacked(layer: Layer, memo: dict[bytes, set[int]], secrets: set[tuple[int, int, int]]) -> Iterator[Layer]:
+    """The layers that base64 runs hold; secrets in compressed data are added to ``secrets``."""
     text, spans = layer
-    for m in BASE64.finditer(text):
-        data = _base64(m[0])
-        if data is None:
+    for m in (m for pattern in (BASE64, WRAPPED) for m in pattern.finditer(text)):
+        body = BREAKS.sub("", m[0]).replace("-", "+").replace("_", "/")
+        if len(body) < LEAST_RUN:
             continue
-        whole = _origin(spans, m.start(), m.end())
-        squeezed = False
-        while (more := _inflated(data)) is not None and more != data:
-            data, squeezed = more, True
-        if squeezed:
-            inner = data.decode("utf-8", "replace")
-            yield inner, [whole] * len(inner)
-        elif (inner := _readable(data)) is not None:
+        place = range(m.start(), m.end()) if m.re is BASE64 else [i for i in range(m.start(), m.end()) if text[i] not in "\r\n \t="]
+        for k in range(4):
+            size = len(body) - k - ((len(body) - k) % 4 == 1)
+            data = base64.b64decode(body[k : k + size] + "=" * (-size % 4))
+            starts = [x.start() for x in PACKED.finditer(data)]
+            for at in starts if _decoder(data) is None or 0 in starts else [0, *starts]:
+                if kinds := _kinds(data[at:] if at else data, memo):
+                    secrets.update((*_origin(spans, place[k + at * 8 // 6], m.end()), kind) for kind in kinds)
+            inner = data.decode("utf-8", "surrogateescape")
+            if not (scan(inner) or any(p.search(inner) for p in (PERCENT, ESCAPE, BASE64, WRAPPED))):
+                continue
             where, at = [], 0
             for c in inner:
-                n = len(c.encode())
-                where.append(_origin(spans, m.start() + at * 8 // 6, min(m.end(), m.start() + -(-(at + n) * 8 // 6))))
+                n = 1 if "\udc80" <= c <= "\udcff" else len(c.encode())
+                where.append(_origin(spans, place[k + at * 8 // 6], place[k - (-(at + n) * 8 // 6) - 1] + 1))
                 at += n
             yield inner, where
 
@@ -168,8 +225,9 @@ def _key(layer: Layer) -> bytes:
     return h.digest()
 
 
-def layers(text: str) -> Iterator[Layer]:
-    """All decoded layers under the text, without the text itself."""
+def _decoded(text: str, memo: dict[bytes, set[int]]) -> set[tuple[int, int, int]]:
+    """Secrets of all decoded layers under the text, without those of the text itself."""
+    secrets: set[tuple[int, int, int]] = set()
     seen, work = set(), [(text, None)]
     while work:
         layer = work.pop()
@@ -178,21 +236,19 @@ def layers(text: str) -> Iterator[Layer]:
             found.append(new)
         if ("\\" in layer[0] or "&#" in layer[0]) and (new := _replaced(layer, ESCAPE, _escape)):
             found.append(new)
-        found.extend(_unpacked(layer))
+        found.extend(_unpacked(layer, memo, secrets))
         for new in found:
             if (key := _key(new)) not in seen:
                 seen.add(key)
                 work.append(new)
-                yield new
+                secrets.update((*_origin(new[1], a, b), kind) for a, b, kind in scan(new[0]))
+    return secrets
 
 
 def find_secrets(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Spans of the text itself, and those together with what the decoded layers add."""
     base = scan(text)
-    every = set(base)
-    for inner, where in layers(text):
-        every.update((*_origin(where, a, b), kind) for a, b, kind in scan(inner))
-    return base, sorted(every, key=lambda s: (s[0], s[2], s[1]))
+    return base, sorted({*base, *_decoded(text, {})}, key=lambda s: (s[0], s[2], s[1]))
 
 
 def spans_text(spans: list[tuple[int, int, int]]) -> str:

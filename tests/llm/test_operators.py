@@ -174,6 +174,40 @@ def test_every_copy_of_an_encoded_secret_counts(spark):
     assert clean[0] == "a [SECRET]= b [SECRET]= c" and clean[2].count("[SECRET]") == 2 and not any(one[:12] in c or squeezed[:12] in c for c in clean)
 
 
+def test_encoded_layers_are_read_to_their_end():
+    import bz2
+
+    secret = b"password=hunter2hunter2"
+    b = lambda t: base64.b64encode(t).decode()
+    long = b"some words again, " * 1_200_000  # over 20 MB
+    wrapped = lambda t, end: end.join(b(t)[i : i + 64] for i in range(0, len(b(t)), 64))
+    noise = bytes(random.Random(5).randrange(256) for _ in range(200))
+    blobs = [
+        b(zlib.compress(long + secret)), b(gzip.compress(gzip.compress(long + secret))), b(bz2.compress(long + secret)),
+        b(gzip.compress(b"one") + gzip.compress(secret)), b(bz2.compress(b"one") + bz2.compress(secret)), b(gzip.compress(b"one") + b"\0" * 9 + gzip.compress(secret)),
+        *(b(("é" + odd + " ").encode() + secret) for odd in "\u00a0\ufeff\u200b\u00ad\f\u3000\0"), b(b"\xff\xfe " + secret),
+        *("path/to/x"[:n] + "/" + b(b"some " + secret + b" more") for n in range(5, 9)), "path/to/xy/" + b(gzip.compress(secret)),
+        wrapped(b"first " * 20 + secret + b" last" * 20, "\n"), wrapped(noise + secret + noise, "\r\n\t "), wrapped(gzip.compress(noise + secret), "\n"), "word\n" + wrapped(gzip.compress(noise + secret), "\n"),
+        b(zlib.compress(b"some words, " * 30_000 + b(zlib.compress(secret)).encode())),
+    ]
+    for blob in blobs:
+        text = f"é {blob} post"
+        spans = secretscan.find_secrets(text)[1]
+        assert spans and all(2 <= x < y <= 2 + len(blob) and kind == 0 for x, y, kind in spans), blob[:80]
+    assert secretscan.find_secrets("é " + b(zlib.compress(long)) + " post")[1] == []
+
+
+def test_cuts_change_nothing():
+    rng = random.Random(6)
+    parts = ["password", " ", "  ", ":", "=", "%3D", "%20", "\\u003d", "'", '"', "hunter2hunter2", "z a", "e a", ",", "\n", "k", "AKIA", "B" * 12, "0a" * 16, base64.b64encode(b"token=abcdefgh").decode()]
+    for _ in range(1500):
+        text = "".join(rng.choice(parts) for _ in range(12))
+        data = text.encode()
+        pieces = list(secretscan._pieces(iter([data[i : i + 9] for i in range(0, len(data), 9)])))
+        kinds = lambda t: {k for *_, k in secretscan.find_secrets(t)[1]}
+        assert "".join(pieces) == text and set().union(*map(kinds, pieces)) == kinds(text), text
+
+
 def test_licenses(spark):
     mit = licenses.LICENSES[0][1]
     texts = ODD + [mit, "Copyright (c) 2020 Someone\n" + mit.upper().replace("license", "licence"), "text\nReleased under the MIT Licence!\nmore", mit + " extra"]
