@@ -103,22 +103,22 @@ class Graph:
         )).alias("e")).select("e.*")
         return ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree"), F.sum("i").alias("indegree"), F.sum("o").alias("outdegree"))
 
-    def closure(self, max_depth: int = 64) -> DataFrame:
+    def closure(self) -> DataFrame:
         """``id, ancestor, depth`` of the compound hierarchy, nearest ancestor first (depth 1).
-        Stops when no node has an ancestor at the next level; hierarchies are shallow trees."""
+        Each round doubles the depth, until nothing is deeper; a hierarchy with a ring raises."""
         from graphloom.operators.iterate import cut
 
         up = self.nodes.where("parent is not null").select("id", "parent")
         up = up.join(self.nodes.select(F.col("id").alias("parent")), "parent", "left_semi")
-        level = cut(up.select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")))
-        found = level
-        for depth in range(2, max_depth + 1):
-            step = up.select(F.col("id").alias("ancestor"), F.col("parent").alias("next"))
-            level = cut(level.join(step, "ancestor").select("id", F.col("next").alias("ancestor"), F.lit(depth).alias("depth")))
+        found = level = cut(up.select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")))
+        deepest = 1
+        while level.where("id = ancestor").isEmpty():
+            step = found.where(F.col("depth") == deepest).select(F.col("id").alias("ancestor"), F.col("ancestor").alias("next"))
+            level = cut(found.join(step, "ancestor").select("id", F.col("next").alias("ancestor"), (F.col("depth") + deepest).alias("depth")))
             if level.isEmpty():
-                break
-            found = found.unionByName(level)
-        return found
+                return found
+            found, deepest = found.unionByName(level), 2 * deepest
+        raise ValueError("a node of the hierarchy is its own ancestor")
 
     def parents(self) -> DataFrame:
         """``id`` of nodes that are the parent of some node."""

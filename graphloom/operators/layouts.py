@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -125,35 +126,42 @@ def circle(c: Collection, box: Box = (0, 0, 1000, 1000), start: float = 1.5 * ma
 @layout("concentric")
 def concentric(c: Collection, value: Column | None = None, width: float | None = None, box: Box = (0, 0, 1000, 1000), spacing: float = 10.0, start: float = 1.5 * math.pi) -> DataFrame:
     """Rings of falling ``value`` (default: degree): a new ring begins when the value is ``width`` (default: a quarter of
-    the largest degree) away from its ring's first.  The rings follow from the distinct values,
-    a small table; places in the rings follow from ranks."""
+    the largest degree) away from its ring's first.  The distinct values pass by the driver in
+    order, which keeps the rings only; places in the rings follow from ranks."""
     from graphloom.operators.aggregate import degrees
 
     d = degrees(c)
     rows = c.nodes.join(c.graph.parents(), "id", "left_anti").join(d.select("id", "degree"), "id")
     rows = cut(rows.withColumn("__v", F.col("degree").cast("double") if value is None else value.cast("double")))
     wide = width if width is not None else (rows.agg(F.max("degree")).first()[0] or 0) / 4
-    counts = sorted(((r["__v"], r["n"]) for r in rows.groupBy("__v").agg(F.count(F.lit(1)).alias("n")).limit(1_000_000).collect()), reverse=True)
-    rings: list[list] = []
-    for v, n in counts:
-        if not rings or abs(rings[-1][0] - v) >= wide and rings[-1][1]:
-            rings.append([v, 0, []])
-        rings[-1][1] += n
-        rings[-1][2].append(v)
+    values = rows.groupBy("__v").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("__v").desc())
+    firsts, counts = array("d"), array("q")
+    for v, n in values.toLocalIterator():
+        if not firsts or abs(firsts[-1] - v) >= wide:
+            firsts.append(v)
+            counts.append(0)
+        counts[-1] += n
     size = float(c.nodes.agg(F.max("width")).first()[0] or 1) if "width" in c.nodes.columns else 1.0
-    least, r, table = size + spacing, 0.0, []
-    for i, (_, n, values) in enumerate(rings):
+    least, r, steps, radii = size + spacing, 0.0, array("d"), array("d")
+    for n in counts:
         sweep = 2 * math.pi - 2 * math.pi / n
         step = sweep / max(1, n - 1)
         if n > 1:
             dx, dy = math.cos(step) - 1, math.sin(step)
             r = max(r, math.sqrt(least * least / (dx * dx + dy * dy)))
-        table += [(v, i, step, r) for v in values]
+        steps.append(step)
+        radii.append(r)
         r += least
-    t = rows.sparkSession.createDataFrame(table or [(0.0, 0, 0.0, 0.0)], "__v double, ring int, step double, r double")
-    placed = global_index(rows.join(F.broadcast(t), "__v"), ["ring", F.col("__v").desc(), "ord"], "__i")
-    first = placed.groupBy("ring").agg(F.min("__i").alias("__f"))
-    placed = placed.join(F.broadcast(first), "ring")  # one row a ring
+    heads, before = -np.array(firsts), np.cumsum([0, *counts])[:-1]
+    by_ring = np.array(steps), np.array(radii), before
+
+    @F.pandas_udf("ring int, step double, r double, __f long")
+    def ring_of(v: pd.Series) -> pd.DataFrame:
+        i = np.searchsorted(heads, -v.to_numpy(), side="right") - 1
+        return pd.DataFrame({"ring": i.astype("int32"), **dict(zip(("step", "r", "__f"), (x[i] for x in by_ring)))})
+
+    placed = cut(rows.withColumn("__r", ring_of("__v"))).select("*", "__r.*").drop("__r")
+    placed = global_index(placed, ["ring", F.col("__v").desc(), "ord"], "__i")
     theta = F.lit(start) + (F.col("__i") - F.col("__f")) * F.col("step")
     return placed.select("id", (F.lit(box[0] + box[2] / 2) + F.col("r") * F.cos(theta)).alias("x"), (F.lit(box[1] + box[3] / 2) + F.col("r") * F.sin(theta)).alias("y"), "ring")
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
-from graphloom.operators import aggregate, centrality, clustering, kernels, mutate, paths, traverse
+from graphloom.operators import aggregate, centrality, clustering, kernels, layouts, mutate, paths, traverse
 from graphloom.plans import selector
 from graphloom.sources import elements
 
@@ -158,6 +158,26 @@ def test_changes(compound):
     assert {r["id"] for r in chosen.elements(":selected").ids().collect()} == {"n1", "nparent", "nparent2", "n3.item"}
 
 
+def test_deep_hierarchy(spark):
+    n = spark.range(70).select(F.concat(F.lit("d"), "id").alias("id"), F.when(F.col("id") > 0, F.concat(F.lit("d"), F.col("id") - 1)).alias("parent"), F.col("id").alias("ord"))
+    e = n.limit(0).select("id", F.col("id").alias("source"), F.col("id").alias("target"), "ord")
+    found = {(r["id"], r["ancestor"], r["depth"]) for r in Graph.of(n, e).closure().collect()}
+    assert found == {(f"d{i}", f"d{j}", i - j) for i in range(70) for j in range(i)}
+    ring = n.withColumn("parent", F.coalesce("parent", F.lit("d69")))
+    with pytest.raises(ValueError, match="own ancestor"):
+        Graph.of(ring, e).closure()
+
+
+def test_concentric_rings(spark):
+    """A million and more of distinct values: every node is placed, in the ring that a plain loop gives."""
+    many = 1_000_500
+    n = spark.range(many).select(F.col("id").cast("string"), F.lit(None).cast("string").alias("parent"), F.col("id").alias("ord"), F.col("id").cast("double").alias("score"))
+    g = Graph.of(n, n.limit(0).select("id", F.col("id").alias("source"), F.col("id").alias("target"), "ord"))
+    placed = layouts.run(g.elements(), "concentric", value=F.col("score"), width=100_000.0)
+    assert {r["ring"]: r["count"] for r in placed.groupBy("ring").count().collect()} == {**dict.fromkeys(range(10), 100_000), 10: 500}
+    assert placed.where((F.col("id").cast("long") <= many - 1 - 100_000) != (F.col("ring") > 0)).isEmpty()
+
+
 def test_euler_and_biconnected(spark):
     e = [("x", "a", "b"), ("y", "b", "c"), ("z", "c", "a"), ("u", "c", "d")]
     n = spark.createDataFrame([(v, i) for i, v in enumerate("abcdq")], "id string, ord long")
