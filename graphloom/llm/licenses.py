@@ -8,6 +8,9 @@ is compared as an entire unit.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,27 +99,91 @@ Permission is granted to anyone to use this software for any purpose, including
 
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright\b|\(c\)|©)(?:[^\n]*(?:19|20)[0-9]{2})[^\n]*$"
 
-
-def canonical(text: Column) -> Column:
+#: Also without a year; lines of wrapped license texts may begin with the word, too.
+ANY_COPYRIGHT_LINE = (
+    r"(?m)^[^\p{L}\p{N}\n]*(?:(?:copyright\b|\(c\)|©)[^\n]*(?:19|20)[0-9]{2}|copyright[ \t]*(?:\(c\)|©|:)|(?:\(c\)|©)[ \t]*copyright\b|©|all rights reserved\b|copyright[ \t]+(?!(?:[a-z]*ed|"
+    r"holders?|owners?|notices?|laws?|licen[sc]es?|interests?|statements?|acts?|treat(?:y|ies)|permissions?|and|or|in|on|of|to|the|is|are|does|for|rights?|"
+    r"disclaimers?|infringement|ownership|status|material|protection|terms|as|may|that|which|will|works?|resulting)\b)\p{L})[^\n]*$"
+)
+
+# Licenses with the names that notices give them.
+NAMED = {
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD License", "0BSD License"],
+    "AGPL-3.0": ["GNU Affero General Public License, version 3", "GNU Affero General Public License v3.0", "AGPL-3.0 license", "AGPLv3"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache-2.0 license", "Apache License"],
+    "Artistic-1.0": ["Artistic License 1.0", "Artistic License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License", "BSD-2-Clause license"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Modified BSD License", "BSD-3-Clause license"],
+    "CC0-1.0": ["CC0 1.0", "CC0 1.0 Universal", "Creative Commons CC0 1.0 Universal License", "Creative Commons Zero v1.0 Universal License"],
+    "GFDL-1.2": ["GNU Free Documentation License, version 1.2"],
+    "GFDL-1.3": ["GNU Free Documentation License, version 1.3"],
+    "GPL-1.0": ["GNU General Public License, version 1"],
+    "GPL-2.0": ["GNU General Public License, version 2", "GNU General Public License v2.0", "GPL-2.0 license", "GPLv2"],
+    "GPL-3.0": ["GNU General Public License, version 3", "GNU General Public License v3.0", "GPL-3.0 license", "GPLv3"],
+    "ISC": ["ISC License"],
+    "LGPL-2.0": ["GNU Library General Public License, version 2"],
+    "LGPL-2.1": ["GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1", "LGPL-2.1 license"],
+    "LGPL-3.0": ["GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3.0", "LGPL-3.0 license", "LGPLv3"],
+    "MIT": ["MIT License", "MIT"],
+    "MPL-1.1": ["Mozilla Public License, Version 1.1", "Mozilla Public License 1.1"],
+    "MPL-2.0": ["Mozilla Public License, Version 2.0", "Mozilla Public License 2.0", "Mozilla Public License, v. 2.0", "MPL-2.0 license"],
+    "Unlicense": ["Unlicense"],
+    "Zlib": ["zlib License"],
+}
+SAID = "{0}.|Licensed under {0}.|Licensed under the {0}.|Released under {0}.|Released under the {0}.|Distributed under the {0}.|This work is licensed under {0}.|This work is licensed under the {0}.|This work is licensed under a {0}.|This software is licensed under the {0}.|This project is licensed under the {0}.".split("|")
+FORMS = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+BSD3 = """
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+THIS SOFTWARE IS PROVIDED"""
+TEXTS = {"Artistic": "Artistic-1.0", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-3": "LGPL-3.0"}
+
+
+def public() -> list[tuple[str, str]]:
+    """``LICENSES`` and further public licenses: texts with and without their titles and what follows
+    their terms, and notices."""
+    found = list(LICENSES)
+    full = {name: text for name, text in LICENSES if "\n" in text}
+    full["BSD-3-Clause"] = full["BSD-2-Clause"].replace("\nTHIS SOFTWARE IS PROVIDED", BSD3)
+    for name, text in full.items():
+        found += [(name, text), *((name, f"{head}{title}\n{text}") for title in NAMED[name] for head in ("", "The "))]
+        found += [(name, f"{head}{title} ({name})\n{text}") for title in NAMED[name] for head in ("", "The ")]
+    for file in sorted((Path(__file__).parent / "license_texts").iterdir()):
+        name, text = TEXTS.get(file.name, file.name), file.read_text()
+        ends = [text, *(text[: i + n] for i in [text.find("END OF TERMS AND CONDITIONS")] if i >= 0 for n in (0, 27))]
+        found += [(name, t) for end in ends for t in (end, end.lstrip().partition("\n")[2])]
+    for name, titles in NAMED.items():
+        found += [(name, said.format(title)) for title in titles for said in SAID if said != "{0}." or title not in ("MIT", "Unlicense")]
+        found += [(name, f"SPDX-License-Identifier: {name}{end}") for end in (("", "-only", "-or-later") if "GPL" in name or "GFDL" in name else ("",))]
+    for form, words in FORMS.items():
+        for version in ("1.0", "2.0", "2.5", "3.0", "4.0"):
+            kind = "International" if version == "4.0" else "Unported" if version == "3.0" else "Generic"
+            name, long = f"CC-{form}-{version}", [w for w in {words, words.replace("NoDerivatives", "NoDerivs"), words.replace("NonCommercial", "Noncommercial"), words.replace("ShareAlike", "Share Alike")}]
+            titles = [f"CC {form} {version}", f"CC-{form}-{version} license", f"CC {form} {version} license"]
+            titles += [f"Creative Commons {w} {version}{k}{end}" for w in long for k in ("", f" {kind}") for end in ("", " License")]
+            found += [(name, said.format(t)) for t in titles for said in SAID] + [(name, f"SPDX-License-Identifier: {name}")]
+    return sorted(set(found))
+
+
+def canonical(text: Column, copyright_line: str = COPYRIGHT_LINE) -> Column:
     """Canonical form, with one blank between words; null stays null."""
-    low = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
+    low = F.regexp_replace(F.lower(text), copyright_line, " ")
     words = F.concat(F.lit(" "), F.regexp_replace(low, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
     for said, meant in SPELLINGS.items():
         words = F.replace(words, F.lit(f" {said} "), F.lit(f" {meant} "))
     return F.trim(words)
 
 
-def digest(text: Column) -> Column:
-    return F.sha2(canonical(text).cast("binary"), 256)
+def digest(text: Column, copyright_line: str = COPYRIGHT_LINE) -> Column:
+    return F.sha2(canonical(text, copyright_line).cast("binary"), 256)
 
 
-def catalogue(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
+def catalogue(spark: SparkSession, known: list[tuple[str, str]] | None = None, copyright_line: str = COPYRIGHT_LINE) -> DataFrame:
     """``digest, license`` of known texts: the built-in ones or the given (name, text) pairs."""
     rows = spark.createDataFrame(LICENSES if known is None else known, "license string, text string")
-    return rows.select(digest(F.col("text")).alias("digest"), "license").distinct()
+    return rows.select(digest(F.col("text"), copyright_line).alias("digest"), "license").distinct()
 
 
-def scan_licenses(df: DataFrame, known: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(df: DataFrame, known: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text", copyright_line: str = COPYRIGHT_LINE) -> DataFrame:
     """``id_col, text_digest, whole string, licenses string`` for every row: the digest of the
     canonical whole text, the license that the whole text is (or null) and all licenses found as
     whole text or as a line, sorted and joined with commas (or empty).
@@ -125,17 +192,26 @@ def scan_licenses(df: DataFrame, known: list[tuple[str, str]] | None = None, id_
     Lines are looked up in the same table inside their row, so that no line crosses the network.
     Null text: null digest, nothing found.  Repeated rows repeat; if the catalogue gives one
     digest several names, the first by name counts."""
-    table = catalogue(df.sparkSession, known).groupBy("digest").agg(F.min("license").alias("whole"))
+    table = catalogue(df.sparkSession, known, copyright_line).groupBy("digest").agg(F.min("license").alias("whole"))
     names = {r["digest"]: r["whole"] for r in table.collect()}
     text = F.col(text_col).cast("string")
-    docs = df.select(F.col(id_col), digest(text).alias("text_digest"), F.split(text, "\n").alias("__lines"))
+    docs = df.select(F.col(id_col), digest(text, copyright_line).alias("text_digest"), F.split(text, "\n").alias("__lines"))
     docs = docs.join(F.broadcast(table.withColumnRenamed("digest", "text_digest")), "text_digest", "left")
-    lookup = F.create_map(*[F.lit(x) for pair in names.items() for x in pair]) if names else F.lit(None).cast("map<string,string>")
-    found = F.transform("__lines", lambda x: F.try_element_at(lookup, digest(x)))
+    lookup = _lookup(names)
+    found = F.transform(F.transform("__lines", lambda x: digest(x, copyright_line)), lookup)
     every = F.array_sort(F.array_distinct(F.array_compact(F.concat(found, F.array("whole")))))
     return docs.select(id_col, "text_digest", "whole", F.coalesce(F.array_join(every, ","), F.lit("")).alias("licenses"))
 
 
+def _lookup(names: dict[str, str]) -> Callable[[Column], Column]:
+    """Names by digest; a constant map is read from its start, so many names go to maps by the first two digits."""
+    of = lambda pairs: F.create_map(*[F.lit(x) for pair in pairs for x in pair]) if pairs else F.lit(None).cast("map<string,string>")
+    if len(names) <= 64:
+        return lambda d: F.try_element_at(of(list(names.items())), d)
+    maps = F.array(*[of([p for p in names.items() if p[0].startswith(f"{i:02x}")]) for i in range(256)])
+    return lambda d: F.try_element_at(F.element_at(maps, F.conv(F.substring(d, 1, 2), 16, 10).cast("int") + 1), d)
+
+
 def _sql_canonical(text: str) -> str:
     low = f"regexp_replace(lower({text}), '{COPYRIGHT_LINE}', ' ', 'g')"
     words = f"concat(' ', regexp_replace({low}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' ')"

@@ -34,6 +34,10 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(documents(spark, sf_dir))
 
 
+def op4_licenses_public(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(documents(spark, sf_dir), licenses.public(), copyright_line=licenses.ANY_COPYRIGHT_LINE)
+
+
 def op5_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linededup.dedup_lines(documents(spark, sf_dir))
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
@@ -66,7 +70,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_bpe, op2_neardup, op3_secrets, op4_licenses, op5_linededup, op6_sharding, op7_topk, op8_fingerprints, op9_packing, op10_langid)
+    every = (op1_bpe, op2_neardup, op3_secrets, op4_licenses, op4_licenses_public, op5_linededup, op6_sharding, op7_topk, op8_fingerprints, op9_packing, op10_langid)
     return {f.__name__: f for f in every}
 
 

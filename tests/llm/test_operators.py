@@ -219,6 +219,22 @@ def test_licenses(spark):
     assert licenses.scan_licenses(table(spark, [])).count() == 0
 
 
+def test_public_licenses(spark):
+    texts = {name: text for name, text in licenses.LICENSES if "\n" in text}
+    bsd = texts["BSD-2-Clause"].replace("\nTHIS SOFTWARE IS PROVIDED", licenses.BSD3)
+    apache = (licenses.Path(licenses.__file__).parent / "license_texts" / "Apache-2.0").read_text()
+    cases = [
+        ("MIT License\n\nCopyright (c) 2020 X\n\n" + texts["MIT"], "MIT"), ("The MIT License (MIT)\nCopyright (c) <holder>\n" + texts["MIT"], "MIT"), ("Copyright Some One\n" + texts["MIT"], "MIT"),
+        ("BSD 3-Clause License\nCopyright (c) 2021, X\nAll rights reserved.\n" + bsd, "BSD-3-Clause"), (apache, "Apache-2.0"), (" ".join(apache.split()), "Apache-2.0"), (apache.partition("END OF TERMS")[0], "Apache-2.0"),
+    ]
+    lines = [("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"), ("This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.", "CC-BY-SA-3.0"), ("SPDX-License-Identifier: LGPL-2.1-or-later", "LGPL-2.1"), ("licensed under CC BY", ""), ("copyright notice", "")]
+    scan = lambda x: {r["doc_id"]: r for r in licenses.scan_licenses(table(spark, x), licenses.public(), copyright_line=licenses.ANY_COPYRIGHT_LINE).collect()}
+    got = scan([t for t, _ in cases] + [f"some text\n{t}\nmore" for t, _ in lines])
+    assert [got[i]["whole"] for i in range(len(cases))] == [name for _, name in cases]
+    assert [got[len(cases) + i]["licenses"] for i in range(len(lines))] == [name for _, name in lines]
+    assert dict(licenses.public()).keys() >= {"GPL-2.0", "LGPL-3.0", "MPL-2.0", "CC0-1.0"}
+
+
 def brute_lines(texts, least):
     owner = {}
     for i, t in enumerate(texts):
