@@ -10,6 +10,7 @@ from graphloom.operators import centrality as cen
 from graphloom.operators import clustering as clu
 from graphloom.operators import kernels as ker
 from graphloom.operators import paths as pa
+from graphloom.plans import graphs
 from graphloom.plans.registry import query
 
 ROUNDS = 9
@@ -330,6 +331,15 @@ def k1_vectors(g: Graph) -> DataFrame:
     return clu.k_means(g.elements(), [F.col("a0"), F.col("a1")], k=2, name="manhattan", centroids=[[-0.1, 0.0], [0.1, 0.05]], max_iterations=3, sensitivity=0.0)
 
 
+@query("k1_k_means_embeddings")
+def k1_embeddings(spark, sf_dir: str) -> DataFrame:
+    """All 64 components, from the vectors of the two smallest ids, until no centroid moves; no SQL."""
+    g = graphs.vectors(spark, sf_dir, dims=64)
+    columns = [f"a{i}" for i in range(64)]
+    first = [list(r) for r in g.nodes.orderBy("ord").limit(2).select(*columns).collect()]
+    return clu.k_means(g.elements(), [F.col(a) for a in columns], k=2, centroids=first, max_iterations=10**9, sensitivity=1e-9)
+
+
 def medoids(rounds: int) -> str:
     out = [", e0 AS (SELECT * FROM (VALUES (0, 'n0'), (1, 'n11'), (2, 'n22')) v(j, id))"]
     for k in range(1, rounds + 1):

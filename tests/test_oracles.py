@@ -41,3 +41,16 @@ def test_every_event_bubbles(spark):
     rows = catalog.queries()["e2_bubble_every"](spark, DIR)
     assert rows.count() == 4 * spark.read.parquet(f"{DIR}/events.parquet").count()
     test_query_equals_sql(spark, "e2_bubble_every")
+
+
+def test_k_means_of_whole_embeddings(spark):
+    import numpy as np
+
+    rows = spark.read.parquet(f"{DIR}/embeddings.parquet").orderBy("vec_id").collect()
+    x = np.array([r["embedding"] for r in rows], np.float64)
+    centres, old = x[:2], None
+    while old is None or np.abs(centres - old).max() > 1e-9:
+        best = np.sqrt(((x[:, None] - centres[None]) ** 2).sum(axis=2)).argmin(axis=1)
+        old, centres = centres, np.stack([x[best == j].mean(axis=0) for j in range(2)])
+    got = {r["id"]: r["cluster"] for r in catalog.queries()["k1_k_means_embeddings"](spark, DIR).collect()}
+    assert x.shape[1] == 64 and got == {f"v{r['vec_id']}": j for r, j in zip(rows, best.tolist(), strict=True)}
