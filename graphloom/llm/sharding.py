@@ -1,71 +1,118 @@
 """Operator 6: sharding by a two-pass external shuffle, with DataFrame functions only.
 
-Pass one scatters the records uniformly into buckets of bounded bytes by a seeded hash; pass
-two draws a Fisher-Yates permutation of each bucket and writes the bucket in that order.  The
+Pass one scatters the records uniformly into buckets of bounded bytes by a seeded hash of their
+contents; pass two draws a Fisher-Yates permutation of each bucket and writes the bucket in that order.  The
 order of all records is that of the buckets, and shards are dealt from it in turn, so their
 row counts differ by one at most (law ``rows``).
+
+Nothing depends on files, partitions or attempts: keys come from contents, a bucket is sorted before it is
+drawn, and the partition that seeds the draw follows from the bucket's number.  A task that runs again gives the
+same rows, so no checkpoint is needed, and the same rows in other files get the same shards.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from functools import reduce
 
-from graphloom.llm.common import cut
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUCKET_BYTES = 16 << 20
 SEED = 42
+#: Rows that are equal in all columns more often than this are counted and numbered, so that they scatter like others.
+REPEATS = 1000
+#: Buckets whose beginnings one window adds up; beginnings of such chunks are added up in turn.
+CHUNK = 4096
+PLACED = ("law", "shard", "slot", "grown_shard")
 
 
 def record_bytes(text_col: str):
     return F.coalesce(F.octet_length(F.col(text_col).cast("string")).cast("long"), F.lit(0).cast("long")) + 1
 
 
-def external_shuffle(df: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` with ``__bucket int`` and ``__slot long``, a random order inside each bucket.
+def _flat(field: T.StructField) -> Column:
+    """A column as something that can be hashed; nested ones as JSON."""
+    col = F.col(f"`{field.name}`")
+    return F.to_json(F.struct(col)) if isinstance(field.dataType, (T.MapType, T.ArrayType, T.StructType, T.VariantType)) else col
+
+
+def _bytes(field: T.StructField) -> Column:
+    flat = _flat(field)
+    wide = not isinstance(field.dataType, T.AtomicType) or isinstance(field.dataType, (T.StringType, T.BinaryType))
+    return F.coalesce(F.octet_length(flat), F.lit(0)).cast("long") + 16 if wide else F.lit(16).cast("long")
+
+
+def _ordered(kind: T.DataType) -> bool:
+    return not isinstance(kind, (T.MapType, T.VariantType)) and all(_ordered(f.dataType) for f in getattr(kind, "fields", [])) and (not isinstance(kind, T.ArrayType) or _ordered(kind.elementType))
+
+
+def _numbered(df: DataFrame, seed: int) -> DataFrame:
+    """``__a, __b, __record``: two seeded hashes of each row's contents; those of rows that repeat often also
+    hold the number of the copy."""
+    flat = [_flat(f) for f in df.schema.fields]
+    nulls = F.concat(*[F.when(c.isNull(), "0").otherwise("1") for c in flat])  # a hash skips nulls
+    a, b = F.xxhash64(F.lit(seed), nulls, *flat), F.xxhash64(F.lit(seed + 1), nulls, *flat)
+    rows = df.select(a.alias("__a"), b.alias("__b"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__record"))
+    often = rows.groupBy("__a", "__b").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > REPEATS)
+    if often.isEmpty():
+        return rows
+    once = rows.join(often, ["__a", "__b"], "left_semi").groupBy("__a", "__b").agg(F.first("__record").alias("__record"), F.count(F.lit(1)).alias("__n"))
+    copies = once.select("__a", "__b", "__record", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))).alias("__k"))
+    copies = copies.select(F.xxhash64("__a", "__k").alias("__a"), F.xxhash64("__b", "__k").alias("__b"), "__record")
+    return rows.join(often, ["__a", "__b"], "left_anti").unionByName(copies)
+
+
+def _begins(sizes: DataFrame, by: str, level: int = 0) -> DataFrame:
+    """``by, __begin``: sums of ``__n`` over smaller numbers, added up chunk by chunk."""
+    chunk = F.floor(F.col(by) / CHUNK).cast("long")
+    inside = F.sum("__n").over(Window.partitionBy("__chunk").orderBy(by).rowsBetween(Window.unboundedPreceding, -1))
+    own = sizes.select(by, "__n", chunk.alias("__chunk")).withColumn("__inside", F.coalesce(inside, F.lit(0).cast("long")))
+    if level == 2:  # 2^36 buckets
+        return own.select(by, F.col("__inside").alias("__begin"))
+    whole = own.groupBy("__chunk").agg(F.sum("__n").alias("__n"))
+    before = _begins(whole.select(F.col("__chunk").alias(f"__c{level}"), "__n"), f"__c{level}", level + 1)
+    return own.join(before, own["__chunk"] == before[f"__c{level}"]).select(by, (F.col("__begin") + F.col("__inside")).alias("__begin"))
+
+
+def external_shuffle(df: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """The columns of ``df`` with ``__bucket long``, ``__slot long``, a random order inside each bucket, and ``__place long``, the
+    place among all rows.
 
-    A record's bucket depends on the seed, its id and its place in the input, so repeated rows
-    and rows without an id scatter like all others and no bucket outgrows its size by much.  The
-    permutation is drawn by ``shuffle`` (Fisher-Yates) from the bucket's sorted records and
-    checkpointed, so a lost executor can't change it.  A bucket's records must be orderable
-    (no map columns)."""
-    total = df.agg(F.sum(record_bytes(text_col))).first()[0] or 0
+    Any column may be null and rows may repeat: rows that are equal in all columns are told apart by nothing, and if
+    more than ``REPEATS`` are equal they are numbered, so that no bucket outgrows its size by much.  Sizes count all
+    columns.  No rows, no buckets."""
+    total = df.agg(F.sum(reduce(lambda x, y: x + y, [_bytes(f) for f in df.schema.fields]))).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
-    record = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    key = F.xxhash64(F.lit(seed), F.col(id_col), F.monotonically_increasing_id())
-    scattered = df.select(key.alias("__key"), record.alias("__record")).withColumn("__bucket", F.pmod("__key", F.lit(buckets)).cast("int"))
-    gathered = scattered.groupBy("__bucket").agg(F.array_sort(F.collect_list(F.struct("__key", "__record"))).alias("__all"))
-    drawn = gathered.sortWithinPartitions("__bucket").select("__bucket", F.shuffle("__all", seed=seed).alias("__all"))
-    written = cut(drawn.select("__bucket", F.posexplode("__all").alias("__slot", "__one")))
-    return written.select("__bucket", F.col("__slot").cast("long").alias("__slot"), "__one.__record.*")
+    keyed = _numbered(df, seed).withColumn("__bucket", F.pmod("__a", F.lit(buckets)))
+    begins = _begins(keyed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n")), "__bucket")
+    one = F.struct("__a", "__b", "__record")
+    order = None if _ordered(df.schema) else lambda x, y: F.when(x["__a"] < y["__a"], -1).when(x["__a"] > y["__a"], 1).when(x["__b"] < y["__b"], -1).when(x["__b"] > y["__b"], 1).otherwise(0)
+    dealt = keyed.repartition(min(buckets, 100_000), "__bucket")
+    gathered = dealt.groupBy("__bucket").agg(F.array_sort(F.collect_list(one), order).alias("__all")).join(begins, "__bucket")
+    drawn = gathered.sortWithinPartitions("__bucket").select("__bucket", "__begin", F.shuffle("__all", seed=seed).alias("__all"))
+    placed = drawn.select("__bucket", "__begin", F.posexplode("__all").alias("__slot", "__one"))
+    slot = F.col("__slot").cast("long")
+    return placed.select("__bucket", slot.alias("__slot"), (F.col("__begin") + slot).alias("__place"), "__one.__record.*")
 
 
-def assign_shards(df: DataFrame, shards: int = 8, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``df`` with ``law, shard, slot, grown_shard`` (``df`` must not have these):
+def assign_shards(df: DataFrame, shards: int = 8, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """All columns of ``df`` with ``law, shard, slot, grown_shard`` (columns of these names in ``df`` are replaced):
     law ``rows``, so ``grown_shard`` is null.  Slots of a shard run from 0 without gaps.  Null
-    and empty texts are records of one byte; no rows, no shards."""
-    shuffled = external_shuffle(df, seed, bucket_bytes, id_col, text_col)
-    sizes = {r["__bucket"]: r["count"] for r in shuffled.groupBy("__bucket").count().collect()}  # one row for each bucket
-    begin, total = [], 0
-    for b in range(max(sizes, default=-1) + 1):
-        begin.append(total)
-        total += sizes.get(b, 0)
-    table = df.sparkSession.createDataFrame(list(enumerate(begin)), "__bucket int, __begin long")
-    place = F.col("__begin") + F.col("__slot")
-    return (
-        shuffled.join(F.broadcast(table), "__bucket")
-        .select(
-            *[F.col(f"`{c}`") for c in df.columns],
-            F.lit("rows").alias("law"),
-            (place % shards).cast("int").alias("shard"),
-            F.floor(place / shards).cast("long").alias("slot"),
-            F.lit(None).cast("int").alias("grown_shard"),
-        )
+    and empty texts are records like others; no rows, no shards."""
+    kept = [c for c in df.columns if c not in PLACED]
+    shuffled = external_shuffle(df.select(*[F.col(f"`{c}`") for c in kept]), seed, bucket_bytes)
+    return shuffled.select(
+        *[F.col(f"`{c}`") for c in kept],
+        F.lit("rows").alias("law"),
+        (F.col("__place") % shards).cast("int").alias("shard"),
+        F.floor(F.col("__place") / shards).cast("long").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
     )
 
 
-def write_shards(df: DataFrame, path: str, shards: int = 8, **options) -> None:
-    """Writes the records as Parquet, one folder ``shard=N`` for each, in slot order."""
+def write_shards(df: DataFrame, path: str, shards: int = 8, rows_per_file: int = 100_000, **options) -> None:
+    """Writes the records as Parquet, one folder ``shard=N`` for each, files in slot order and sorted by slot."""
     placed = assign_shards(df, shards, **options)
-    files = F.floor(F.col("slot") / 100_000)
-    placed.repartitionByRange(shards * 4, "shard", files, "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    part = F.floor(F.col("slot") / rows_per_file)
+    placed.repartitionByRange(shards * 4, "shard", part, "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
