@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Clusters name the shared folder in ``spark.checkpoint.dir``; a folder of our own only
-    serves where that is unset, as in tests."""
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
+    serves where that is unset and all runs on one machine, as in tests.  A cluster without one raises."""
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() is not None:
+        return
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
