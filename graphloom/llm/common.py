@@ -4,20 +4,21 @@ from __future__ import annotations
 
 import gc
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """The cluster names the shared folder in ``spark.checkpoint.dir``; only where that is
-    unset (tests on one machine) a folder of our own is used."""
-    if spark.conf.get("spark.checkpoint.dir", None):
+    unset and all runs on one machine (tests) a folder of our own is used, a cluster without one raises."""
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() is not None:
         return
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -65,12 +66,33 @@ def global_index(df: DataFrame, order: list[Column | str], name: str, parts: int
     )
 
 
-def map_rows(df: DataFrame, schema: str, kernel: Callable[[dict[str, list]], dict[str, list]], arrow_schema: pa.Schema) -> DataFrame:
-    """Runs ``kernel`` over columns of Arrow batches as Python lists."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_pydict(kernel(batch.to_pydict()), schema=arrow_schema)
-
-    return df.mapInArrow(run, schema)
+def text_groups(column: pa.Array, chars: int) -> Iterator[tuple[int, list[str | None]]]:
+    """The texts of a column as Python strings, in groups of up to ``chars`` bytes (or one text): first place and texts.
+    A batch is a view of Arrow memory, so only one group at a time takes up Python's."""
+    at, group, size = 0, [], 0
+    for i in range(len(column)):
+        text = column[i].as_py()
+        if group and size + len(text or "") > chars:
+            yield at, group
+            at, group, size = i, [], 0
+        group.append(text)
+        size += len(text or "") + 1
+    if group:
+        yield at, group
+
+
+#: Numbers whose sums one window adds up.
+CHUNK = 4096
+
+
+def sums_before(counts: DataFrame, by: str, level: int = 0) -> DataFrame:
+    """``by, before``: for each row of ``counts`` (``by``, a number from 0 that no other row has, and ``n``) the sum of ``n`` over
+    smaller numbers.  Windows add up chunks of ``CHUNK`` numbers, and sums of chunks are added up in turn, so no task sees all
+    rows and none passes the driver."""
+    inside = F.sum("n").over(Window.partitionBy("__chunk").orderBy(by).rowsBetween(Window.unboundedPreceding, -1))
+    own = counts.select(by, "n", F.floor(F.col(by) / CHUNK).cast("long").alias("__chunk")).withColumn("__inside", F.coalesce(inside, F.lit(0).cast("long")))
+    if level == 2:  # 2^36 numbers
+        return own.select(by, F.col("__inside").alias("before"))
+    whole = own.groupBy("__chunk").agg(F.sum("n").alias("n"))
+    above = sums_before(whole.select(F.col("__chunk").alias(f"__c{level}"), "n"), f"__c{level}", level + 1)
+    return own.join(above, own["__chunk"] == above[f"__c{level}"]).select(by, (F.col("before") + F.col("__inside")).alias("before"))

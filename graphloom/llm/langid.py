@@ -16,13 +16,16 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 12
 CHUNK = 1 << 18
-#: Labelled rows taken for each language, by hash order; the fit's work and memory are bounded by it.
+#: Labelled rows taken for each language, and of all languages, by hash order; the fit's work and memory are bounded by them.
 SAMPLE_PER_LANGUAGE = 600
+SAMPLE_ROWS = 12_000
+#: Texts whose features are held at a time, 16 KB each.
+GROUP = 256
 UNDETERMINED = "und"
 M1, M2, M3 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
 
@@ -122,14 +125,16 @@ def fit(x: np.ndarray, labels: list[str], steps: int = 150, rate: float = 40.0,
 
 
 def _feature_rows(df: DataFrame) -> list:
-    """Labels and features of the given rows; one row of BUCKETS numbers for each."""
+    """Labels, places and features of the given rows (``label, h, text``); one row of BUCKETS numbers for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(label, f.astype(np.float16).tobytes()) for label, t in zip(*(c.to_pylist() for c in b.columns), strict=True) if (f := features(t or "")) is not None]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["label", "x"])
+            for lo in range(0, b.num_rows, GROUP):
+                found = [(label, h, features(t or "")) for label, h, t in zip(*(c.to_pylist() for c in b.slice(lo, GROUP).columns), strict=True)]
+                rows = [(label, h, f.astype(np.float16).tobytes()) for label, h, f in found if f is not None]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["label", "h", "x"])
 
-    return df.mapInArrow(run, "label string, x binary").collect()
+    return df.mapInArrow(run, "label string, h long, x binary").collect()
 
 
 def fold(id_col: str = "doc_id") -> Column:
@@ -137,30 +142,40 @@ def fold(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 3
 
 
-def train(df: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> LanguageModel:
-    """Fits on at most ``per_language`` rows of each label, the first by hash of the id.  Rows
-    without label, and texts without letters, teach nothing."""
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    picked = (
-        df.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
-        .withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language)
-    )
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "id")
-    found = _feature_rows(rows.select("label", "text"))
-    found.sort(key=lambda r: (r["label"], zlib.crc32(r["x"])))
+def train(df: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, most_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> LanguageModel:
+    """Fits on about ``per_language`` rows of each label, and on ``most_rows`` of all labels together: those of the smallest
+    hashes of id and text.  Rows without label, and texts without letters, teach nothing; repeated rows teach once.  More than
+    ``most_rows`` labels raise.
+
+    No label's rows meet in one task: a count of each label gives the share of its rows to take, and the
+    rows under that share of the hashes pass a filter; only they (a quarter more than asked for, so that few labels
+    fall short) are grouped, and the surplus goes on the driver."""
+    known = df.where(F.col(label_col).isNotNull()).select(F.col(label_col).cast("string").alias("label"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("text"))
+    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().limit(most_rows + 1).collect()}
+    if len(counts) > most_rows:
+        raise ValueError(f"more than {most_rows} labels")
+    each = min(per_language, most_rows // max(1, len(counts)))
+    sample = 1.25 * each + 20
+    limits = {label: round(min(1.0, sample / n) * 2**63) for label, n in counts.items()}
+    cut = F.create_map(*[F.lit(x) for label, n in limits.items() for x in (label, min(n, 2**63 - 1))]) if limits else F.lit(None).cast("map<string,bigint>")
+    picked = known.where(F.col("h").bitwiseAND(F.lit(2**63 - 1)) <= F.try_element_at(cut, F.col("label")))
+    picked = picked.groupBy("label", "h").agg(F.min("text").alias("text"))
+    found, taken = [], {}
+    for r in sorted(_feature_rows(picked), key=lambda r: (r["label"], r["h"] & (2**63 - 1), zlib.crc32(r["x"]))):
+        taken[r["label"]] = taken.get(r["label"], 0) + 1
+        if taken[r["label"]] <= each:
+            found.append(r)
     x = np.stack([np.frombuffer(r["x"], np.float16) for r in found]).astype(np.float32) if found else np.zeros((0, BUCKETS), np.float32)
     return fit(x, [r["label"] for r in found])
 
 
 def _answers(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
+    found = [(i, f) for i, t in enumerate(texts) if t and model.languages and (f := features(t)) is not None]
     names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
-    if model.languages:
-        found = [(i, f) for i, t in enumerate(texts) if t and (f := features(t)) is not None]
-        for lo in range(0, len(found), 512):
-            part = found[lo : lo + 512]
-            got, sure = model.predict(np.stack([f for _, f in part]))
-            for (i, _), name, s in zip(part, got, sure, strict=True):
-                names[i], scores[i] = name, float(s)
+    if found:
+        got, sure = model.predict(np.stack([f for _, f in found]))
+        for (i, _), name, s in zip(found, got, sure, strict=True):
+            names[i], scores[i] = name, float(s)
     return names, scores, [s < model.ambiguous_under for s in scores]
 
 
@@ -171,9 +186,13 @@ def identify(df: DataFrame, model: LanguageModel, text_col: str = "text", prefix
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double, ambiguous boolean")
-    def answer(texts: pd.Series) -> pd.DataFrame:
-        names, scores, close = _answers(shared.value, [t if isinstance(t, str) else None for t in texts])
-        return pd.DataFrame({"lang": names, "score": scores, "ambiguous": close})
-
-    found = df.withColumn("__lang", answer(F.col(text_col).cast("string")))
-    return found.withColumns({f"{prefix}lang_pred": F.col("__lang.lang"), f"{prefix}score": F.col("__lang.score"), f"{prefix}ambiguous": F.col("__lang.ambiguous")}).drop("__lang")
+    def answer(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            parts = [_answers(shared.value, [t if isinstance(t, str) else None for t in texts.iloc[lo : lo + GROUP]]) for lo in range(0, len(texts), GROUP)]
+            yield pd.DataFrame({name: [x for p in parts for x in p[k]] for k, name in enumerate(("lang", "score", "ambiguous"))})
+
+    spare = "__lang"
+    while spare in df.columns:
+        spare += "_"
+    found = df.withColumn(spare, answer(F.col(f"`{text_col}`").cast("string")))
+    return found.withColumns({f"{prefix}lang_pred": F.col(f"{spare}.lang"), f"{prefix}score": F.col(f"{spare}.score"), f"{prefix}ambiguous": F.col(f"{spare}.ambiguous")}).drop(spare)
