@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import text_groups
+
 # Fixed value: the split pattern of the vocabulary (as in the vocabulary's own README).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # Fixed value: white space as the split pattern sees it (Unicode White_Space).
@@ -30,9 +32,12 @@ SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 # No match of PATTERN holds white space after a non-space, so a text may be cut there.
 SEGMENT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 
-CACHE_ENTRIES = 600_000
+#: A worker's memory for ids of segments and of pieces, each, with so many bytes for an entry besides its text and ids.
+CACHE_BYTES, ENTRY_BYTES = 48 << 20, 250
 CACHE_CHARS = 48
-PAIR_ENTRIES = 1_000_000
+PAIR_ENTRIES = 300_000
+#: Texts are taken from Arrow memory in groups of up to so many characters.
+GROUP_CHARS = 1 << 22
 
 
 class Vocabulary:
@@ -61,7 +66,8 @@ class Vocabulary:
                 left = self.shorter[left]
             self.split.append(found)
         self.pieces: dict[str, tuple[int, ...]] = {}
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.room = {id(self.pieces): CACHE_BYTES, id(self.words): CACHE_BYTES}
         self.find = regex.compile(PATTERN).findall
 
     def _prefix(self, token: bytes) -> int:
@@ -138,24 +144,27 @@ class Vocabulary:
             ids += known(s) or self.segment(s)
         return ids
 
+    def _keep(self, cache: dict[str, tuple[int, ...]], text: str, ids: tuple[int, ...]) -> None:
+        if len(text) <= CACHE_CHARS:
+            room = self.room[id(cache)] - ENTRY_BYTES - 2 * len(text) - 8 * len(ids)
+            if room < 0:
+                cache.clear()
+                room = CACHE_BYTES
+            self.room[id(cache)] = room
+            cache[text] = ids
+
     def segment(self, segment: str) -> tuple[int, ...]:
         known = self.pieces.get(segment)
         if known is None:
             known = tuple(i for p in self.find(segment) for i in self.known_piece(p))
-            if len(segment) <= CACHE_CHARS:
-                if len(self.pieces) >= CACHE_ENTRIES:
-                    self.pieces.clear()
-                self.pieces[segment] = known
+            self._keep(self.pieces, segment, known)
         return known
 
-    def known_piece(self, piece: str) -> list[int]:
+    def known_piece(self, piece: str) -> tuple[int, ...]:
         known = self.words.get(piece)
         if known is None:
-            known = self.piece(piece.encode())
-            if len(piece) <= CACHE_CHARS:
-                if len(self.words) >= CACHE_ENTRIES:
-                    self.words.clear()
-                self.words[piece] = known
+            known = tuple(self.piece(piece.encode()))
+            self._keep(self.words, piece, known)
         return known
 
     def decode(self, ids: list[int]) -> bytes:
@@ -181,8 +190,9 @@ def bpe_encode(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = load_vocabulary(vocab_path)
         for b in batches:
-            ids = pa.array([v.encode(t or "") for t in b.column(1).to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), ids], names=[id_col, "ids"])
+            for lo, texts in text_groups(b.column(1), GROUP_CHARS):
+                ids = pa.array([v.encode(t or "") for t in texts], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(texts)), ids], names=[id_col, "ids"])
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
@@ -194,8 +204,10 @@ def bpe_decode(df: DataFrame, vocab_path: str, id_col: str = "doc_id", ids_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = load_vocabulary(vocab_path)
         for b in batches:
-            out = pa.array([v.decode(x or []) for x in b.column(1).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), out], names=[id_col, "bytes"])
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                out = pa.array([v.decode(x or []) for x in part.column(1).to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), out], names=[id_col, "bytes"])
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, bytes binary")
@@ -211,7 +223,7 @@ def bpe_round_trip(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_
         numeral = [str(i) for i in range(len(v.tokens))]
         for b in batches:
             counts, digests, back = [], [], []
-            for t in b.column(1).to_pylist():
+            for t in (t for _, texts in text_groups(b.column(1), GROUP_CHARS) for t in texts):
                 ids = v.encode(t or "")
                 counts.append(len(ids))
                 digests.append(hashlib.sha256(" ".join(map(numeral.__getitem__, ids)).encode()).hexdigest())

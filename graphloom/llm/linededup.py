@@ -117,14 +117,15 @@ def repeated_lines(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc
 
 def dedup_lines(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` without later copies of repeated line runs, with ``n_lines int`` and ``n_removed
-    int`` (of lines; ``df`` must not have columns of these names).
+    int`` (of lines; columns of these names are replaced).
 
     Lines end at ``\\n``; a run is any number of whole lines in a row with at least ``min_words``
     words together; of its copies the first stays, by id and line, and the lines of the others
     go.  Texts of fewer words stay as they are; of equal texts with enough words the smallest id keeps
     its own.  Null text stays null (0 lines) and rows without an id stay as they are.  Repeated
     rows (same id and text) are treated alike.  All rows and other columns are kept."""
-    keyed = df.withColumn("__key", F.when(F.col(id_col).isNotNull(), _text_key(F.col(text_col).cast("string"))))
+    columns = [c for c in df.columns if c not in ("n_lines", "n_removed")]
+    keyed = df.select(*[F.col(f"`{c}`") for c in columns]).withColumn("__key", F.when(F.col(id_col).isNotNull(), _text_key(F.col(text_col).cast("string"))))
     gone = repeated_lines(df, min_words, id_col, text_col).withColumnsRenamed({"text_key": "__key", "owner": "__owner", "gone": "__gone"})
     found = keyed.join(gone, "__key", "left")
     lines, count = _lines(F.col(text_col)), F.size(_lines(F.col(text_col)))
@@ -137,5 +138,5 @@ def dedup_lines(df: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id
     return (
         found.withColumns({"n_lines": F.coalesce(F.when(F.col(text_col).isNotNull(), count), F.lit(0)), "n_removed": removed})
         .withColumn(text_col, text)
-        .select(*[F.col(f"`{c}`") for c in df.columns], "n_lines", "n_removed")
+        .select(*[F.col(f"`{c}`") for c in columns], "n_lines", "n_removed")
     )

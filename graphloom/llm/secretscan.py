@@ -24,12 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.common import text_groups
+
 # The kinds of secrets, in this order, their patterns and least lengths.
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 LEAST_VALUE = 8
+#: Texts are taken from Arrow memory in groups of up to so many characters.
+GROUP_CHARS = 1 << 22
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|(?:\\u[0-9A-Fa-f]{4})+|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
@@ -275,7 +279,7 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [find_secrets(t or "") for t in b.column(1).to_pylist()]
+            found = [find_secrets(t or "") for _, texts in text_groups(b.column(1), GROUP_CHARS) for t in texts]
             counts = [pa.array([sum(s[2] == k for s in base) for base, _ in found], pa.int64()) for k in range(3)]
             digests = [hashlib.sha256(spans_text(base).encode()).hexdigest() for base, _ in found]
             yield pa.RecordBatch.from_arrays(
