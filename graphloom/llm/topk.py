@@ -1,15 +1,13 @@
 """Operator 7: exact top-k search by aggregation of sorted lists without random access.
 
-Vectors are cut into blocks of rows; a block holds one list for each dimension, of whose sorted order only
-the two ends matter, because a list is read to its end at once.  For a query, lists are read one after another,
-those first whose contributions spread widest: every row of a dense vector is on every list, so
-reading all lists in step would read most of each before a bound binds.  A row
-has a lower bound (what was read, plus the least entries of the unread lists) and an upper bound (plus their
-largest entries).  Rows that can't reach the k-th best lower bound are out; reading stops when few
-are left, and those are scored in full.  The best k of each block then compete.
-
-Blocks of queries meet blocks of rows by an equi-join on the number of the query block, which
-each block of rows is sent to; a task holds one block of each, whatever the number of rows.
+Vectors are dealt into blocks of rows.  A block has a list for each dimension, sorted by value; a query reads it from the top
+where its own component is positive and from the bottom where it is negative.  All lists are read in step.  A row's
+lower bound is what was read of it, plus the worst entries of the lists in which it wasn't met yet; its upper bound takes the entries
+next to be read instead.  Rows whose upper bound is under the k-th best lower bound can't qualify any more, and a
+query is done when no more than k rows are left.  Only those are looked up, for their final scores in whole numbers.
+
+Reading is sequential in blocks of entries and goes on for a group of queries at once, with the same entry for all of them.
+Rows stay where their block is; queries are copied to every block, row by row, and a task holds one block and one group.
 """
 
 from __future__ import annotations
@@ -22,49 +20,84 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS = 8192
-QUERY_ROWS = 512
-#: Bounds are looked at after so many lists.
-CHECK = 4
-#: Reading stops when one row in so many can still be among the best; those are scored in full.
-RESOLVE = 8
+#: Queries that read a block together.
+GROUP = 32
+#: A block's lists are read in so many steps; bounds are looked at behind some of them.
+STEPS, LOOK = 16, (4, 8, 12, 14)
+EXACT = float(1 << 53)
 
 
 class SortedLists:
-    """One block: integer vectors (rows x dimensions) and, for each dimension, its list and the list's ends."""
+    """One block: integer vectors (rows x dimensions) and the sorted list of each dimension."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
-        self.ids, self.x = ids, x.astype(np.float64)  # whole numbers; exact up to 2^53
-        self.lists = np.ascontiguousarray(self.x.T)
-        self.least, self.most = self.lists.min(axis=1), self.lists.max(axis=1)
-
-    def top(self, q: np.ndarray, k: int, own: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows but ``own``: higher score first, then smaller id."""
-        n = len(self.ids)
-        dims = np.flatnonzero(q)
-        alive = np.ones(n, bool) if own is None else self.ids != own
-        candidates = np.flatnonzero(alive)
-        if len(dims) and n > 64 * k:
-            spread = np.abs(q[dims]) * (self.most[dims] - self.least[dims])
-            schedule = dims[np.argsort(-spread, kind="stable")]
-            unread = np.sort(spread)[::-1].sum() - np.cumsum(np.sort(spread)[::-1])
-            read = np.zeros(n)
-            for j, d in enumerate(schedule):
-                read += self.lists[d] * q[d]
-                if j % CHECK == CHECK - 1 and j + 1 < len(schedule):
-                    # bounds: what was read, plus the least and the most of the unread lists, which are
-                    # the same for every row and whose difference is the sum of their spreads
-                    low = read[candidates]
-                    bound = np.partition(low, len(low) - k)[len(low) - k] if len(low) >= k else -np.inf
-                    candidates = candidates[low + unread[j] >= bound]
-                    if len(candidates) <= n // RESOLVE:
-                        break
-        scores = self.x[candidates] @ q
-        best = np.lexsort((self.ids[candidates], -scores))[:k]
-        return self.ids[candidates[best]], scores[best]
+        self.ids, self.whole = ids, x
+        self.x = x.astype(np.float64)
+        self.order = np.argsort(-self.x, axis=0, kind="stable")  # places by falling value, a column for each list
+        self.rank = np.empty_like(self.order)
+        np.put_along_axis(self.rank, self.order, np.arange(len(ids))[:, None], axis=0)
+        self.values = np.take_along_axis(self.x, self.order, axis=0)
+        self.largest = float(np.abs(self.x).max()) if x.size else 0.0
+        self.read = self.entries = 0
+
+    def top(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, list[int]]]:
+        """For each query ids and scores of the k best rows but its own: higher score first, then smaller id."""
+        n, dims = self.x.shape
+        q = queries.astype(np.float64)
+        up, down = np.maximum(q, 0).T.copy(), np.minimum(q, 0).T.copy()  # dimensions x queries
+        most = self.largest * np.abs(q).sum(axis=1)
+        slack = np.where(most < EXACT, 0.0, most * 1e-12)  # what rounding may be off
+        seen = np.zeros((n, len(q)))
+        mine = [np.flatnonzero(self.ids == i) for i in own]
+        active, left = np.arange(len(q)), [np.empty(0, np.int64)] * len(q)
+        self.entries += n * int(np.count_nonzero(q))
+        edges = np.linspace(0, n, STEPS + 1).astype(int)
+        for step, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True), 1):
+            self.read += (b - a) * int(np.count_nonzero(q[active]))
+            for d in range(dims):
+                if up[d].any():
+                    rows = self.order[a:b, d]
+                    seen[rows] += self.values[a:b, d, None] * up[d]
+                if down[d].any():
+                    rows = self.order[n - b : n - a, d]
+                    seen[rows] += self.values[n - b : n - a, d, None] * down[d]
+            if step < STEPS and step not in LOOK:
+                continue
+            low = high = seen
+            if b < n:
+                unmet, unmet_below = (self.rank >= b).astype(np.float64), (self.rank < n - b).astype(np.float64)
+                low = seen + unmet @ (self.values[-1][:, None] * up) + unmet_below @ (self.values[0][:, None] * down)
+                high = seen + unmet @ (self.values[b][:, None] * up) + unmet_below @ (self.values[n - 1 - b][:, None] * down)
+            done = []
+            for j, query in enumerate(active):
+                bounds = low[:, j].copy()
+                bounds[mine[query]] = -np.inf
+                bar = np.partition(bounds, n - k)[n - k] if n > k else -np.inf
+                may = high[:, j] >= bar - slack[query]
+                may[mine[query]] = False
+                if step == STEPS or np.count_nonzero(may) <= k:
+                    left[query] = np.flatnonzero(may)
+                    done.append(j)
+            if done:
+                keep = np.setdiff1d(np.arange(len(active)), done)
+                active, seen, up, down = active[keep], seen[:, keep], up[:, keep].copy(), down[:, keep].copy()
+            if not len(active):
+                break
+        return [self._resolved(left[j], queries[j], k) for j in range(len(q))]
+
+    def _resolved(self, rows: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, list[int]]:
+        wide = self.largest * float(np.abs(query.astype(np.float64)).sum()) >= float(1 << 62)
+        scores = [int(s) for s in (self.whole[rows].astype(object) @ query.astype(object) if wide else self.whole[rows] @ query)] if len(rows) else []
+        best = sorted(range(len(rows)), key=lambda i: (-scores[i], self.ids[rows[i]]))[:k]
+        if any(not -(1 << 63) <= scores[i] < 1 << 63 for i in best):
+            raise OverflowError("a score is beyond 64 bits")
+        return self.ids[rows[best]] if best else np.empty(0, np.int64), [scores[i] for i in best]
 
 
 def whole_numbers(col: Column, scale: int = 256) -> Column:
-    return F.transform(col, lambda v: F.floor(v.cast("double") * scale).cast("long"))
+    """floor(scale * v) of each component; one beyond 64 bits raises."""
+    far = F.raise_error(F.lit("a component is beyond 64 bits")).cast("long")
+    return F.transform(col, lambda v: F.when(F.abs(v.cast("double") * scale) < float(1 << 63), F.floor(v.cast("double") * scale).cast("long")).otherwise(far))
 
 
 def usable(col: Column) -> Column:
@@ -73,69 +106,55 @@ def usable(col: Column) -> Column:
     return col.isNotNull() & ~odd
 
 
-def _blocks(rows: DataFrame, size: int, dims: int) -> DataFrame:
-    """``block, ids binary, x binary``: consecutive rows of a partition in blocks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[int] = []
-        vectors: list[np.ndarray] = []
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_pydict({"ids": [np.array(ids, np.int64).tobytes()], "x": [np.stack(vectors).tobytes()]}, schema=pa.schema([("ids", pa.binary()), ("x", pa.binary())]))
-            ids.clear()
-            vectors.clear()
-            return out
-
-        for b in batches:
-            for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                row = np.zeros(dims, np.int64)
-                row[: len(v)] = v
-                ids.append(i)
-                vectors.append(row)
-                if len(ids) == size:
-                    yield flush()
-        if ids:
-            yield flush()
-
-    return rows.mapInArrow(run, "ids binary, x binary")
+def _matrix(lists: pa.ListArray, dims: int) -> np.ndarray:
+    """Rows of numbers, with zeros behind the shorter ones."""
+    sizes = np.diff(lists.offsets.to_numpy())
+    out = np.zeros((len(lists), dims), np.int64)
+    out[np.arange(dims)[None, :] < sizes[:, None]] = lists.flatten().to_numpy()
+    return out
 
 
-def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
+def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``query_id, rank, vec_id, score``: for every row where ``queries`` (a condition on columns
     of ``vectors``) holds, the ``k`` other rows with the largest integer inner product, ties to
     the smaller id; all of them if there are fewer.
 
     Vectors that are null or hold null or non-finite components, and rows without an id, take
     no part.  Shorter vectors count as ending in zeros.  Repeated rows (same id) are one row,
-    with the vector that sorts first."""
-    spark = vectors.sparkSession
+    with the vector that sorts first.  Components and scores are 64-bit numbers; what is beyond raises."""
     good = vectors.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull())
     rows = good.select(F.col(id_col).cast("long").alias("id"), whole_numbers(F.col(vector_col), scale).alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
     rows = rows.groupBy("id").agg(F.min(F.struct("v", "asks")).alias("r")).select("id", "r.v", "r.asks")
-    shape = rows.agg(F.max(F.size("v")).alias("dims"), F.count(F.when(F.col("asks"), 1)).alias("asking")).first()
-    dims = shape["dims"] or 0
-    parts = max(1, -(-shape["asking"] // QUERY_ROWS))
-    asked = rows.where("asks").repartition(parts).select("id", "v")
-    query_blocks = _blocks(asked, QUERY_ROWS, dims).withColumn("qb", F.monotonically_increasing_id())
-    from graphloom.llm.common import cut
-
-    query_blocks = cut(query_blocks.select("qb", F.col("ids").alias("q_ids"), F.col("x").alias("q")))
-    numbers = [r["qb"] for r in query_blocks.select("qb").collect()]  # one small number for each 512 queries
-    targets = F.array(*[F.lit(n) for n in numbers]) if numbers else F.array().cast("array<bigint>")
-    row_blocks = _blocks(rows.select("id", "v"), BLOCK_ROWS, dims).withColumn("qb", F.explode(targets))
-    met = row_blocks.join(query_blocks, "qb").select("ids", "x", "q_ids", "q")
+    shape = rows.agg(F.max(F.size("v")).alias("dims"), F.count(F.lit(1)).alias("n")).first()
+    dims, blocks = shape["dims"] or 0, max(1, -(-shape["n"] // block_rows))
+    held = rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.lit(0).alias("asks"), "id", "v")
+    asked = rows.where("asks").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(1).alias("asks"), "id", "v")
+    met = held.unionByName(asked).repartition(blocks, "block").sortWithinPartitions("block", "asks", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, lists = None, None
+        ids: list[np.ndarray] = []
+        parts: list[np.ndarray] = []
         for b in batches:
-            for ids, x, q_ids, q in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                block = SortedLists(np.frombuffer(ids, np.int64), np.frombuffer(x, np.int64).reshape(-1, dims))
-                out_q, out_v, out_s = [], [], []
-                for own, row in zip(np.frombuffer(q_ids, np.int64), np.frombuffer(q, np.int64).reshape(-1, dims).astype(np.float64), strict=True):
-                    got, scores = block.top(row, k, own)
-                    out_q += [own] * len(got)
-                    out_v += got.tolist()
-                    out_s += scores.astype(np.int64).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_v, pa.int64()), pa.array(out_s, pa.int64())], names=["query_id", "vec_id", "score"])
+            of, asks, names, x = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), _matrix(b.column(3), dims)
+            cuts = np.flatnonzero(np.diff(of) | np.diff(asks)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(of)], strict=True):
+                if lo == hi:
+                    continue
+                if of[lo] != block:
+                    block, lists, ids, parts = of[lo], None, [], []
+                if not asks[lo]:
+                    ids.append(names[lo:hi])
+                    parts.append(x[lo:hi])
+                    continue
+                if lists is None and ids:
+                    lists = SortedLists(np.concatenate(ids), np.concatenate(parts))
+                    ids, parts = [], []
+                for at in range(lo, hi if lists is not None else lo, GROUP):
+                    to = min(at + GROUP, hi)
+                    found = lists.top(x[at:to], names[at:to], k)
+                    out = [(q, v, s) for q, (vs, ss) in zip(names[at:to].tolist(), found, strict=True) for v, s in zip(vs.tolist(), ss, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(3)], names=["query_id", "vec_id", "score"])
 
     found = met.mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
