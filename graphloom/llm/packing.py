@@ -1,16 +1,14 @@
 """Operator 9: bulk-synchronous best-fit packing of token sequences.
 
-Pieces of up to ``capacity`` tokens are range-sorted by falling length, so that every piece has
-a rank among those of its length.  Supersteps run from the largest length down.  In each, all
-pieces of that length look for their successor, the smallest gap that holds them; pieces that
-choose gaps of one size are matched by rank (the i-th piece gets the i-th gap), those left over
-go on to the next larger size, and what finds no gap opens new sequences.  Then the gaps
-shrink and the next superstep begins.
-
-Gaps of one size are interchangeable, so the sweep works on runs of them (size, first sequence,
-count) and the number of runs depends on ``capacity``, not on the number of documents; it is
-what the driver holds.  The rows themselves are ranked and matched on the executors: a run
-matches a range of ranks with a range of sequence numbers.
+Documents (pieces of up to ``capacity`` tokens) and gaps (what is left of open sequences) are range-sorted together by falling
+size, a gap before the pieces that just fit it.  A sweep matches every piece with its successor, the smallest gap that holds it and that no
+larger piece took: like closing brackets with opening ones.  Each range is swept for itself; what it leaves over, pieces
+without a gap and gaps without a piece, meets by rank: the running difference of both numbers them so that equal numbers belong together,
+and conflicts between ranges never gather in one place.  Then the gaps shrink and the next round begins.
+
+Pieces that are larger than every gap open sequences, class by class: those over a half of the capacity one each, those over a
+third two, and so on.  Small pieces, up to a 32nd of the capacity, are first bundled in the order of their length, so that the number of rounds depends
+on the capacity and not on the number of pieces.
 """
 
 from __future__ import annotations
@@ -18,24 +16,30 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, global_index
+from graphloom.llm.common import cut, sums_before, text_groups
+from graphloom.operators.iterate import Rounds
 
-CACHE_ENTRIES = 600_000
-CACHE_CHARS = 48
+#: A worker's memory for ids of chunks, counted with so many bytes for each entry besides its chunk and ids.
+CACHE_BYTES, ENTRY_BYTES = 48 << 20, 230
+#: Rows of a range, and bundles that a sequence holds at least.
+ROWS, BUNDLES = 250_000, 32
+#: Texts are tokenised in groups of up to so many characters.
+GROUP_CHARS = 1 << 21
 # Fixed value: how the tokenizer file cuts text, after composing (NFC) and lower-casing it.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-WORD_END = "</w>"
+# Fixed value: the tokenizer's visible stand-ins of bytes; printable Latin-1 stays, the others move up in order.
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+VISIBLE = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
 # str.split() also cuts at these four, which the tokenizer doesn't see as white space
 ODD = "\x1c\x1d\x1e\x1f"
 # str.lower() looks at the neighbours of sigma, the tokenizer doesn't; beyond the first plane the two know
@@ -46,61 +50,55 @@ OTHER = re.compile("[\u03a3\U00010000-\U0010ffff]")
 class WordTokenizer:
     """Ids as the tokenizer file gives them, as bytes of little-endian 32-bit numbers.
 
-    Tokens never span white space nor two pieces, so ids are kept for each chunk between blanks and for
-    each piece.  Pieces that are new go through the tokenizer together, a blank between them; the token
-    that ends a word ends the piece."""
+    Tokens never span white space nor two pieces, so the ids of a chunk between blanks are those of its pieces.
+    A group of texts is cut into chunks, each distinct chunk that is new goes through the tokenizer's merges once, and the
+    ids of chunks are kept for later groups, up to ``CACHE_BYTES``."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = self.tokenizer.model
         self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.room = CACHE_BYTES
+        self.names = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.ends[i] = token.endswith(WORD_END)
 
     def plain(self, text: str) -> bytes:
         """By the tokenizer alone."""
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def ids(self, text: str) -> bytes:
+    def simple(self, text: str) -> bool:
+        """Is the text cut and lower-cased by the tokenizer just as ``split`` and ``lower`` do?"""
         if not text.isascii() and (OTHER.search(text) or not unicodedata.is_normalized("NFC", text)):
-            return self.plain(text)
-        if "<|" in text and any(s in text for s in self.special) or any(c in text for c in ODD):
-            return self.plain(text)
-        chunks = text.lower().split()
-        try:
-            return b"".join(map(self.chunks.__getitem__, chunks))
-        except KeyError:
-            return self._learn(chunks)
-
-    def _learn(self, chunks: list[str]) -> bytes:
-        known = self.chunks
-        new = {c: PIECES.findall(c) for c in dict.fromkeys(chunks) if c not in known}
-        fresh = list(dict.fromkeys(p for ps in new.values() for p in ps if p not in self.pieces))
-        local: dict[str, bytes] = {}
-        if fresh:
-            ids = np.array(self.tokenizer.encode(" ".join(fresh), add_special_tokens=False).ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(fresh):
-                data, ends = ids.tobytes(), (4 * stops).tolist()
-                local = dict(zip(fresh, (data[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
-            else:  # a piece that the tokenizer cuts otherwise
-                local = {p: self.plain(p) for p in fresh}
-        pieces = self.pieces
-        out = {}
-        for c, ps in new.items():
-            out[c] = b"".join([pieces[p] if p in pieces else local[p] for p in ps])
-        result = b"".join([known[c] if c in known else out[c] for c in chunks])
-        if len(known) > CACHE_ENTRIES:
+            return False
+        return not ("<|" in text and any(s in text for s in self.special) or any(c in text for c in ODD))
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        cut = [t.lower().split() if self.simple(t) else None for t in texts]
+        known, own = self.chunks, dict.fromkeys(chain.from_iterable(filter(None, cut)))
+        new = self._learn([c for c in own if c not in known])
+        for c in own:
+            own[c] = new[c] if c in new else known[c]
+        get = own.__getitem__
+        out = [self.plain(t) if chunks is None else b"".join(map(get, chunks)) for t, chunks in zip(texts, cut, strict=True)]
+        self.room -= sum(map(len, new)) * 2 + sum(map(len, new.values())) + ENTRY_BYTES * len(new)
+        if self.room < 0:
             known.clear()
-        if len(pieces) > CACHE_ENTRIES:
-            pieces.clear()
-        known.update((c, v) for c, v in out.items() if len(c) <= CACHE_CHARS)
-        pieces.update((p, v) for p, v in local.items() if len(p) <= CACHE_CHARS)
-        return result
+            self.room = CACHE_BYTES
+        else:
+            known.update(new)
+        return out
+
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+        cut = list(map(PIECES.findall, chunks))
+        pieces = dict.fromkeys(chain.from_iterable(cut))
+        merge, name = self.merges.tokenize, self.names.__getitem__
+        for p in pieces:
+            visible = p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(VISIBLE)
+            pieces[p] = b"".join([name(t.id) for t in merge(visible)])
+        get = pieces.__getitem__
+        return {c: b"".join(map(get, ps)) for c, ps in zip(chunks, cut, strict=True)}
 
 
 @lru_cache(maxsize=2)
@@ -118,11 +116,10 @@ def token_pieces(df: DataFrame, vocab_path: str, capacity: int = 2048, end_id: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load_tokenizer(vocab_path)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for lo in range(0, len(texts), 256):
+            for lo, texts in text_groups(b.column(1), GROUP_CHARS):
                 rows, pieces, starts, data = [], [], [], []
-                for i, t in enumerate(texts[lo : lo + 256], lo):
-                    ids = (tokenizer.ids(t) if t else b"") + end
+                for i, ids in enumerate(tokenizer.ids([t or "" for t in texts]), lo):
+                    ids += end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         rows.append(i)
                         pieces.append(k)
@@ -145,76 +142,138 @@ def token_pieces(df: DataFrame, vocab_path: str, capacity: int = 2048, end_id: i
     )
 
 
-def best_fit_plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """Rows ``(length, first rank, count, first sequence, offset)`` and the number of sequences,
-    for so many pieces of each length.  Takes the steps of best-fit over falling lengths."""
-    gaps: dict[int, list[list[int]]] = defaultdict(list)  # size -> runs [first sequence, count]
-    sizes: list[int] = []  # occupied sizes, sorted
-    plan, sequences = [], 0
-
-    def put(size: int, first: int, count: int) -> None:
-        if size:
-            if not gaps[size]:
-                sizes.insert(int(np.searchsorted(sizes, size)), size)
-            gaps[size].append([first, count])
-
-    for length in sorted((n for n in counts if n), reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            at = int(np.searchsorted(sizes, length))
-            if at == len(sizes):  # no gap holds it: open sequences, as full as they go
-                fit = capacity // length
-                opened = -(-left // fit)
-                first, sequences = sequences, sequences + opened
-                put(capacity, first, opened)
-                continue
-            size = sizes[at]
-            run = gaps[size][-1]
-            n = min(left, run[1])
-            plan.append((length, rank, n, run[0], capacity - size))
-            moved = run[0]
-            if n == run[1]:
-                gaps[size].pop()
-                if not gaps[size]:
-                    sizes.pop(at)
-            else:
-                run[0] += n
-                run[1] -= n
-            put(size - length, moved, n)
-            rank, left = rank + n, left - n
-    return plan, sequences
+def _bundled(pieces: DataFrame, unit: int) -> DataFrame:
+    """The rows with ``__bundle`` (id of its first piece) and ``__inner`` (place in it): neighbours in the order of length until a
+    bundle reaches ``unit``."""
+    schema = pieces.schema.add("__bundle", "long").add("__inner", "long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, leader, begin = 0, -1, 0
+        for b in batches:
+            if b.num_rows:
+                size, ids = b.column("__length").to_numpy(), b.column("__id").to_numpy()
+                at = total + np.cumsum(size) - size
+                group = at // unit
+                first = np.flatnonzero(np.diff(group, prepend=-1 if leader < 0 else begin // unit))
+                names, starts = np.concatenate([[leader], ids[first]]), np.concatenate([[begin], at[first]])
+                of = np.searchsorted(first, np.arange(len(at)), side="right")
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names[of]), pa.array(at - starts[of])], names=[*b.schema.names, "__bundle", "__inner"])
+                total, leader, begin = int(at[-1] + size[-1]), int(names[-1]), int(starts[-1])
+
+    return _sorted(pieces, "__length", "__id").mapInArrow(run, schema)
+
+
+def _sorted(rows: DataFrame, size: str, *then: str, ranges: int | None = None) -> DataFrame:
+    """Range-sorted by falling size, in so many ranges as the rows need."""
+    order = [F.col(size).desc(), *then]
+    return rows.repartitionByRange(ranges or _ranges(rows), *order).sortWithinPartitions(*order)
+
+
+def _ranges(rows: DataFrame) -> int:
+    return max(1, -(-rows.count() // ROWS))
+
+
+def _opened(items: DataFrame, capacity: int, ranges: int | None = None) -> DataFrame:
+    """``id, size, seq, at, free``: items fill new sequences in the order of their size, each named by its first item; ``free`` is
+    what the last item of a sequence leaves, null for the others.  Where there are several ranges, what would hold another item at the
+    end of one is left as it is (``seq`` null) for a round with fewer ranges."""
+    ranges = ranges or _ranges(items)
+    ordered, several = _sorted(items, "size", "id", ranges=ranges), ranges > 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free, held = 0, []
+        for b in batches:
+            out = []
+            for i, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if n > free:
+                    out += held
+                    free, held = capacity, []
+                held.append((i, n, held[0][0] if held else i, capacity - free, free - n))
+                if len(held) > 1:
+                    held[-2] = (*held[-2][:4], None)
+                free -= n
+            yield _rows(out, "id", "size", "seq", "at", "free")
+        if held and several and free >= held[-1][1]:
+            held = [(i, n, None, None, None) for i, n, *_ in held]
+        yield _rows(held, "id", "size", "seq", "at", "free")
+
+    return ordered.select("id", "size").mapInArrow(run, "id long, size long, seq long, at long, free long")
+
+
+def _rows(rows: list[tuple], *names: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(len(names))], names=list(names))
+
+
+def _swept(items: DataFrame, gaps: DataFrame) -> DataFrame:
+    """``id, size, seq, free``: each item's gap, of those that find one."""
+    events = items.select("size", F.lit(1).alias("kind"), "id").union(gaps.select("free", F.lit(0), "seq"))
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gaps, left, out = [], [], []
+        for b in batches:
+            for size, kind, key in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if not kind:
+                    gaps.append((key, size))
+                elif gaps:
+                    seq, free = gaps.pop()
+                    out.append((key, size, seq, free, 0))
+                else:
+                    left.append((key, size, None, None, -len(left)))
+        # what is left: items close levels downwards, gaps open them upwards from there
+        out += left
+        out += [(None, None, seq, free, 1 - len(left) + i) for i, (seq, free) in enumerate(gaps)]
+        yield _rows(out, "id", "size", "seq", "free", "level")
+
+    found = _sorted(events, "size", "kind", "id").mapInArrow(sweep, "id long, size long, seq long, free long, level long")
+    found = cut(found.withColumn("part", F.spark_partition_id().cast("long")))
+    rest = found.where("id is null or seq is null")
+    change = rest.groupBy("part").agg(F.sum(F.when(F.col("id").isNull(), 1).otherwise(-1)).cast("long").alias("n"))
+    levelled = rest.join(sums_before(change, "part"), "part").withColumn("level", F.col("level") + F.col("before"))
+    # on a level, gaps and items take turns: an item behind a gap gets it
+    order = Window.partitionBy("level").orderBy("part", F.col("id").isNull())
+    behind = levelled.select("id", "size", F.lag("seq").over(order).alias("seq"), F.lag("free").over(order).alias("free"))
+    return found.where("id is not null and seq is not null").select("id", "size", "seq", "free").union(behind.where("id is not null and seq is not null"))
 
 
 def pack(pieces: DataFrame, capacity: int = 2048, id_col: str = "doc_id") -> DataFrame:
-    """Adds ``sequence_id long, offset long`` to rows with ``length`` (1 to ``capacity``).
-
-    Any number of rows may have one length: ranks come from a distributed sort by length and
-    a hash, so a hot length is spread over many tasks.  No rows, no sequences."""
-    spark = pieces.sparkSession
-    names = pieces.columns
-    ranked = global_index(
-        pieces, [F.col("length").desc(), F.xxhash64(F.col(id_col), F.col("piece")), F.col(id_col), F.col("piece")], "__rank"
-    )
-    counts = {r["length"]: r["count"] for r in ranked.groupBy("length").count().collect()}  # at most one row for each length
-    plan, _ = best_fit_plan(counts, capacity)
-    if not plan:
-        return ranked.select(*names, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    base, total = {}, 0
-    for length in sorted(counts, reverse=True):
-        base[length], total = total, total + counts[length]
-    table = pd.DataFrame(plan, columns=["length", "first", "n", "sequence", "offset"])
-    begin = (table["first"] + table["length"].map(base)).to_numpy()
-    order = np.argsort(begin)
-    begin, sequence, offset = begin[order], table["sequence"].to_numpy()[order], table["offset"].to_numpy()[order]
-    shared = spark.sparkContext.broadcast((begin, sequence, offset))
-
-    @F.pandas_udf("sequence_id long, offset long")
-    def place(rank: pd.Series) -> pd.DataFrame:
-        starts, first, at = shared.value
-        i = np.searchsorted(starts, rank.to_numpy(), side="right") - 1
-        return pd.DataFrame({"sequence_id": first[i] + rank.to_numpy() - starts[i], "offset": at[i]})
-
-    return ranked.withColumn("__to", place("__rank")).select(*names, "__to.sequence_id", "__to.offset")
+    """Adds ``sequence_id long, offset long`` to rows with ``length`` (1 to ``capacity``; others raise); columns of these names are
+    replaced.  A sequence's number is that of one of its rows, in no order.
+
+    Ids may be null and rows may repeat: each is packed.  Any number of rows may have one length: they are told apart by a number of
+    their own, so a hot length is spread over many ranges.  No rows, no sequences."""
+    kept = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    rows = cut(pieces.select(F.monotonically_increasing_id().alias("__id"), F.col("length").cast("long").alias("__length"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row")))
+    bad = rows.where((F.col("__length") < 1) | (F.col("__length") > capacity) | F.col("__length").isNull())
+    if not bad.isEmpty():
+        raise ValueError(f"lengths must be 1 to {capacity}")
+    unit = max(1, capacity // BUNDLES)
+    large = rows.where(F.col("__length") > unit).withColumns({"__bundle": F.col("__id"), "__inner": F.lit(0).cast("long")})
+    rows = cut(large.unionByName(_bundled(rows.where(F.col("__length") <= unit), unit)))
+    items = rows.groupBy("__bundle").agg(F.sum("__length").alias("size")).select(F.col("__bundle").alias("id"), "size")
+    items = cut(items)
+    gaps = items.limit(0).select(F.col("id").alias("seq"), F.col("size").alias("free"))
+    placed = Rounds(items.limit(0).select("id", F.col("id").alias("seq"), F.col("size").alias("at")))
+    while True:
+        most, least = items.agg(F.max("size"), F.min("size")).first()
+        if most is None:
+            break
+        room = gaps.agg(F.max("free")).first()[0] or 0
+        if room < most:  # what no gap holds opens sequences: the largest class of it
+            over = max(room, capacity // (capacity // most + 1))
+            large = items.where(F.col("size") > over)
+            new = cut(_opened(large, capacity))
+            if new.where("seq is not null").isEmpty():
+                new = cut(_opened(large, capacity, ranges=1))  # no more than a few items in each of many ranges
+            placed.add(new.where("seq is not null").select("id", "seq", "at"))
+            items = items.where(F.col("size") <= over).unionByName(new.where("seq is null").select("id", "size"))
+            gaps = gaps.union(new.where(F.col("free") >= least).select("seq", "free"))
+        swept = cut(_swept(items, gaps))
+        placed.add(swept.select("id", "seq", (capacity - F.col("free")).alias("at")))
+        items = cut(items.join(swept.select("id"), "id", "left_anti"))
+        shrunk = swept.select("seq", (F.col("free") - F.col("size")).alias("free"))
+        gaps = cut(gaps.join(swept.select("seq"), "seq", "left_anti").unionByName(shrunk).where(F.col("free") >= least))
+    found = rows.join(placed.all().select(F.col("id").alias("__bundle"), "seq", "at"), "__bundle")
+    return found.select("__row.*", F.col("seq").alias("sequence_id"), (F.col("at") + F.col("__inner")).alias("offset"))
 
 
 def pack_documents(df: DataFrame, vocab_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
