@@ -8,12 +8,14 @@ is compared as an entire unit.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Digests that are broadcast; 64 characters each and a name.
+MOST_KNOWN = 100_000
+
 # Words with equivalent spellings, after punctuation has gone.
 SPELLINGS = {
     "acknowledgement": "acknowledgment",
@@ -165,12 +167,17 @@ def public() -> list[tuple[str, str]]:
 
 
 def canonical(text: Column, copyright_line: str = COPYRIGHT_LINE) -> Column:
-    """Canonical form, with one blank between words; null stays null."""
+    """Canonical form, with one blank between words; null stays null.  Every word has two blanks of its own while spellings
+    are replaced, so neighbours don't share one."""
     low = F.regexp_replace(F.lower(text), copyright_line, " ")
-    words = F.concat(F.lit(" "), F.regexp_replace(low, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    words = F.concat(F.lit(" "), F.regexp_replace(low, r"[^\p{L}\p{N}]+", "  "), F.lit(" "))
     for said, meant in SPELLINGS.items():
-        words = F.replace(words, F.lit(f" {said} "), F.lit(f" {meant} "))
-    return F.trim(words)
+        words = F.replace(words, F.lit(_spaced(said)), F.lit(_spaced(meant)))
+    return F.trim(F.replace(words, F.lit("  "), F.lit(" ")))
+
+
+def _spaced(words: str) -> str:
+    return f" {words.replace(' ', '  ')} "
 
 
 def digest(text: Column, copyright_line: str = COPYRIGHT_LINE) -> Column:
@@ -188,41 +195,41 @@ def scan_licenses(df: DataFrame, known: list[tuple[str, str]] | None = None, id_
     canonical whole text, the license that the whole text is (or null) and all licenses found as
     whole text or as a line, sorted and joined with commas (or empty).
 
-    Whole texts meet the catalogue in a hash join; it is a constant table, so it is broadcast.
-    Lines are looked up in the same table inside their row, so that no line crosses the network.
-    Null text: null digest, nothing found.  Repeated rows repeat; if the catalogue gives one
+    Whole texts and their lines meet the catalogue in hash joins; up to ``MOST_KNOWN`` of its digests are broadcast, so that no line crosses the
+    network, and more are joined by shuffling digests.  What is found is put together by id and text, which rows that repeat share: they
+    are counted and given again.  Null text: null digest, nothing found.  Repeated rows repeat; if the catalogue gives one
     digest several names, the first by name counts."""
-    table = catalogue(df.sparkSession, known, copyright_line).groupBy("digest").agg(F.min("license").alias("whole"))
-    names = {r["digest"]: r["whole"] for r in table.collect()}
+    table = catalogue(df.sparkSession, known, copyright_line).groupBy("digest").agg(F.min("license").alias("license"))
+    if table.count() <= MOST_KNOWN:
+        table = F.broadcast(table)
     text = F.col(text_col).cast("string")
-    docs = df.select(F.col(id_col), digest(text, copyright_line).alias("text_digest"), F.split(text, "\n").alias("__lines"))
-    docs = docs.join(F.broadcast(table.withColumnRenamed("digest", "text_digest")), "text_digest", "left")
-    lookup = _lookup(names)
-    found = F.transform(F.transform("__lines", lambda x: digest(x, copyright_line)), lookup)
-    every = F.array_sort(F.array_distinct(F.array_compact(F.concat(found, F.array("whole")))))
-    return docs.select(id_col, "text_digest", "whole", F.coalesce(F.array_join(every, ","), F.lit("")).alias("licenses"))
-
-
-def _lookup(names: dict[str, str]) -> Callable[[Column], Column]:
-    """Names by digest; a constant map is read from its start, so many names go to maps by the first two digits."""
-    of = lambda pairs: F.create_map(*[F.lit(x) for pair in pairs for x in pair]) if pairs else F.lit(None).cast("map<string,string>")
-    if len(names) <= 64:
-        return lambda d: F.try_element_at(of(list(names.items())), d)
-    maps = F.array(*[of([p for p in names.items() if p[0].startswith(f"{i:02x}")]) for i in range(256)])
-    return lambda d: F.try_element_at(F.element_at(maps, F.conv(F.substring(d, 1, 2), 16, 10).cast("int") + 1), d)
+    docs = df.select(F.col(id_col).alias("__id"), text.alias("__text"))
+    docs = docs.select("__id", F.unhex(F.md5("__text")).alias("__of"), digest(F.col("__text"), copyright_line).alias("text_digest"), F.split("__text", "\n").alias("__lines"))
+    unit = F.struct(F.lit(True).alias("entire"), F.col("text_digest").alias("digest"))
+    lines = F.transform("__lines", lambda x: F.struct(F.lit(False).alias("entire"), digest(x, copyright_line).alias("digest")))
+    units = docs.select("__id", "__of", F.explode(F.concat(F.array(unit), F.coalesce(lines, F.array().cast("array<struct<entire:boolean,digest:string>>")))).alias("u"))
+    found = units.select("__id", "__of", "u.*").join(table, "digest", "left")
+    rows = found.groupBy("__id", "__of").agg(
+        F.max(F.when(F.col("entire"), F.col("digest"))).alias("text_digest"),
+        F.max(F.when(F.col("entire"), F.col("license"))).alias("whole"),
+        F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"),
+        F.count_if("entire").alias("__n"),
+    )
+    copies = rows.withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), "__n")))
+    return copies.select(F.col("__id").alias(id_col), "text_digest", "whole", "licenses")
 
 
 def _sql_canonical(text: str) -> str:
     low = f"regexp_replace(lower({text}), '{COPYRIGHT_LINE}', ' ', 'g')"
-    words = f"concat(' ', regexp_replace({low}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' ')"
+    words = f"concat(' ', regexp_replace({low}, '[^\\p{{L}}\\p{{N}}]+', '  ', 'g'), ' ')"
     for said, meant in SPELLINGS.items():
-        words = f"replace({words}, ' {said} ', ' {meant} ')"
-    return f"trim({words})"
+        words = f"replace({words}, '{_spaced(said)}', '{_spaced(meant)}')"
+    return f"trim(replace({words}, '  ', ' '))"
 
 
 def oracle() -> str:
-    """The query over ``documents`` in DuckDB's SQL."""
-    rows = ", ".join("({})".format(", ".join("'" + x.replace("'", "''") + "'" for x in pair)) for pair in LICENSES)
+    """The scan with ``public()`` over ``documents`` in DuckDB's SQL."""
+    rows = ", ".join("({})".format(", ".join("'" + x.replace("'", "''") + "'" for x in pair)) for pair in public())
     return f"""
     WITH known AS (SELECT sha256({_sql_canonical("t")}) AS digest, min(license) AS license FROM (VALUES {rows}) v(license, t) GROUP BY 1),
     d AS (SELECT doc_id, text, sha256({_sql_canonical("text")}) AS text_digest FROM documents),
