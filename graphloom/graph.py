@@ -22,6 +22,8 @@ FLAGS = {
 }
 NODE_COLUMNS = ["ord", "id", "parent", "classes", "x", "y", *FLAGS]
 EDGE_COLUMNS = ["ord", "id", "source", "target", "classes", *FLAGS]
+#: Values that a fold takes at a time, and those that a fold without a merge takes at all.
+FOLD, ONE_ROW = 4096, 1_000_000
 #: Identity of elements; ``data`` setters leave these alone, only ``move`` changes them.
 IMMUTABLE = ("id", "source", "target", "parent")
 
@@ -54,6 +56,7 @@ class Graph:
     nodes: DataFrame
     edges: DataFrame
     data: dict[str, Any] = field(default_factory=dict)
+    scratch: dict[str, Any] = field(default_factory=dict)
     autolock: bool = False
     autoungrabify: bool = False
     autounselectify: bool = False
@@ -67,6 +70,22 @@ class Graph:
     def with_(self, **changes) -> Graph:
         return replace(self, **changes)
 
+    # data of the graph itself
+
+    def set_data(self, **values: Any) -> Graph:
+        """The graph with these fields of its own data set."""
+        return self.with_(data={**self.data, **values})
+
+    def remove_data(self, *names: str) -> Graph:
+        """Without these fields of its own data, without any if none is named."""
+        return self.with_(data={k: v for k, v in self.data.items() if names and k not in names})
+
+    def set_scratch(self, **values: Any) -> Graph:
+        return self.with_(scratch={**self.scratch, **values})
+
+    def remove_scratch(self, *names: str) -> Graph:
+        return self.with_(scratch={k: v for k, v in self.scratch.items() if names and k not in names})
+
     # scans and lookups
 
     def elements(self, selector: str | None = None) -> Collection:
@@ -291,11 +310,24 @@ class Collection:
         rows = self.nodes.select("id", "ord", v.alias("value")).where(F.col("value").isNotNull() & ~F.isnan("value"))
         return rows.orderBy(F.col("value").desc() if largest else "value", "ord").limit(1).select("value", "id")
 
-    def reduce(self, start: Column, step: Callable[[Column, Column], Column], value: Column) -> DataFrame:
-        """``result``: a left fold over the nodes' values in order.  A fold whose step isn't
-        associative needs all values in one row; sums, minima and the like are plain aggregates instead."""
-        gathered = self.nodes.agg(F.array_sort(F.collect_list(F.struct("ord", value.alias("v")))).alias("all"))
-        return gathered.select(F.aggregate("all", start, lambda acc, x: step(acc, x["v"])).alias("result"))
+    def reduce(self, start: Column, step: Callable[[Column, Column], Column], value: Column, merge: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+        """``result``: a left fold over the nodes' values in order.  With ``merge``, which joins two results of neighbouring
+        parts (and leaves a result as it is when joined with ``start``), parts of ``FOLD`` values are folded apart and their results merged, level by
+        level, so any number of nodes will do.  A step without one needs all values in one row: more than ``ONE_ROW`` raise."""
+        from graphloom.operators.iterate import cut, global_index
+
+        fold = lambda df, f: df.agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("all")).withColumn("v", F.aggregate("all", start, lambda acc, x: f(acc, x["v"])))
+        if merge is None:
+            rows = self.nodes.select(F.col("ord").alias("i"), value.alias("v"))
+            if rows.count() > ONE_ROW:
+                raise ValueError(f"a fold of more than {ONE_ROW} values needs a merge")
+            return fold(rows, step).select(F.col("v").alias("result"))
+        rows, f = global_index(self.nodes.select("ord", value.alias("v")), ["ord"], "i"), step
+        while True:
+            parts = cut(fold(rows.groupBy(F.floor(F.col("i") / FOLD).alias("part")), f).select(F.col("part").alias("i"), "v"))
+            if parts.count() <= 1:
+                return fold(parts, merge).select(F.col("v").alias("result"))
+            rows, f = parts, merge
 
     def to_rows(self) -> Iterator:
         """Streams the elements to the driver, a partition at a time."""

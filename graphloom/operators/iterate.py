@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Rounds:
+    """What the rounds of a loop found, a table for each round.  Nothing is written again each round; now and then (after
+    ``compact`` rounds) the tables become one, so plans stay short and n rows are rewritten once in so many rounds."""
+
+    def __init__(self, first: DataFrame, compact: int = 12):
+        self.parts, self.compact = [first], compact
+
+    def add(self, df: DataFrame) -> None:
+        self.parts.append(df)
+        if len(self.parts) > self.compact:
+            self.parts = [cut(self.all())]
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.parts)
+
+
 def fixpoint(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], done: Callable[[DataFrame, DataFrame], bool], rounds: int) -> DataFrame:
     """Applies ``step`` until ``done(old, new)`` or so many rounds have passed."""
     state = cut(state)

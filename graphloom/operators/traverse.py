@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.graph import Collection, _semi
-from graphloom.operators.iterate import cut
+from graphloom.operators.iterate import Rounds, cut
+
+
+# Fixed value: the depth of nodes without children.
+TOP = 9007199254740990
 
 
 def connected_edges(c: Collection) -> Collection:
@@ -61,11 +65,12 @@ def _reach(c: Collection, a: str, b: str) -> Collection:
     """Everything reachable along edges a -> b; a start only if a cycle leads back to it."""
     edges = c.graph.edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
     reached = cut(edges.join(c.nodes.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct())
-    front = reached
+    front, rounds = reached, Rounds(reached)
     while not front.isEmpty():
         step = edges.join(front.withColumnRenamed("id", "a"), "a", "left_semi").select(F.col("b").alias("id")).distinct()
-        front = cut(step.join(reached, "id", "left_anti"))
-        reached = cut(reached.union(front))
+        front = cut(step.join(rounds.all(), "id", "left_anti"))
+        rounds.add(front)
+    reached = rounds.all()
     walked = _semi(c.graph.edges, c.nodes.select("id").union(reached).distinct(), a)
     return c._of(_semi(c.graph.nodes, reached), walked)
 
@@ -162,6 +167,18 @@ def nonorphans(c: Collection) -> Collection:
     return c._of(nodes=c.nodes.where("parent is not null"))
 
 
+def z_depth(c: Collection) -> DataFrame:
+    """``id, grp, depth``: a parent's depth in the hierarchy; nodes without children stand on top of everything
+    (``TOP``), an edge as high as the higher of its ends."""
+    deep = c.graph.closure().groupBy("id").agg(F.max("depth").alias("d"))
+    parents = c.graph.parents().withColumn("p", F.lit(True))
+    of = c.graph.nodes.select("id").join(deep, "id", "left").join(parents, "id", "left")
+    of = of.select("id", F.when(F.col("p"), F.coalesce("d", F.lit(0)).cast("long")).otherwise(F.lit(TOP)).alias("depth"))
+    ends = c.edges.select("id", F.explode(F.array("source", "target")).alias("__e")).join(of.select(F.col("id").alias("__e"), "depth"), "__e")
+    edges = ends.groupBy("id").agg(F.max("depth").alias("depth")).select("id", F.lit("edges").alias("grp"), "depth")
+    return _semi(of, c.nodes.select("id")).select("id", F.lit("nodes").alias("grp"), "depth").unionByName(edges)
+
+
 def is_parent(c: Collection) -> DataFrame:
     """``id, is_parent, is_childless, is_child, is_orphan`` of each node."""
     marks = c.graph.parents().withColumn("__p", F.lit(True))

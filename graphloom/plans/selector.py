@@ -261,7 +261,7 @@ def _state(graph: Graph, df: DataFrame, edges: bool, name: str) -> DataFrame:
     if name in ("visible", "hidden", "transparent"):
         seen = style.visibility(graph)
         test = {"visible": "visible", "hidden": "not visible", "transparent": "transparent"}[name]
-        return df.join(seen.where(test).select("id"), "id", "left_semi").select(*df.columns)
+        return _semi_ids(df, seen.where(test).select("id"))
     if name in ("loop", "simple"):
         return df.where("source = target" if name == "loop" else "source <> target") if edges else df.limit(0)
     if edges:
@@ -269,10 +269,10 @@ def _state(graph: Graph, df: DataFrame, edges: bool, name: str) -> DataFrame:
             return df.limit(0)
         p = graph.parents()
         ends = df.select("id", F.explode(F.array("source", "target")).alias("__end")).join(p.withColumnRenamed("id", "__end"), "__end", "left_semi")
-        return df.join(ends.select("id").distinct(), "id", "left_semi").select(*df.columns)
+        return _semi_ids(df, ends.select("id").distinct())
     if name in ("orphan", "child", "nonorphan"):
         return df.where("parent is null" if name == "orphan" else "parent is not null")
-    return df.join(graph.parents(), "id", "left_anti" if name == "childless" else "left_semi").select(*df.columns)
+    return _semi_ids(df, graph.parents(), "left_anti" if name == "childless" else "left_semi")
 
 
 def match_term(graph: Graph, term: Term, df: DataFrame, edges: bool) -> DataFrame:
@@ -300,16 +300,15 @@ def match_term(graph: Graph, term: Term, df: DataFrame, edges: bool) -> DataFram
             later.append(c)
     if tests:
         df = df.where(reduce(lambda a, b: a & b, tests))
-    columns = df.columns
     for c in later:
         if c.kind == "state":
             df = _state(graph, df, edges, c.name)
         elif edges:  # metadata of edges is undefined
             df = df.where(compare(None, c.op, c.value))
         else:
-            degree = graph.degrees.select("id", F.col(c.name).alias("__m"))
-            joined = df.join(degree, "id", "left")
-            df = joined.where(compare((F.coalesce(F.col("__m"), F.lit(0)), T.LongType()), c.op, c.value)).select(*columns)
+            degree = graph.degrees.select(F.col("id").alias("__i"), F.col(c.name).alias("__m"))
+            joined = df.join(degree, df["id"] == F.col("__i"), "left")
+            df = joined.where(compare((F.coalesce(F.col("__m"), F.lit(0)), T.LongType()), c.op, c.value)).drop("__i", "__m")
     return df
 
 
@@ -365,5 +364,6 @@ def apply_selector(text: str, c: Collection) -> Collection:
     return c._of(nodes, edges)
 
 
-def _semi_ids(df: DataFrame, ids: DataFrame) -> DataFrame:
-    return df.join(ids, "id", "left_semi").select(*df.columns)
+def _semi_ids(df: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows whose id is among ``ids``; adds and renames nothing, so any column names will do."""
+    return df.join(ids.select(F.col("id").alias("__in")), df["id"] == F.col("__in"), how)
