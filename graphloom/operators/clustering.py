@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.graph import Collection
@@ -19,8 +19,11 @@ ALIASES = {"squared-euclidean": "squaredEuclidean", "squaredeuclidean": "squared
 MAX_NODES = 4000
 
 
-def distance(a: Sequence[Column], b: Sequence[Column], name: str = "euclidean") -> Column:
-    """Distance of two points given as columns of coordinates; an unknown name is euclidean."""
+def distance(a: Sequence[Column], b: Sequence[Column], name: str | Callable = "euclidean") -> Column:
+    """Distance of two points given as columns of coordinates; an unknown name is euclidean.  A function takes both
+    lists of columns and gives a column."""
+    if callable(name):
+        return name(a, b)
     diffs = [F.abs(x.cast("double") - y.cast("double")) for x, y in zip(a, b, strict=True)]
     name = ALIASES.get(name, name)
     total = lambda xs: sum(xs[1:], xs[0]) if xs else F.lit(0.0)
@@ -32,7 +35,10 @@ def distance(a: Sequence[Column], b: Sequence[Column], name: str = "euclidean")
     return squares if name == "squaredEuclidean" else F.sqrt(squares)
 
 
-def _np_distance(x: np.ndarray, y: np.ndarray, name: str) -> np.ndarray:
+def _np_distance(x: np.ndarray, y: np.ndarray, name: str | Callable) -> np.ndarray:
+    """The same of all rows of x with all rows of y; a function takes lists of coordinate arrays that fit each other."""
+    if callable(name):
+        return np.asarray(name([v[:, None] for v in x.T], [v[None, :] for v in y.T]), float)
     d = np.abs(x[:, None, :] - y[None, :, :])
     name = ALIASES.get(name, name)
     if name == "manhattan":
@@ -53,7 +59,7 @@ def _start_centroids(points: DataFrame, k: int, m: int, seed: int) -> list[list[
     return [[float(rng.uniform(box[f"lo{i}"], box[f"hi{i}"])) if box[f"lo{i}"] is not None else 0.0 for i in range(m)] for _ in range(k)]
 
 
-def _nearest(points: DataFrame, centroids: list[list[float]], name: str) -> DataFrame:
+def _nearest(points: DataFrame, centroids: list[list[float]], name: str | Callable) -> DataFrame:
     """Adds ``cluster``: the centroid with the smallest distance, of equals the first.  Centroids are
     k constants in the expression, so nothing is joined or moved."""
     m = len(centroids[0])
@@ -61,7 +67,7 @@ def _nearest(points: DataFrame, centroids: list[list[float]], name: str) -> Data
     return points.withColumn("cluster", (F.least(*options) if len(options) > 1 else options[0]).getField("j"))
 
 
-def k_means(c: Collection, attributes: Sequence[Column], k: int = 2, name: str = "euclidean", max_iterations: int = 10, sensitivity: float = 1e-4, centroids: list[list[float]] | None = None, seed: int = 1) -> DataFrame:
+def k_means(c: Collection, attributes: Sequence[Column], k: int = 2, name: str | Callable = "euclidean", max_iterations: int = 10, sensitivity: float = 1e-4, centroids: list[list[float]] | None = None, seed: int = 1) -> DataFrame:
     """``id, cluster``.  Starts from the given centroids or from random ones in the points' box;
     ends when no coordinate of any centroid moves by more than ``sensitivity``.  A cluster that loses all its
     points keeps its centroid."""
@@ -80,10 +86,24 @@ def k_means(c: Collection, attributes: Sequence[Column], k: int = 2, name: str =
     return assigned.select("id", "cluster")
 
 
-def k_medoids(c: Collection, attributes: Sequence[Column], k: int = 2, name: str = "euclidean", max_iterations: int = 10, medoids: list[str] | None = None) -> DataFrame:
+def _manhattan_sums(assigned: DataFrame, m: int) -> DataFrame:
+    """``cluster, id, ord, cost``: for each row the sum of manhattan distances to all rows of its cluster."""
+    axes = F.explode(F.array(*[F.struct(F.lit(i).alias("axis"), F.col(f"a{i}").alias("v")) for i in range(m)])).alias("__x")
+    long = assigned.select("cluster", "id", "ord", axes).select("cluster", "id", "ord", "__x.*")
+    counted = long.groupBy("cluster", "axis", "v").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("t"))
+    below = Window.partitionBy("cluster", "axis").orderBy("v")
+    whole = Window.partitionBy("cluster", "axis")
+    n, t = F.sum("n").over(below), F.sum("t").over(below)
+    sums = counted.select("cluster", "axis", "v", (F.col("v") * n - t + (F.sum("t").over(whole) - t) - F.col("v") * (F.sum("n").over(whole) - n)).alias("s"))
+    return long.join(sums, ["cluster", "axis", "v"]).groupBy("cluster", "id", "ord").agg(F.round(F.sum("s"), 9).alias("cost"))
+
+
+def k_medoids(c: Collection, attributes: Sequence[Column], k: int = 2, name: str | Callable = "euclidean", max_iterations: int = 10, medoids: list[str] | None = None) -> DataFrame:
     """``id, cluster, medoid``.  Nodes go to the nearest medoid by ``name``; a cluster's next medoid is the
     member with the smallest sum of manhattan distances (of equals the first); ends when none changes.
-    The sums take a join of each cluster with itself, which is what the method costs."""
+
+    The sums need no pairs: along one coordinate, the distances from a value to all others follow from how many
+    members are below it and what they add up to, so distinct values are counted, ordered and summed up."""
     points = cut(_points(c, attributes))
     m = len(attributes)
     names = [r["id"] for r in points.orderBy("ord").limit(k).collect()] if medoids is None else list(medoids)
@@ -91,9 +111,7 @@ def k_medoids(c: Collection, attributes: Sequence[Column], k: int = 2, name: str
     for _ in range(max_iterations):
         rows = {r["id"]: [r[f"a{i}"] for i in range(m)] for r in points.where(F.col("id").isin(names)).collect()}  # k rows
         assigned = cut(_nearest(points, [rows[n] for n in names], name))
-        other = assigned.select("cluster", *[F.col(f"a{i}").alias(f"b{i}") for i in range(m)])
-        cost = distance([F.col(f"a{i}") for i in range(m)], [F.col(f"b{i}") for i in range(m)], "manhattan")
-        costs = assigned.join(other, "cluster").groupBy("cluster", "id", "ord").agg(F.round(F.sum(cost), 9).alias("cost"))
+        costs = _manhattan_sums(assigned, m)
         best = {r["cluster"]: r["id"] for r in costs.groupBy("cluster").agg(F.min_by("id", F.struct("cost", "ord")).alias("id")).collect()}  # k rows
         new = [best.get(j, n) for j, n in enumerate(names)]
         if new == names:
@@ -103,7 +121,7 @@ def k_medoids(c: Collection, attributes: Sequence[Column], k: int = 2, name: str
     return assigned.select("id", "cluster", F.get(table, F.col("cluster")).alias("medoid"))
 
 
-def fuzzy_c_means(c: Collection, attributes: Sequence[Column], k: int = 2, name: str = "euclidean", m: float = 2.0, max_iterations: int = 10, sensitivity: float = 1e-4, seed: int = 1, centroids: list[list[float]] | None = None) -> DataFrame:
+def fuzzy_c_means(c: Collection, attributes: Sequence[Column], k: int = 2, name: str | Callable = "euclidean", m: float = 2.0, max_iterations: int = 10, sensitivity: float = 1e-4, seed: int = 1, centroids: list[list[float]] | None = None) -> DataFrame:
     """``id, cluster, membership array<double>``: memberships 1 / sum((d_i / d_k)^(2/(m-1))); a node at
     distance 0 of centroids belongs to those alone; the cluster is the largest membership's."""
     points = cut(_points(c, attributes))
@@ -129,7 +147,7 @@ def fuzzy_c_means(c: Collection, attributes: Sequence[Column], k: int = 2, name:
     return degrees.select("id", best.alias("cluster"), F.col("u").alias("membership"))
 
 
-def threshold_clusters(c: Collection, attributes: Sequence[Column], threshold: float, name: str = "euclidean", cell: float | None = None) -> DataFrame:
+def threshold_clusters(c: Collection, attributes: Sequence[Column], threshold: float, name: str | Callable = "euclidean", cell: float | None = None) -> DataFrame:
     """``id, cluster``: single-linkage clusters at a threshold - components of the pairs nearer than it.
 
     Points go to grid cells as wide as the threshold in the first two coordinates and meet only those of
@@ -165,7 +183,7 @@ def _gathered(c: Collection, attributes: Sequence[Column], kernel, schema: str)
     return few.withColumn("__g", F.lit(0)).groupBy("__g").applyInPandas(guarded, schema)
 
 
-def hierarchical(c: Collection, attributes: Sequence[Column], name: str = "euclidean", linkage: str = "min", threshold: float | None = None, depth: int = 0, mode: str = "threshold") -> DataFrame:
+def hierarchical(c: Collection, attributes: Sequence[Column], name: str | Callable = "euclidean", linkage: str = "min", threshold: float | None = None, depth: int = 0, mode: str = "threshold") -> DataFrame:
     """``id, cluster``: agglomerative clustering with linkage min (single), max (complete) or mean.  Mode
     ``threshold`` merges while the nearest clusters are nearer than the threshold (none: to one cluster); mode
     ``dendrogram`` merges all and cuts the tree at ``depth`` levels from its root.
@@ -216,10 +234,13 @@ def hierarchical(c: Collection, attributes: Sequence[Column], name: str = "eucli
     return _gathered(c, attributes, kernel, "id string, cluster string")
 
 
-def markov(c: Collection, weight: Column | None = None, expand: int = 2, inflate: float = 2.0, mult: float = 1.0, max_iterations: int = 20, prune: float = 1e-6) -> DataFrame:
+def markov(c: Collection, weight: Column | None = None, expand: int = 2, inflate: float = 2.0, mult: float = 1.0, max_iterations: int = 20, prune: float = 0.0, attributes: Sequence[Column] | None = None) -> DataFrame:
     """``id, cluster``: Markov clustering on a sparse matrix of rows (i, j, v): symmetric weights, diagonal set
-    to ``mult``, columns normalised; then powers and inflation until four decimals don't change.  Entries under
-    ``prune`` go, which keeps the matrix sparse.  A cluster is the support of a row at three decimals."""
+    to ``mult``, columns normalised; then powers and inflation until four decimals don't change.  An edge's weight is ``weight``
+    or the sum of ``attributes``.  Entries under ``prune`` go, which keeps a large matrix sparse and changes results slightly;
+    by default only zeros do.  A cluster is the support of a row at three decimals."""
+    if attributes:
+        weight = sum(attributes[1:], attributes[0])
     e = inner_edges(c, loops=False).select("source", "target", (F.lit(1.0) if weight is None else weight.cast("double")).alias("v"))
     sides = e.select(F.col("source").alias("i"), F.col("target").alias("j"), "v").union(e.select("target", "source", "v"))
     own = c.nodes.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(float(mult)).alias("v"))
@@ -235,7 +256,7 @@ def markov(c: Collection, weight: Column | None = None, expand: int = 2, inflate
             right = state.select(F.col("i").alias("k"), F.col("j").alias("z"), F.col("v").alias("v2"))
             power = power.withColumnRenamed("j", "k").join(right, "k").groupBy("i", F.col("z").alias("j")).agg(F.sum(F.col("v") * F.col("v2")).alias("v"))
         power = cut(power)
-        new = cut(normal(power.select("i", "j", F.pow("v", F.lit(float(inflate))).alias("v"))).where(F.col("v") >= prune))
+        new = cut(normal(power.select("i", "j", F.pow("v", F.lit(float(inflate))).alias("v"))).where((F.col("v") > 0) & (F.col("v") >= prune)))
         both = new.join(power.withColumnRenamed("v", "old"), ["i", "j"], "full")
         changed = both.where(F.round(F.coalesce("v", F.lit(0.0)), 4) != F.round(F.coalesce("old", F.lit(0.0)), 4))
         state = new
@@ -246,7 +267,7 @@ def markov(c: Collection, weight: Column | None = None, expand: int = 2, inflate
     return support.groupBy("j").agg(F.min("i").alias("i")).join(support.groupBy("i").agg(F.min("j").alias("cluster")), "i").select(F.col("j").alias("id"), "cluster")
 
 
-def affinity(c: Collection, attributes: Sequence[Column], preference: str | float = "median", damping: float = 0.8, name: str = "euclidean", max_iterations: int = 1000, min_iterations: int = 100) -> DataFrame:
+def affinity(c: Collection, attributes: Sequence[Column], preference: str | float = "median", damping: float = 0.8, name: str | Callable = "euclidean", max_iterations: int = 1000, min_iterations: int = 100) -> DataFrame:
     """``id, cluster`` (the exemplar's id): affinity propagation on similarities -distance; messages run until
     the exemplars have stayed the same for ``min_iterations`` rounds, then each cluster takes its best exemplar."""
     if not 0.5 <= damping < 1:
