@@ -6,6 +6,8 @@ straight.  Element boxes grow by 1 on each side, as the bounding box of a drawin
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,9 +73,28 @@ def bounding_box_at(c: Collection, x: Column, y: Column) -> DataFrame:
     return bounding_box(Collection(c.graph.with_(nodes=nodes), nodes, c.edges))
 
 
-def compound_bounds(g: Graph, padding: float = 0.0, min_width: float = 0.0, min_height: float = 0.0) -> DataFrame:
-    """``id, x, y, w, h`` of all nodes: a parent covers its children's boxes plus padding, at least the
-    minimum; its place is the middle of that.  Level by level from the deepest parents up."""
+def relative_padding(w: Column, h: Column, padding: float | str, relative_to: str = "width") -> Column:
+    """Padding in pixels, or, as text like ``10%``, of the width, the height, or their average, least or largest; a part of
+    no size gives none."""
+    if not isinstance(padding, str):
+        return F.lit(float(padding))
+    share = float(padding.rstrip("%")) / 100
+    of = {"width": w, "height": h, "average": (w + h) / 2, "min": F.least(w, h), "max": F.greatest(w, h)}[relative_to]
+    there = w > 0 if relative_to == "width" else h > 0 if relative_to == "height" else (w > 0) & (h > 0)
+    return F.when(there, of * share).otherwise(0.0)
+
+
+def _shift(size: Column, least: float, before: float, after: float) -> Column:
+    """How far the middle moves when a side grows to its minimum, by the shares that lie before and behind."""
+    if before + after <= 0:
+        return F.lit(0.0)
+    return F.greatest(F.lit(float(least)) - size, F.lit(0.0)) * ((after - before) / (before + after) / 2)
+
+
+def compound_bounds(g: Graph, padding: float | str = 0.0, min_width: float = 0.0, min_height: float = 0.0, relative_to: str = "width", bias: tuple[float, float, float, float] = (0.0, 0.0, 0.0, 0.0)) -> DataFrame:
+    """``id, x, y, w, h`` of all nodes: a parent covers its children's boxes plus padding (see ``relative_padding``), at least the
+    minimum; its place is the middle of the children's box, moved where a minimum takes more room on one side
+    (``bias``: left, right, top, bottom).  Level by level from the deepest parents up."""
     w, h = _size(g.nodes, "width"), _size(g.nodes, "height")
     depth = g.closure().groupBy("id").agg(F.max("depth").alias("depth"))
     base = cut(g.nodes.join(depth, "id", "left").select("id", "parent", F.coalesce("depth", F.lit(0)).alias("depth"), "x", "y", w.alias("w"), h.alias("h")))
@@ -82,8 +103,15 @@ def compound_bounds(g: Graph, padding: float = 0.0, min_width: float = 0.0, min_
         kids = base.where(F.col("depth") == d).groupBy("parent").agg(F.min(F.col("x") - F.col("w") / 2).alias("x1"), F.max(F.col("x") + F.col("w") / 2).alias("x2"), F.min(F.col("y") - F.col("h") / 2).alias("y1"), F.max(F.col("y") + F.col("h") / 2).alias("y2"))
         kids = kids.where("x2 > x1 and y2 > y1").withColumnRenamed("parent", "id")
         grown = base.join(kids, "id", "left")
-        has = F.col("x1").isNotNull()
-        base = cut(grown.select("id", "parent", "depth", F.when(has, (F.col("x1") + F.col("x2")) / 2).otherwise(F.col("x")).alias("x"), F.when(has, (F.col("y1") + F.col("y2")) / 2).otherwise(F.col("y")).alias("y"), F.when(has, F.greatest(F.col("x2") - F.col("x1"), F.lit(min_width)) + 2 * padding).otherwise(F.col("w")).alias("w"), F.when(has, F.greatest(F.col("y2") - F.col("y1"), F.lit(min_height)) + 2 * padding).otherwise(F.col("h")).alias("h")))
+        has, kw, kh = F.col("x1").isNotNull(), F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+        pad = relative_padding(kw, kh, padding, relative_to)
+        new = {
+            "x": (F.col("x1") + F.col("x2")) / 2 + _shift(kw, min_width, *bias[:2]),
+            "y": (F.col("y1") + F.col("y2")) / 2 + _shift(kh, min_height, *bias[2:]),
+            "w": F.greatest(kw, F.lit(float(min_width))) + 2 * pad,
+            "h": F.greatest(kh, F.lit(float(min_height))) + 2 * pad,
+        }
+        base = cut(grown.select("id", "parent", "depth", *[F.when(has, v).otherwise(F.col(k)).alias(k) for k, v in new.items()]))
     return base.select("id", "x", "y", "w", "h")
 
 
@@ -115,6 +143,26 @@ def in_box(c: Collection, x1: float, y1: float, x2: float, y2: float, mode: str
     return node_boxes(c).where(test).select("id")
 
 
+def select_in_box(c: Collection, x1: float, y1: float, x2: float, y2: float, mode: Callable[[DataFrame], Column] | str = "contain") -> DataFrame:
+    """``id, grp`` of nodes and edges that a box selects, each by its own mode - ``contain``, ``overlap`` or ``none`` -, which a
+    function gives as a column of nodes or edges.  A node counts with its body grown by 1; an edge is contained if both ends are inside and overlaps if
+    one is or it crosses a side."""
+    box = {"x1": F.lit(float(min(x1, x2))), "y1": F.lit(float(min(y1, y2))), "x2": F.lit(float(max(x1, x2))), "y2": F.lit(float(max(y1, y2)))}
+    own = lambda df: df.select("id", (mode(df) if callable(mode) else F.lit(mode)).alias("mode"))
+    chosen = lambda contain, overlap: F.when(F.col("mode") == "contain", contain).when(F.col("mode") == "overlap", overlap).otherwise(False)
+    bodies = element_boxes(c, edges=False).join(own(c.nodes), "id")
+    nodes = bodies.where(chosen(box_in_box(box, sides()), boxes_intersect(box, sides())))
+    inside = lambda x, y: F.col(x).between(box["x1"], box["x2"]) & F.col(y).between(box["y1"], box["y2"])
+    s, t = inside("sx", "sy"), inside("tx", "ty")
+    line = [F.col(k) for k in ("sx", "sy", "tx", "ty")]
+    corners = [(box["x1"], box["y1"]), (box["x2"], box["y1"]), (box["x2"], box["y2"]), (box["x1"], box["y2"])]
+    crosses = F.lit(False)
+    for p, q in zip(corners, [*corners[1:], corners[0]], strict=True):
+        crosses = crosses | segments_cross(line, [*p, *q])
+    edges = edge_ends(c).join(own(c.edges), "id").where(chosen(s & t, s | t | crosses))
+    return nodes.select("id", F.lit("nodes").alias("grp")).unionByName(edges.select("id", F.lit("edges").alias("grp")))
+
+
 def in_boxes(c: Collection, boxes: DataFrame, cell: float, mode: str = "overlap") -> DataFrame:
     """``box, id``: the same for a table of boxes (``box, x1, y1, x2, y2``), as a range join over grid cells: a node
     goes to the cells that it covers, so does a box, and only those that share a cell are compared; the pair is

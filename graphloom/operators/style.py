@@ -18,31 +18,69 @@ from graphloom.functions import colors
 from graphloom.graph import Graph
 from graphloom.plans import selector as sel
 
-# Defaults of the properties that queries use, and the default sheet.
+# Defaults of properties - of text, of bodies and their borders, of compound nodes, of lines and arrows -, and the default sheet.
 DEFAULTS: dict[str, Any] = {
-    "display": "element", "visibility": "visible", "opacity": 1.0, "z-index": 0, "label": "", "shape": "ellipse", "width": 30.0, "height": 30.0,
-    "padding": 0.0, "border-width": 0.0, "background-color": "#999", "line-color": "#999", "events": "yes", "curve-style": "haystack",
+    "events": "yes", "text-events": "no", "display": "element", "visibility": "visible", "opacity": 1.0, "z-index": 0, "z-compound-depth": "auto", "z-index-compare": "auto", "box-selection": "contain",
+    "label": "", "color": "#000", "font-family": "Helvetica Neue, Helvetica, sans-serif", "font-style": "normal", "font-weight": "normal", "font-size": 16, "min-zoomed-font-size": 0, "line-height": 1, "text-valign": "top", "text-halign": "center",
+    "text-justification": "auto", "text-opacity": 1, "text-transform": "none", "text-wrap": "none", "text-max-width": 9999, "text-rotation": "none", "text-margin-x": 0, "text-margin-y": 0, "text-outline-color": "#000", "text-outline-width": 0,
+    "text-outline-opacity": 1, "text-background-color": "#000", "text-background-opacity": 0, "text-background-shape": "rectangle", "text-background-padding": 0, "text-border-color": "#000", "text-border-width": 0, "text-border-opacity": 0, "text-border-style": "solid",
+    "source-label": "", "target-label": "", "source-text-offset": 0, "target-text-offset": 0,
+    "overlay-color": "#000", "overlay-opacity": 0, "overlay-padding": 10, "overlay-shape": "round-rectangle", "underlay-color": "#000", "underlay-opacity": 0, "underlay-padding": 10, "underlay-shape": "round-rectangle",
+    "shape": "ellipse", "width": 30.0, "height": 30.0, "bounds-expansion": 0, "background-color": "#999", "background-opacity": 1, "background-blacken": 0, "background-fill": "solid",
+    "border-color": "#000", "border-opacity": 1, "border-width": 0.0, "border-style": "solid", "border-position": "center", "border-cap": "butt", "border-join": "miter", "outline-color": "#999", "outline-opacity": 1, "outline-width": 0, "outline-offset": 0, "outline-style": "solid",
+    "ghost": "no", "ghost-offset-x": 0, "ghost-offset-y": 0, "ghost-opacity": 0,
+    "padding": 0.0, "padding-relative-to": "width", "compound-sizing-wrt-labels": "include", "min-width": 0, "min-width-bias-left": 0, "min-width-bias-right": 0, "min-height": 0, "min-height-bias-top": 0, "min-height-bias-bottom": 0,
+    "line-color": "#999", "line-style": "solid", "line-fill": "solid", "line-cap": "butt", "line-opacity": 1, "line-outline-width": 0, "line-outline-color": "#000", "line-dash-offset": 0, "curve-style": "haystack", "haystack-radius": 0, "arrow-scale": 1,
+    "control-point-step-size": 40, "control-point-weights": 0.5, "segment-weights": 0.5, "segment-distances": 20, "segment-radii": 15, "taxi-radius": 15, "taxi-turn-min-distance": 10, "taxi-direction": "auto", "edge-distances": "intersection",
+    "source-distance-from-node": 0, "target-distance-from-node": 0, "source-endpoint": "outside-to-node", "target-endpoint": "outside-to-node",
 }
+ARROWS = {"arrow-shape": "none", "arrow-color": "#999", "arrow-fill": "filled", "arrow-width": 1}
+ENDS = ("source", "mid-source", "target", "mid-target")
 EDGE_DEFAULTS: dict[str, Any] = {"width": 3.0}
 DEFAULT_SHEET: list[tuple[str, dict[str, Any]]] = [
-    (":parent", {"shape": "rectangle", "padding": 10.0, "background-color": "#eee", "border-width": 1.0}),
+    (":parent", {"shape": "rectangle", "padding": 10.0, "background-color": "#eee", "border-color": "#ccc", "border-width": 1.0}),
     ("edge", {"width": 3.0}),
     (":loop", {"curve-style": "bezier"}),
-    ("edge:compound", {"curve-style": "bezier"}),
-    (":selected", {"background-color": "#0169D9", "line-color": "#0169D9"}),
-    (":parent:selected", {"background-color": "#CCE1F9", "border-width": 1.0}),
-    (":active", {"opacity": 1.0}),
+    ("edge:compound", {"curve-style": "bezier", "source-endpoint": "outside-to-line", "target-endpoint": "outside-to-line"}),
+    (":selected", {"background-color": "#0169D9", "line-color": "#0169D9", "source-arrow-color": "#0169D9", "target-arrow-color": "#0169D9", "mid-source-arrow-color": "#0169D9", "mid-target-arrow-color": "#0169D9"}),
+    (":parent:selected", {"background-color": "#CCE1F9", "border-color": "#aec8e5"}),
+    (":active", {"overlay-color": "black", "overlay-padding": 10, "overlay-opacity": 0.25}),
 ]
 # Enumerated properties and their values.
 ENUMS = {
     "display": ("none", "element"),
     "visibility": ("hidden", "visible"),
     "events": ("yes", "no"),
+    "text-events": ("yes", "no"),
+    "ghost": ("yes", "no"),
+    "box-selection": ("contain", "overlap", "none"),
     "shape": ("ellipse", "rectangle", "round-rectangle", "triangle", "diamond", "pentagon", "hexagon", "octagon", "star", "vee"),
     "curve-style": ("bezier", "unbundled-bezier", "haystack", "segments", "straight", "taxi", "round-segments", "round-taxi"),
+    "text-valign": ("top", "center", "bottom"),
+    "text-halign": ("left", "center", "right"),
+    "text-justification": ("left", "center", "right", "auto"),
+    "text-transform": ("none", "uppercase", "lowercase"),
+    "text-wrap": ("none", "wrap", "ellipsis"),
+    "font-style": ("italic", "normal", "oblique"),
+    "z-compound-depth": ("bottom", "orphan", "auto", "top"),
+    "z-index-compare": ("auto", "manual"),
+    "border-style": ("solid", "dotted", "dashed", "double"),
+    "border-position": ("center", "inside", "outside"),
+    "border-cap": ("butt", "round", "square"),
+    "border-join": ("round", "bevel", "miter"),
+    "outline-style": ("solid", "dotted", "dashed", "double"),
+    "line-style": ("solid", "dotted", "dashed"),
+    "line-cap": ("butt", "round", "square"),
+    "padding-relative-to": ("width", "height", "average", "min", "max"),
+    "compound-sizing-wrt-labels": ("include", "exclude"),
+    "overlay-shape": ("rectangle", "roundrectangle", "round-rectangle", "ellipse"),
+    "underlay-shape": ("rectangle", "roundrectangle", "round-rectangle", "ellipse"),
 }
-NUMBERS = {"opacity": (0.0, 1.0), "z-index": (None, None), "width": (0.0, None), "height": (0.0, None), "padding": (0.0, None), "border-width": (0.0, None)}
 UNITS = {"": 1.0, "px": 1.0, "em": 16.0, "deg": 3.141592653589793 / 180, "rad": 1.0, "s": 1000.0, "ms": 1.0}
+SIGNED = ("z-index", "background-blacken", "text-margin-x", "text-margin-y", "ghost-offset-x", "ghost-offset-y", "outline-offset", "line-dash-offset", "segment-distances", "bounds-expansion", "source-distance-from-node", "target-distance-from-node", "control-point-weights", "segment-weights")
+DEFAULTS |= {f"{end}-{name}": value for end in ENDS for name, value in ARROWS.items()}
+#: Least and largest value of numbers: shares from 0 to 1, some with a sign, the others at least 0.
+NUMBERS = {name: (0.0, 1.0) if name.endswith("opacity") or name == "haystack-radius" else (-1.0, 1.0) if name == "background-blacken" else (None, None) if name in SIGNED else (0.0, None) for name, value in DEFAULTS.items() if isinstance(value, (int, float))}
 
 
 class StyleError(ValueError):
