@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +13,9 @@ from graphloom.graph import FLAGS, IMMUTABLE, Collection, Graph, _semi, normalis
 from graphloom.operators.iterate import cut
 
 
+SCRATCH = "scratch:"
+
+
 def _member() -> Column:
     return F.coalesce("__member", F.lit(False))
 
@@ -25,19 +30,25 @@ def _update(df: DataFrame, members: DataFrame, values: dict[str, Column], where:
     marked = _marked(df, members)
     test = _member() if where is None else _member() & where
     new = {c: F.when(test, v).otherwise(F.col(f"`{c}`") if c in df.columns else F.lit(None)) for c, v in values.items()}
-    return marked.withColumns(new).drop("__member")
+    return marked.withColumns(new).drop("__member") if new else df
+
 
+def _each(c: Collection, values: dict[str, Column | Callable], where: Column | None = None) -> Graph:
+    """A value may be a function of the table that gives its column, or None to leave the table alone."""
 
-def _each(c: Collection, values: dict[str, Column], where: Column | None = None) -> Graph:
-    return c.graph.with_(nodes=_update(c.graph.nodes, c.nodes, values, where), edges=_update(c.graph.edges, c.edges, values, where))
+    def of(df: DataFrame) -> dict[str, Column]:
+        given = {k: v(df) if callable(v) and not isinstance(v, Column) else v for k, v in values.items()}
+        return {k: v for k, v in given.items() if v is not None}
+
+    return c.graph.with_(nodes=_update(c.graph.nodes, c.nodes, of(c.graph.nodes), where), edges=_update(c.graph.edges, c.edges, of(c.graph.edges), where))
 
 
 # data
 
 
 def set_data(c: Collection, values: dict[str, Any]) -> Graph:
-    """Sets data fields (constants or columns) on all elements; identity fields are left alone."""
-    return _each(c, {k: v if isinstance(v, Column) else F.lit(v) for k, v in values.items() if k not in IMMUTABLE})
+    """Sets data fields (constants, columns, or functions of a table that give one) on all elements; identity fields are left alone."""
+    return _each(c, {k: v if isinstance(v, Column) or callable(v) else F.lit(v) for k, v in values.items() if k not in IMMUTABLE})
 
 
 def remove_data(c: Collection, names: list[str] | None = None) -> Graph:
@@ -50,6 +61,25 @@ def remove_data(c: Collection, names: list[str] | None = None) -> Graph:
     return c.graph.with_(nodes=_update(c.graph.nodes, c.nodes, gone(c.nodes, NODE_COLUMNS)), edges=_update(c.graph.edges, c.edges, gone(c.edges, EDGE_COLUMNS)))
 
 
+def set_scratch(c: Collection, values: dict[str, Any]) -> Graph:
+    """Like ``set_data`` on a bag of its own, which selectors and JSON don't see: columns ``scratch:name``."""
+    return _each(c, {f"{SCRATCH}{k}": v if isinstance(v, Column) or callable(v) else F.lit(v) for k, v in values.items()})
+
+
+def scratch(c: Collection, name: str) -> DataFrame:
+    """``id, value`` of nodes and edges that have the field in their scratch."""
+    field = f"{SCRATCH}{name}"
+    parts = [df.select("id", F.col(f"`{field}`").alias("value")) for df in (c.nodes, c.edges) if field in df.columns]
+    found = reduce(DataFrame.unionByName, parts) if parts else c.nodes.select("id", F.lit(None).cast("string").alias("value"))
+    return found.where("value is not null")
+
+
+def remove_scratch(c: Collection, names: list[str] | None = None) -> Graph:
+    """Undefines the fields of the scratch, by default all."""
+    gone = lambda df: {k: F.lit(None).cast(df.schema[k].dataType) for k in df.columns if k.startswith(SCRATCH) and (names is None or k.removeprefix(SCRATCH) in names)}
+    return c.graph.with_(nodes=_update(c.graph.nodes, c.nodes, gone(c.graph.nodes)), edges=_update(c.graph.edges, c.edges, gone(c.graph.edges)))
+
+
 def batch_data(g: Graph, updates: DataFrame) -> Graph:
     """A table ``id, field...`` of new values; null leaves the old one."""
     names = [c for c in updates.columns if c not in IMMUTABLE]

@@ -139,7 +139,7 @@ def jsons(c: Collection) -> DataFrame:
 
     def on(df: DataFrame, group: str) -> DataFrame:
         fixed = {"ord", "classes", "x", "y", *FLAGS}
-        data = F.struct(*[F.col(f"`{k}`") for k in df.columns if k not in fixed])
+        data = F.struct(*[F.col(f"`{k}`") for k in df.columns if k not in fixed and not k.startswith("scratch:")])
         parts = [data.alias("data"), F.lit(group).alias("group")]
         if group == "nodes":
             parts.insert(1, F.struct("x", "y").alias("position"))

@@ -45,19 +45,35 @@ def once(log: DataFrame, types: str, per_target: bool = True) -> DataFrame:
     return first.select("e.*")
 
 
-def bubble(log: DataFrame, graph: Graph) -> DataFrame:
-    """Each event at its target (level 0), at each ancestor, and at last at the core (null)."""
-    closure = graph.closure().select(F.col("id").alias("target"), F.struct(F.col("depth").alias("level"), F.col("ancestor").alias("at")).alias("s"))
+def promised(log: DataFrame, types: str) -> DataFrame:
+    """The one event that a promise on the types resolves with: the first of all."""
+    first = on(log, types)
+    return first.dropDuplicates(["type"]).limit(1) if log.isStreaming else first.orderBy("ts", "type", "target").limit(1)
+
+
+def bubble(log: DataFrame, graph: Graph, stops: DataFrame | None = None) -> DataFrame:
+    """Each event at its target (level 0), at each ancestor, and at last at the core (null).  ``stops`` (``type, at``) are
+    elements whose listeners end the way of such events: they are the last that it reaches."""
+    from graphloom.operators.iterate import cut
+
+    closure = cut(graph.closure())
+    closure = closure.select(F.col("id").alias("target"), F.struct(F.col("depth").alias("level"), F.col("ancestor").alias("at")).alias("s"))
     up = closure.groupBy("target").agg(F.array_sort(F.collect_list("s")).alias("up"))
     joined = log.join(up, "target", "left")
     above = F.coalesce("up", F.array().cast("array<struct<level:int,at:string>>"))
     steps = F.concat(F.array(F.struct(F.lit(0).alias("level"), F.col("target").alias("at"))), above, F.array(F.struct((F.size(above) + 1).alias("level"), F.lit(None).cast("string").alias("at"))))
+    if stops is not None:
+        at = graph.nodes.select(F.col("id").alias("target"), F.lit(0).alias("level"), F.col("id").alias("at")).unionByName(closure.select("target", "s.*"))
+        ends = at.join(stops.select("type", "at").distinct(), "at").groupBy("target", "type").agg(F.min("level").alias("__end"))
+        joined = joined.join(ends, ["target", "type"], "left")
+        steps = F.filter(steps, lambda s: F.col("__end").isNull() | (s["level"] <= F.col("__end")))
     return joined.withColumn("s", F.explode(steps)).select(*log.columns, "s.level", "s.at")
 
 
 def batched(log: DataFrame, span: str = "1 second") -> DataFrame:
-    """One row for each type and span: its distinct targets, as a batch of changes notifies once."""
-    return log.groupBy(F.window("ts", span).alias("w"), "type").agg(F.array_sort(F.collect_set("target")).alias("targets")).select(F.col("w.start").alias("start"), "type", "targets")
+    """``start, type, target``: of each type and span the distinct targets, as a batch of changes notifies once; a row for
+    each, so that no batch has to fit one row."""
+    return log.select(F.window("ts", span).alias("w"), "type", "target").select(F.col("w.start").alias("start"), "type", "target").distinct()
 
 
 def clicks(log: DataFrame, gap: str = "250 milliseconds") -> DataFrame:
