@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
@@ -78,21 +78,30 @@ pe AS (SELECT concat_ws('-', 'l' || l_orderkey, l_linenumber, l_partkey, l_suppk
 
 
 def trade(spark: SparkSession, sf_dir: str) -> Graph:
-    """Nations; each has edges to the three nations whose suppliers sell most to its customers."""
+    """Nations; each has edges to its three main partners, the nations whose suppliers sell most to its customers."""
+    return _nations(spark, sf_dir, F.col("rk") <= 3)
+
+
+def flows(spark: SparkSession, sf_dir: str) -> Graph:
+    """Nations; each has an edge to every nation whose suppliers sell to its customers."""
+    return _nations(spark, sf_dir, F.lit(True))
+
+
+def _nations(spark: SparkSession, sf_dir: str, which: Column) -> Graph:
     t = lambda n: table(spark, sf_dir, n)
     sold = t("lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice").join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     sold = sold.join(t("customer").select("c_custkey", F.col("c_nationkey").alias("s")), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier").select("s_suppkey", F.col("s_nationkey").alias("t")), F.col("l_suppkey") == F.col("s_suppkey"))
     flows = sold.groupBy("s", "t").agg(F.sum("l_extendedprice").alias("revenue"))
-    top = flows.withColumn("rk", F.row_number().over(Window.partitionBy("s").orderBy(F.col("revenue").desc(), "t"))).where("rk <= 3")
+    top = flows.withColumn("rk", F.row_number().over(Window.partitionBy("s").orderBy(F.col("revenue").desc(), "t"))).where(which)
     weight = F.col("rk") + (F.col("s") * 7 + F.col("t") * 3) % 5 / 4.0
-    e = top.select(F.concat(_id("t", "s"), F.lit("-"), F.col("rk").cast("string")).alias("id"), _id("n", "s").alias("source"), _id("n", "t").alias("target"), weight.cast("double").alias("weight"), (F.col("s") * 10 + F.col("rk")).cast("long").alias("ord"))
+    e = top.select(F.concat(_id("t", "s"), F.lit("-"), F.col("rk").cast("string")).alias("id"), _id("n", "s").alias("source"), _id("n", "t").alias("target"), weight.cast("double").alias("weight"), (F.col("s") * 100 + F.col("rk")).cast("long").alias("ord"))
     n = t("nation").select(_id("n", "n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_nationkey").cast("long").alias("ord"), (F.col("n_nationkey") % 7).cast("double").alias("u"), (F.col("n_nationkey") % 5 * 2).cast("double").alias("v"))
     return Graph.of(n, e)
 
 
 TRADE = """
 tn AS (SELECT 'n' || n_nationkey AS id, n_name AS name, n_nationkey::BIGINT AS ord, (n_nationkey % 7)::DOUBLE AS u, (n_nationkey % 5 * 2)::DOUBLE AS v FROM nation),
-te AS MATERIALIZED (SELECT 't' || s || '-' || rk AS id, 'n' || s AS source, 'n' || t AS target, (rk + ((s * 7 + t * 3) % 5) / 4.0)::DOUBLE AS weight, s * 10 + rk AS ord
+te AS MATERIALIZED (SELECT 't' || s || '-' || rk AS id, 'n' || s AS source, 'n' || t AS target, (rk + ((s * 7 + t * 3) % 5) / 4.0)::DOUBLE AS weight, s * 100 + rk AS ord
     FROM (SELECT s, t, row_number() OVER (PARTITION BY s ORDER BY revenue DESC, t) AS rk
         FROM (SELECT c_nationkey AS s, s_nationkey AS t, sum(l_extendedprice) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2))
     WHERE rk <= 3),
@@ -101,6 +110,27 @@ tb AS MATERIALIZED (SELECT * FROM ta UNION ALL SELECT b, a, id, ord, w FROM ta)
 """
 
 
+FLOWS = TRADE.replace("    WHERE rk <= 3", "    ")
+
+
+def deals(spark: SparkSession, sf_dir: str) -> Graph:
+    """Customers and suppliers; every line item of an order is an edge from its customer to its supplier."""
+    t = lambda n: table(spark, sf_dir, n)
+    c = t("customer").select(_id("c", "c_custkey").alias("id"), F.array(F.lit("customer")).alias("classes"), F.col("c_acctbal").alias("acctbal"), (F.col("c_nationkey") * 10.0).alias("place"), F.col("c_custkey").cast("long").alias("ord"))
+    s = t("supplier").select(_id("s", "s_suppkey").alias("id"), F.array(F.lit("supplier")).alias("classes"), F.col("s_acctbal").alias("acctbal"), (F.col("s_nationkey") * 10.0).alias("place"), (F.col("s_suppkey").cast("long") + 1_000_000_000).alias("ord"))
+    li = t("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_partkey").join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    e = li.select(F.concat_ws("-", _id("d", "l_orderkey"), "l_linenumber", "l_partkey", "l_suppkey").alias("id"), _id("c", "o_custkey").alias("source"), _id("s", "l_suppkey").alias("target"), F.col("l_quantity").cast("double").alias("weight"), (F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("ord"))
+    return Graph.of(c.unionByName(s), e)
+
+
+DEALS = """
+dn AS MATERIALIZED (SELECT 'c' || c_custkey AS id, 'customer' AS kind, c_acctbal AS acctbal, c_nationkey * 10.0::DOUBLE AS place, c_custkey::BIGINT AS ord FROM customer
+    UNION ALL SELECT 's' || s_suppkey, 'supplier', s_acctbal, s_nationkey * 10.0::DOUBLE, s_suppkey + 1000000000 FROM supplier),
+de AS MATERIALIZED (SELECT concat_ws('-', 'd' || l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id, 'c' || o_custkey AS source, 's' || l_suppkey AS target, l_quantity::DOUBLE AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+db AS MATERIALIZED (SELECT a, b, min(w) AS w FROM (SELECT source AS a, target AS b, weight AS w FROM de UNION ALL SELECT target, source, weight FROM de) GROUP BY 1, 2)
+"""
+
+
 def web(spark: SparkSession, sf_dir: str) -> Graph:
     """Pages and the paths that they link to."""
     links = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("pos", "path"))

@@ -156,6 +156,13 @@ def f5(g: Graph) -> DataFrame:
     return folded
 
 
+@query("f5_reduce_merged", "SELECT sum((ord % 89) * length(name))::BIGINT AS result FROM gn", on="geo")
+def f5_merged(g: Graph) -> DataFrame:
+    """All nodes, folded in parts."""
+    add = lambda a, x: a + x
+    return g.elements().reduce(F.lit(0).cast("long"), add, F.col("ord") % 89 * F.length("name").cast("long"), merge=add)
+
+
 @query("f6_max", "SELECT id, acctbal AS value FROM gn WHERE acctbal IS NOT NULL ORDER BY acctbal DESC, ord LIMIT 1", on="geo")
 def f6_max(g: Graph) -> DataFrame:
     return g.elements().extreme(F.col("acctbal"))
@@ -233,12 +240,13 @@ def f17(g: Graph) -> DataFrame:
     return rows.select("id", (F.col("i") + 1).cast("int").alias("place"))
 
 
-@query("f18_z_depth", "SELECT g.id, CASE WHEN g.id NOT IN (SELECT parent FROM gn WHERE parent IS NOT NULL) THEN 9007199254740990 ELSE coalesce(max(depth), 0) END AS depth FROM gn g LEFT JOIN gc USING (id) GROUP BY g.id", on="geo")
+TOPMOST = ", z AS (SELECT g.id, CASE WHEN g.id NOT IN (SELECT parent FROM gn WHERE parent IS NOT NULL) THEN 9007199254740990 ELSE coalesce(max(depth), 0) END::BIGINT AS depth FROM gn g LEFT JOIN gc USING (id) GROUP BY g.id)"
+
+
+@query("f18_z_depth", TOPMOST + " SELECT id, 'nodes' AS grp, depth FROM z UNION ALL SELECT ge.id, 'edges', greatest(s.depth, t.depth) FROM ge JOIN z s ON s.id = source JOIN z t ON t.id = target", on="geo")
 def f18(g: Graph) -> DataFrame:
-    """Depth in the hierarchy; nodes without children stand on top of everything."""
-    depth = g.closure().groupBy("id").agg(F.max("depth").alias("d"))
-    rows = g.nodes.join(depth, "id", "left").join(g.parents().withColumn("p", F.lit(True)), "id", "left")
-    return rows.select("id", F.when(F.col("p"), F.coalesce("d", F.lit(0)).cast("long")).otherwise(F.lit(9007199254740990)).alias("depth"))
+    """Depth in the hierarchy; nodes without children stand on top of everything, edges with the higher end."""
+    return tr.z_depth(g.elements())
 
 
 @query("f19_unique_index", f"{PLACED} SELECT id, i::BIGINT AS index FROM p WHERE grp = 'nodes'", on="geo")
@@ -271,6 +279,50 @@ def f26(g: Graph) -> DataFrame:
     return g.elements("[acctbal]").top(10, F.col("acctbal").desc()).select("id", "acctbal")
 
 
+@query("f2_by_group", both("acctbal > 8000", "weight > 45"), on="geo")
+def f2(g: Graph) -> DataFrame:
+    parts = g.elements("[acctbal > 8000], edge[weight > 45]").by_group()
+    return reduce(DataFrame.union, [df.select("id", F.lit(k).alias("grp")) for k, df in parts.items()])
+
+
+@query("f13_to_rows", "SELECT count(*) AS n, min(id) AS least, max(id) AS most FROM gn WHERE kind = 'nation'", on="geo")
+def f13(g: Graph) -> DataFrame:
+    """What passes the driver one by one."""
+    seen = [r["id"] for r in g.elements(".nation").to_rows()]
+    return values(g.nodes.sparkSession, n=len(seen), least=min(seen), most=max(seen))
+
+
+@query("f24_scratch", "SELECT id, name AS value FROM gn WHERE kind = 'nation' AND id <> 'n3'", on="geo")
+def f24(g: Graph) -> DataFrame:
+    g = mut.set_scratch(g.elements(".nation"), {"seen": lambda df: F.col("name") if "name" in df.columns else None})
+    return mut.scratch(mut.remove_scratch(g.elements("#n3"), ["seen"]).elements(), "seen")
+
+
+@query("f25_core_data", "SELECT count(*) AS nodes, min(name) AS first FROM gn WHERE kind = 'nation'", on="geo")
+def f25(g: Graph) -> DataFrame:
+    """Fields of the graph itself go with it through changes, and those that are removed don't."""
+    row = g.nodes.where("kind = 'nation'").agg(F.count(F.lit(1)).alias("nodes"), F.min("name").alias("first")).first()
+    g = mut.remove(g.set_data(nodes=row["nodes"], first=row["first"], gone=1).remove_data("gone").elements("#n3"))
+    return values(g.nodes.sparkSession, **g.data)
+
+
+@query("s13_clone", both("kind = 'nation'", "false"), on="geo")
+def s13(g: Graph) -> DataFrame:
+    """A copy of a collection stays as it is when the graph goes on."""
+    copy = g.elements(".nation")
+    mut.remove(copy)
+    return ids(copy)
+
+
+@query("x3_extension", "SELECT count(*) AS n FROM gn WHERE kind = 'nation'", on="geo")
+def x3(g: Graph) -> DataFrame:
+    from graphloom import extensions
+
+    if extensions.extension("collection", "count_of_class") is None:
+        extensions.register("collection", "count_of_class", lambda c, name: c.filter(f".{name}").size())
+    return values(g.nodes.sparkSession, n=g.elements().count_of_class("nation"))
+
+
 # sets
 
 
@@ -371,9 +423,11 @@ def j7(g: Graph) -> DataFrame:
     return ids(tr.successors(g.elements("#n3")))
 
 
-@query("j7_predecessors", reach("target", "source"), on="trade", recursive=True)
+@query("j7_predecessors", reach("target", "source").replace("'n3'", "(SELECT min(target) FROM te WHERE source <> target)"), on="trade", recursive=True)
 def j7_predecessors(g: Graph) -> DataFrame:
-    return ids(tr.predecessors(g.elements("#n3")))
+    """Of the first node that others lead to."""
+    first = g.edges.where("source <> target").agg(F.min("target").alias("id"))
+    return ids(tr.predecessors(g.elements().only_nodes().within(first)))
 
 
 @query("j8_roots", "SELECT id FROM tn WHERE id NOT IN (SELECT target FROM te WHERE source <> target)", on="trade")
@@ -416,9 +470,9 @@ def j16(g: Graph) -> DataFrame:
     return ids(tr.ancestors(g.elements("[acctbal > 9900]")))
 
 
-@query("j17_common_ancestors", ", k AS (SELECT id FROM gn WHERE parent IN ('n0', 'n1')) SELECT ancestor AS id FROM gc WHERE id IN (SELECT id FROM k) GROUP BY ancestor HAVING count(*) = (SELECT count(*) FROM k)", on="geo")
+@query("j17_common_ancestors", ", k AS (SELECT id FROM gn WHERE parent = 'n3' OR id = 'n3') SELECT ancestor AS id FROM gc WHERE id IN (SELECT id FROM k) GROUP BY ancestor HAVING count(*) = (SELECT count(*) FROM k)", on="geo")
 def j17(g: Graph) -> DataFrame:
-    return tr.common_ancestors(g.elements("#n0 > node, #n1 > node")).nodes.select("id")
+    return tr.common_ancestors(g.elements("#n3 > node, #n3")).nodes.select("id")
 
 
 @query("j18_children", both("parent IN ('r1', 'n3')", "false"), on="geo")

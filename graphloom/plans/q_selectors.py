@@ -22,7 +22,7 @@ SELECTORS: dict[str, tuple[str, str, str]] = {
     "p7_equal_text": ('[segment = "BUILDING"]', "coalesce(segment = 'BUILDING', false)", NO),
     "p7_equal_number": ("edge[weight = 5]", NO, "weight = 5"),
     "p7_not_equal": ('node[segment != "BUILDING"]', "coalesce(segment <> 'BUILDING', true)", NO),
-    "p7_type_mismatch": ('node[acctbal = "5"]', NO, NO),
+    "p7_type_mismatch": ('node[acctbal = "5"], node[acctbal != "5"][name != 7]', "acctbal IS NOT NULL OR acctbal IS NULL", NO),
     "p8_greater": ("[acctbal > 7500.5]", "coalesce(acctbal > 7500.5, false)", NO),
     "p8_range": ("edge[weight >= 10][weight < 12]", NO, "weight >= 10 AND weight < 12"),
     "p8_text_order": ('[segment > "FURNITURE"]', "coalesce(segment > 'FURNITURE', false)", NO),

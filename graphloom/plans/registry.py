@@ -17,6 +17,8 @@ SOURCES = {
     "geo": (graphs.geo, graphs.GEO),
     "supply": (graphs.supply, graphs.SUPPLY),
     "trade": (graphs.trade, graphs.TRADE),
+    "flows": (graphs.flows, graphs.FLOWS),
+    "deals": (graphs.deals, graphs.DEALS),
     "web": (graphs.web, graphs.WEB),
     "vectors": (graphs.vectors, graphs.VECTORS),
 }
