@@ -14,16 +14,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from graphloom.llm.common import sums_before
+
 BUCKET_BYTES = 16 << 20
 SEED = 42
 #: Rows that are equal in all columns more often than this are counted and numbered, so that they scatter like others.
 REPEATS = 1000
-#: Buckets whose beginnings one window adds up; beginnings of such chunks are added up in turn.
-CHUNK = 4096
 PLACED = ("law", "shard", "slot", "grown_shard")
 
 
@@ -63,18 +63,6 @@ def _numbered(df: DataFrame, seed: int) -> DataFrame:
     return rows.join(often, ["__a", "__b"], "left_anti").unionByName(copies)
 
 
-def _begins(sizes: DataFrame, by: str, level: int = 0) -> DataFrame:
-    """``by, __begin``: sums of ``__n`` over smaller numbers, added up chunk by chunk."""
-    chunk = F.floor(F.col(by) / CHUNK).cast("long")
-    inside = F.sum("__n").over(Window.partitionBy("__chunk").orderBy(by).rowsBetween(Window.unboundedPreceding, -1))
-    own = sizes.select(by, "__n", chunk.alias("__chunk")).withColumn("__inside", F.coalesce(inside, F.lit(0).cast("long")))
-    if level == 2:  # 2^36 buckets
-        return own.select(by, F.col("__inside").alias("__begin"))
-    whole = own.groupBy("__chunk").agg(F.sum("__n").alias("__n"))
-    before = _begins(whole.select(F.col("__chunk").alias(f"__c{level}"), "__n"), f"__c{level}", level + 1)
-    return own.join(before, own["__chunk"] == before[f"__c{level}"]).select(by, (F.col("__begin") + F.col("__inside")).alias("__begin"))
-
-
 def external_shuffle(df: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """The columns of ``df`` with ``__bucket long``, ``__slot long``, a random order inside each bucket, and ``__place long``, the
     place among all rows.
@@ -85,7 +73,7 @@ def external_shuffle(df: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET
     total = df.agg(F.sum(reduce(lambda x, y: x + y, [_bytes(f) for f in df.schema.fields]))).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
     keyed = _numbered(df, seed).withColumn("__bucket", F.pmod("__a", F.lit(buckets)))
-    begins = _begins(keyed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n")), "__bucket")
+    begins = sums_before(keyed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("n")), "__bucket").withColumnRenamed("before", "__begin")
     one = F.struct("__a", "__b", "__record")
     order = None if _ordered(df.schema) else lambda x, y: F.when(x["__a"] < y["__a"], -1).when(x["__a"] > y["__a"], 1).when(x["__b"] < y["__b"], -1).when(x["__b"] > y["__b"], 1).otherwise(0)
     dealt = keyed.repartition(min(buckets, 100_000), "__bucket")

@@ -9,6 +9,7 @@ import random
 import re
 import urllib.parse
 import zlib
+from functools import reduce
 
 import numpy as np
 import public_tokenizers as P
@@ -217,6 +218,12 @@ def test_licenses(spark):
     assert got[n + 2]["licenses"] == "MIT" and got[n + 3]["licenses"] == ""
     assert got[0]["text_digest"] is None and all(got[i]["licenses"] == "" for i in range(n))
     assert licenses.scan_licenses(table(spark, [])).count() == 0
+    copies = table(spark, [mit, "x"]).withColumn("doc_id", F.lit(1)).where("text <> 'x'")
+    assert [r["whole"] for r in licenses.scan_licenses(reduce(lambda x, y: x.union(y), [copies] * 3)).collect()] == ["MIT"] * 3
+    twice = table(spark, ["Some licence licence here", "some license LICENSE here"]).select("doc_id", licenses.canonical(F.col("text")).alias("c")).collect()
+    assert {r["c"] for r in twice} == {"some license license here"}
+    ties = licenses.scan_licenses(table(spark, ["one notice"]), [("B", "One notice!"), ("A", "one  NOTICE")]).first()
+    assert (ties["whole"], ties["licenses"]) == ("A", "A")
 
 
 def test_public_licenses(spark):
@@ -277,20 +284,93 @@ def test_line_dedup_equals_brute_force(spark):
     assert len(twice) == 2 and twice[0]["text"] == twice[1]["text"]
 
 
-def test_sharding(spark):
+def test_line_dedup_replaces_clashing_names(spark):
+    df = table(spark, ["a b c\nd", None]).withColumn("n_lines", F.lit("x")).withColumn("n_removed", F.lit(9.5))
+    rows = linededup.dedup_lines(df).orderBy("doc_id").collect()
+    assert rows[0].asDict().keys() == {*df.columns} and [(r["n_lines"], r["n_removed"]) for r in rows] == [(2, 0), (0, 0)]
+
+
+def test_very_long_texts(spark):
+    """Several MB in one text, among short ones, in every operator that reads texts."""
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    rng = random.Random(21)
+    lines = [words(rng, 12, 4000) for _ in range(30_000)]
+    long = "\n".join(lines) + "\npassword=hunter2hunter2 " + "x" * 2_000_000
+    texts = ["short one", long, long + " more", "\n".join(lines[5:9]), None]
+    df = table(spark, texts)
+    v = bpe.load_vocabulary(BYTE_VOCABULARY)
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={t: i for i, t in enumerate(v.tokens)}, special_tokens={})
+    got = {r["doc_id"]: r for r in bpe.bpe_round_trip(df, BYTE_VOCABULARY).collect()}
+    assert got[1]["decoded_sha256"] == hashlib.sha256(long.encode()).hexdigest()
+    head = "\n".join(lines)
+    assert v.encode(head) == enc.encode_ordinary(head)
+    spans = {r["doc_id"]: r["spans"] for r in secretscan.scan_secrets(df).collect()}
+    at = long.index("password")
+    assert spans[1] == f"assign:{at}:{at + 23}" and spans[0] == ""
+    lined = {r["doc_id"]: r for r in linededup.dedup_lines(df).collect()}
+    assert lined[1]["n_removed"] == 0 and lined[2]["n_removed"] == 30_000 and lined[3]["text"] == ""
+    pieces = packing.pack_documents(df, WORD_VOCABULARY).where("doc_id = 1").agg(F.sum("length"), F.max("piece")).first()
+    n = len(Tokenizer.from_file(WORD_VOCABULARY).encode(head + "\npassword=hunter2hunter2", add_special_tokens=False).ids)
+    assert pieces[0] > n and pieces[1] == -(-pieces[0] // 2048) - 1
+    found = langid.identify(df, langid.train(df)).where("doc_id = 1").first()
+    assert found["lang_pred"] == "en"
+    groups = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(df).collect()}
+    assert groups == {0: 0, 1: 1, 2: 1, 3: 3, 4: 4}
+    prints = {r["doc_id"]: r for r in fingerprints.edited_fingerprints(df).collect()}
+    assert prints[2]["near_next"] > 0.95 and prints[1]["n_chars"] == len(long)
+    placed = sharding.assign_shards(df, shards=2).collect()
+    assert sorted(r["doc_id"] for r in placed) == [0, 1, 2, 3, 4]
+
+
+def test_sharding(spark, tmp_path):
     texts = ODD + ["copy"] * 100 + [str(i) for i in range(55)]
-    rows = sharding.assign_shards(table(spark, texts), shards=8, bucket_bytes=1024).collect()
+    df = table(spark, texts)
+    rows = sharding.assign_shards(df, shards=8, bucket_bytes=1024).collect()
     assert sorted(r["doc_id"] for r in rows) == list(range(len(texts))) and all(texts[r["doc_id"]] == r["text"] for r in rows)
     for k in range(8):
         slots = sorted(r["slot"] for r in rows if r["shard"] == k)
         assert slots == list(range(len(slots))) and len(slots) in (len(texts) // 8, len(texts) // 8 + 1)
     order = [r["doc_id"] for r in sorted(rows, key=lambda r: (r["slot"], r["shard"]))]
     assert order != sorted(order)
+    other = sharding.assign_shards(df.repartition(5, "text").orderBy(F.rand(3)), shards=8, bucket_bytes=1024).collect()
+    place = lambda rs: {r["doc_id"]: (r["shard"], r["slot"]) for r in rs}
+    assert place(other) == place(rows)  # other files, same shards
+    assert place(sharding.assign_shards(df, shards=8, seed=1, bucket_bytes=1024).collect()) != place(rows)
+    sharding.write_shards(df, str(tmp_path / "out"), shards=3, rows_per_file=20)
+    back = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert {r["doc_id"]: r["text"] for r in back} == dict(enumerate(texts)) and {r["shard"] for r in back} == {0, 1, 2}
     assert sharding.assign_shards(table(spark, [])).count() == 0
     one = table(spark, ["x"])
     assert sharding.assign_shards(one.union(one)).count() == 2
 
 
+def test_external_shuffle_is_a_two_pass_shuffle(spark):
+    """Buckets, their sizes and their beginnings by a plain loop over the same hashes."""
+    df = table(spark, [str(i) for i in range(300)])
+    rows = sharding.external_shuffle(df, bucket_bytes=800).collect()
+    sizes = {}
+    for r in rows:
+        sizes[r["__bucket"]] = sizes.get(r["__bucket"], 0) + 1
+    begins, total = {}, 0
+    for b in sorted(sizes):
+        begins[b], total = total, total + sizes[b]
+    assert len(sizes) > 20 and max(sizes.values()) < 30 and total == 300
+    assert all(r["__place"] == begins[r["__bucket"]] + r["__slot"] and 0 <= r["__slot"] < sizes[r["__bucket"]] for r in rows)
+    assert len({r["__place"] for r in rows}) == 300
+
+
+def test_sharding_of_equal_rows_clashing_names_and_maps(spark):
+    same = spark.range(5000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same").alias("text"))
+    shuffled = sharding.external_shuffle(same, bucket_bytes=1000).groupBy("__bucket").count().collect()
+    assert sum(r["count"] for r in shuffled) == 5000 and max(r["count"] for r in shuffled) < 100
+    odd = spark.range(9).select("id", F.lit(None).cast("string").alias("text"), F.lit(1).alias("shard"), F.lit("x").alias("law"), F.lit(5).alias("slot"), F.create_map(F.lit("a"), "id").alias("m"))
+    rows = sharding.assign_shards(odd, shards=2).collect()
+    assert rows[0].asDict().keys() == {"id", "text", "m", "law", "shard", "slot", "grown_shard"}
+    assert sorted((r["shard"], r["slot"]) for r in rows) == [(0, i) for i in range(5)] + [(1, i) for i in range(4)] and all(r["m"] == {"a": r["id"]} for r in rows)
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(700, 6)).round(2)
@@ -310,14 +390,36 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
-def test_sorted_lists_prune_exactly():
+def test_sorted_lists_equal_brute_force():
     rng = np.random.default_rng(6)
-    x = (rng.normal(size=(3000, 24)) * np.linspace(100, 1, 24)).astype(np.int64)
-    block = topk.SortedLists(np.arange(3000), x)
-    for q in range(0, 3000, 300):
-        ids, scores = block.top(x[q].astype(float), 5, q)
-        exact = sorted((-int(s), i) for i, s in enumerate(x @ x[q]) if i != q)[:5]
-        assert [(-int(s), int(i)) for i, s in zip(ids, scores, strict=True)] == exact
+    for n, d, k, spread in ((3000, 24, 5, 100), (40, 3, 5, 2), (3, 2, 5, 9), (700, 8, 1, 1), (1, 1, 2, 3)):
+        x = (rng.normal(size=(n, d)) * np.linspace(spread, 1, d)).astype(np.int64)
+        x[n // 2 :: 7] = x[0]  # ties
+        ids = rng.permutation(n) * 3
+        block = topk.SortedLists(ids, x)
+        found = block.top(x[:20], ids[:20], k)
+        for i, (got, scores) in enumerate(found):
+            exact = sorted((-int(s), int(v)) for s, v in zip(x @ x[i], ids, strict=True) if v != ids[i])[:k]
+            assert [(-s, int(v)) for s, v in zip(scores, got, strict=True)] == exact
+        assert 0 <= block.read <= block.entries
+
+
+def test_sorted_lists_stop_early_where_few_can_qualify():
+    x = np.concatenate([np.full((5, 4), 1000), np.arange(4000).reshape(1000, 4) % 7])
+    block = topk.SortedLists(np.arange(1005), x)
+    got, scores = block.top(np.full((1, 4), 3), np.array([-1]), 5)[0]
+    assert got.tolist() == [0, 1, 2, 3, 4] and scores == [12_000] * 5 and block.read < 0.3 * block.entries
+
+
+def test_top_k_of_large_numbers_and_many_blocks(spark):
+    big = spark.createDataFrame([(i, [float(2**40 + i), float(i % 3)]) for i in range(60)], "vec_id long, embedding array<double>")
+    for scale in (1, 1 << 23):  # scores and components beyond 64 bits
+        with pytest.raises(Exception, match="64 bits"):
+            topk.top_k(big, F.col("vec_id") == 0, scale=scale).collect()
+    small = [(i, [float(2**28 + i), float(i % 3)]) for i in range(60)]
+    rows = topk.top_k(spark.createDataFrame(small, "vec_id long, embedding array<double>"), F.col("vec_id") == 2, scale=2, block_rows=7).orderBy("rank").collect()
+    exact = sorted((-((2**29 + 4) * (2**29 + 2 * i) + 4 * 2 * (i % 3)), i) for i in range(60) if i != 2)[:5]
+    assert [(-r["score"], r["vec_id"]) for r in rows] == exact
 
 
 def test_edited_fingerprints(spark):
@@ -341,13 +443,35 @@ def test_edited_fingerprints(spark):
     assert fingerprints.edited_fingerprints(table(spark, ["one two"])).first()["near_next"] == 1.0
 
 
-def test_similar_pairs(spark):
+def test_similar_documents(spark):
     rng = random.Random(8)
     base = words(rng, 100)
     texts = [base, base, base + " " + words(rng, 10, 9999), words(rng, 100), None]
-    df = table(spark, texts)
-    pairs = {(r["a"], r["b"]): r["jaccard"] for r in fingerprints.similar_pairs(fingerprints.fingerprints(df), df).collect()}
-    assert pairs == {(0, 2): pytest.approx(96 / 106)}
+    got = {r["doc_id"]: r["component_id"] for r in fingerprints.similar_documents(table(spark, texts)).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4}  # 96 of 106 shingles
+
+
+@pytest.mark.parametrize("kind", ["string", "decimal(20,2)", "date"])
+def test_edited_fingerprints_of_other_ids(spark, kind):
+    rng = random.Random(17)
+    texts = [words(rng, 30) for _ in range(40)] + [None, "", "é" * 5]
+    number = F.col("doc_id") * 7 % 43
+    df = table(spark, texts).withColumn("doc_id", F.date_add(F.lit("2020-01-01"), number.cast("int")) if kind == "date" else F.lpad(number.cast("string"), 3, "0").cast(kind))
+    df = df.union(df.where("text is null").withColumn("doc_id", F.lit(None).cast(kind)).withColumn("text", F.lit("none none none")))
+    rows = df.select("doc_id", "text").collect()
+    order = sorted((r for r in rows if r["doc_id"] is not None), key=lambda r: r["doc_id"], reverse=True) + [r for r in rows if r["doc_id"] is None]
+    got = {r["doc_id"]: r for r in fingerprints.edited_fingerprints(df).collect()}
+    assert len(got) == len(rows) == 44
+    for r, after in zip(order, [*order[1:], order[0]], strict=True):
+        t, following = r["text"] or "", after["text"] or ""
+        n = len(t) // 3
+        assert got[r["doc_id"]]["edited_sha256"] == hashlib.sha256((t[: len(t) - n] + following[:n]).encode()).hexdigest()
+
+
+def test_edited_fingerprints_of_repeated_rows(spark):
+    same = table(spark, ["a b c"] * 1).select(F.lit(7).alias("doc_id"), "text")
+    rows = fingerprints.edited_fingerprints(reduce(lambda x, y: x.union(y), [same] * 5)).collect()
+    assert len(rows) == 5 and {r["edited_sha256"] for r in rows} == {hashlib.sha256(b"a b a").hexdigest()}
 
 
 def test_shingles_do_not_depend_on_grouping():
@@ -388,32 +512,54 @@ def test_packing(spark):
     assert packing.pack_documents(table(spark, []), WORD_VOCABULARY).count() == 0
 
 
-def test_best_fit_plan_is_best_fit():
-    rng = random.Random(11)
-    counts = {}
-    for _ in range(3000):
-        n = rng.choice([rng.randrange(1, 101), 34, 33])
-        counts[n] = counts.get(n, 0) + 1
-    plan, sequences = packing.best_fit_plan(counts, 100)
+def best_fit(lengths, capacity):
+    """One piece after another, the longest first, into the smallest gap that holds it."""
     gaps = []
-    for n in sorted(counts, reverse=True):
-        for _ in range(counts[n]):
-            fits = [g for g in gaps if g >= n]
-            if fits:
-                gaps.remove(min(fits))
-            gaps.append((min(fits) if fits else 100) - n)
-    assert abs(sequences - len(gaps)) <= 1
-    fill = {}
-    for length, _, n, first, offset in plan:
-        for s in range(first, first + n):
-            fill.setdefault(s, []).append((offset, length))
-    for parts in fill.values():
+    for n in sorted(lengths, reverse=True):
+        fits = [g for g in gaps if g >= n]
+        if fits:
+            gaps.remove(min(fits))
+        gaps.append((min(fits) if fits else capacity) - n)
+    return len(gaps)
+
+
+@pytest.mark.parametrize(("capacity", "rows"), [(100, 60), (2048, 10**6), (5, 7), (1, 4)])
+def test_packing_rounds_equal_best_fit(spark, monkeypatch, capacity, rows):
+    monkeypatch.setattr(packing, "ROWS", rows)
+    rng = random.Random(capacity)
+    lengths = [min(capacity, max(1, rng.choice([rng.randrange(1, capacity + 1), capacity // 3, capacity // 2 + 1, rng.randrange(1, capacity // 20 + 2), 1]))) for _ in range(400)]
+    df = spark.createDataFrame([(i if i % 50 else None, n, 7, "x") for i, n in enumerate(lengths)], "doc_id long, length long, offset int, `odd.name` string")
+    out = packing.pack(df.repartition(3), capacity).collect()
+    assert sorted(r["length"] for r in out) == sorted(lengths) and out[0].asDict().keys() == {"doc_id", "length", "odd.name", "sequence_id", "offset"}
+    by = {}
+    for r in out:
+        by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in by.values():
         at = 0
         for offset, length in sorted(parts):
             assert offset == at
             at += length
-        assert at <= 100
-    assert len(fill) == sequences and sum(p[2] for p in plan) == 3000
+        assert at <= capacity
+    assert len(by) <= best_fit(lengths, capacity) * 1.02 + 1
+    with pytest.raises(ValueError, match="lengths"):
+        packing.pack(df.withColumn("length", F.lit(capacity + 1)), capacity)
+    assert packing.pack(df.limit(0), capacity).count() == 0
+
+
+def test_packing_of_equal_rows(spark):
+    df = spark.range(700).select(F.lit(1).alias("doc_id"), F.lit(300).cast("long").alias("length"))
+    out = packing.pack(df).collect()
+    assert len(out) == 700 and len({r["sequence_id"] for r in out}) == 117  # six in each
+
+
+def test_tokenizer_keeps_to_its_memory(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_BYTES", 20_000)
+    t = packing.WordTokenizer(WORD_VOCABULARY)
+    rng = random.Random(3)
+    for _ in range(30):
+        texts = [words(rng, 40, 5000) + " 'll don't É12 中文 \x00\x7f\xad", "", "İx"]
+        assert t.ids(texts) == [t.plain(x) for x in texts]
+        assert len(t.chunks) < 100
 
 
 def test_language_id(spark):
@@ -433,6 +579,15 @@ def test_language_id(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
     none = langid.train(df.limit(0))
     assert {r["lang_pred"] for r in langid.identify(df, none).collect()} == {"und"}
+    assert langid.train(df, per_language=40, most_rows=30).languages == ["aa", "bb", "cc"]
+    with pytest.raises(ValueError, match="labels"):
+        langid.train(df, most_rows=2)
+    files = langid.train(df.where(langid.fold() != 1).repartition(7).orderBy(F.rand(1)), per_language=40)
+    assert (files.weights == model.weights).all()  # other files, same model
+    clash = langid.identify(df.withColumn("__lang", F.lit(1)).withColumn("score", F.lit(7)), model)
+    assert clash.columns.count("score") == 1 and clash.where("doc_id = 20").first()["__lang"] == 1
+    twice = df.where("doc_id = 20")
+    assert langid.identify(twice.union(twice), model).count() == 2 and langid.identify(df.limit(0), model).count() == 0
     one = langid.train(df.where("lang = 'aa'"))
     assert langid.identify(df, one).where("doc_id = 20").first()["lang_pred"] == "aa"
 
