@@ -2,7 +2,8 @@
 
 Documents (pieces of up to ``capacity`` tokens) and gaps (what is left of open sequences) are range-sorted together by falling
 size, a gap before the pieces that just fit it.  A sweep matches every piece with its successor, the smallest gap that holds it and that no
-larger piece took: like closing brackets with opening ones.  Each range is swept for itself; what it leaves over, pieces
+larger piece took: like closing brackets with opening ones.  Each range is swept for itself, and gaps come back with what is left of them as far as
+the range goes.  What a range leaves over, pieces
 without a gap and gaps without a piece, meets by rank: the running difference of both numbers them so that equal numbers belong together,
 and conflicts between ranges never gather in one place.  Then the gaps shrink and the next round begins.
 
@@ -13,6 +14,7 @@ on the capacity and not on the number of pieces.
 
 from __future__ import annotations
 
+import heapq
 import re
 import unicodedata
 import zlib
@@ -32,7 +34,7 @@ from graphloom.operators.iterate import Rounds
 #: A worker's memory for ids of chunks, counted with so many bytes for each entry besides its chunk and ids.
 CACHE_BYTES, ENTRY_BYTES = 48 << 20, 230
 #: Rows of a range, and bundles that a sequence holds at least.
-ROWS, BUNDLES = 250_000, 32
+ROWS, BUNDLES = 100_000, 32
 #: Texts are tokenised in groups of up to so many characters.
 GROUP_CHARS = 1 << 21
 # Fixed value: how the tokenizer file cuts text, after composing (NFC) and lower-casing it.
@@ -204,35 +206,54 @@ def _rows(rows: list[tuple], *names: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(len(names))], names=list(names))
 
 
-def _swept(items: DataFrame, gaps: DataFrame) -> DataFrame:
-    """``id, size, seq, free``: each item's gap, of those that find one."""
+def _swept(items: DataFrame, gaps: DataFrame, capacity: int) -> DataFrame:
+    """``id, size, seq, at, free``: items that found a place (``id, seq, at``), items that didn't (``id, size``), and what is left
+    of every gap (``seq, free``)."""
     events = items.select("size", F.lit(1).alias("kind"), "id").union(gaps.select("free", F.lit(0), "seq"))
+    ranges = _ranges(events)
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gaps, left, out = [], [], []
+        """Gaps wait on a stack, the smallest on top.  What an item leaves of a gap comes back when the sweep gets to its size."""
+        gaps, later, left, out = [], [], [], []
         for b in batches:
             for size, kind, key in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                while later and -later[0][0] >= size:
+                    free, seq = heapq.heappop(later)
+                    gaps.append((seq, -free))
                 if not kind:
                     gaps.append((key, size))
                 elif gaps:
                     seq, free = gaps.pop()
-                    out.append((key, size, seq, free, 0))
+                    out.append((key, None, seq, capacity - free, None, None))
+                    heapq.heappush(later, (size - free, seq))
                 else:
-                    left.append((key, size, None, None, -len(left)))
-        # what is left: items close levels downwards, gaps open them upwards from there
-        out += left
-        out += [(None, None, seq, free, 1 - len(left) + i) for i, (seq, free) in enumerate(gaps)]
-        yield _rows(out, "id", "size", "seq", "free", "level")
-
-    found = _sorted(events, "size", "kind", "id").mapInArrow(sweep, "id long, size long, seq long, free long, level long")
-    found = cut(found.withColumn("part", F.spark_partition_id().cast("long")))
-    rest = found.where("id is null or seq is null")
+                    left.append((key, size, None, None, None, -len(left)))
+            yield _rows(out, "id", "size", "seq", "at", "free", "level")
+            out = []
+        # what is left meets that of other ranges: items close levels downwards, gaps open them upwards from there; gaps
+        # that are smaller than the range wait for the next round
+        out = left + [(None, None, seq, None, free, 1 - len(left) + i) for i, (seq, free) in enumerate(gaps)]
+        yield _rows(out + [(None, None, seq, None, -free, None) for free, seq in later], "id", "size", "seq", "at", "free", "level")
+
+    names = "id long, size long, seq long, at long, free long, level long"
+    found = cut(_sorted(events, "size", "kind", "id", ranges=ranges).mapInArrow(sweep, names).withColumn("part", F.spark_partition_id().cast("long")))
+    if ranges == 1 and found.rdd.getNumPartitions() == 1:
+        return found.select("id", "size", "seq", "at", "free")
+    rest = found.where("level is not null")
     change = rest.groupBy("part").agg(F.sum(F.when(F.col("id").isNull(), 1).otherwise(-1)).cast("long").alias("n"))
     levelled = rest.join(sums_before(change, "part"), "part").withColumn("level", F.col("level") + F.col("before"))
     # on a level, gaps and items take turns: an item behind a gap gets it
     order = Window.partitionBy("level").orderBy("part", F.col("id").isNull())
-    behind = levelled.select("id", "size", F.lag("seq").over(order).alias("seq"), F.lag("free").over(order).alias("free"))
-    return found.where("id is not null and seq is not null").select("id", "size", "seq", "free").union(behind.where("id is not null and seq is not null"))
+    gap, item = F.col("id").isNull(), F.col("id").isNotNull()
+    beside = levelled.select("*", F.lag("seq").over(order).alias("to"), F.lag("free").over(order).alias("room"), F.lead("id").over(order).alias("by"), F.lead("size").over(order).alias("takes"))
+    settled = beside.select(
+        "id",
+        F.when(F.col("to").isNull(), F.col("size")).alias("size"),
+        F.when(gap, F.col("seq")).otherwise(F.col("to")).alias("seq"),
+        F.when(item, capacity - F.col("room")).alias("at"),
+        F.when(gap, F.col("free") - F.coalesce(F.when(F.col("by").isNotNull(), F.col("takes")), F.lit(0))).alias("free"),
+    )
+    return found.where("level is null").select("id", "size", "seq", "at", "free").union(settled)
 
 
 def pack(pieces: DataFrame, capacity: int = 2048, id_col: str = "doc_id") -> DataFrame:
@@ -267,11 +288,10 @@ def pack(pieces: DataFrame, capacity: int = 2048, id_col: str = "doc_id") -> Dat
             placed.add(new.where("seq is not null").select("id", "seq", "at"))
             items = items.where(F.col("size") <= over).unionByName(new.where("seq is null").select("id", "size"))
             gaps = gaps.union(new.where(F.col("free") >= least).select("seq", "free"))
-        swept = cut(_swept(items, gaps))
-        placed.add(swept.select("id", "seq", (capacity - F.col("free")).alias("at")))
-        items = cut(items.join(swept.select("id"), "id", "left_anti"))
-        shrunk = swept.select("seq", (F.col("free") - F.col("size")).alias("free"))
-        gaps = cut(gaps.join(swept.select("seq"), "seq", "left_anti").unionByName(shrunk).where(F.col("free") >= least))
+        swept = cut(_swept(items, gaps, capacity))
+        placed.add(swept.where("id is not null and seq is not null").select("id", "seq", "at"))
+        items = swept.where("id is not null and seq is null").select("id", "size")
+        gaps = swept.where(F.col("id").isNull() & (F.col("free") >= least)).select("seq", "free")
     found = rows.join(placed.all().select(F.col("id").alias("__bundle"), "seq", "at"), "__bundle")
     return found.select("__row.*", F.col("seq").alias("sequence_id"), (F.col("at") + F.col("__inner")).alias("offset"))
 
