@@ -54,12 +54,14 @@ def s2(g: Graph) -> DataFrame:
     return ids(el.from_elements(_records(g)).elements())
 
 
-@query("s3_grouped_elements", "SELECT 'n' || i AS id, 'nodes' AS grp FROM range(5) t(i) UNION ALL SELECT 'e' || i, 'edges' FROM range(4) t(i)")
-def s3(spark, sf_dir: str) -> DataFrame:
-    text = '{"nodes": [' + ",".join(f'{{"data": {{"id": "n{i}"}}}}' for i in range(5)) + '], "edges": [' + ",".join(f'{{"data": {{"id": "e{i}", "source": "n{i}", "target": "n{i + 1}"}}}}' for i in range(4)) + "]}"
+@query("s3_grouped_elements", "SELECT id, 'nodes' AS grp FROM gn WHERE kind IN ('region', 'nation') UNION ALL SELECT 'in-' || id, 'edges' FROM gn WHERE kind = 'nation'", on="geo")
+def s3(g: Graph) -> DataFrame:
+    """Regions and nations as one document of two lists."""
+    n = g.elements(".region, .nation").nodes.agg(F.collect_list(F.struct(F.struct("id").alias("data"))).alias("nodes"))
+    e = g.elements(".nation").nodes.agg(F.collect_list(F.struct(F.struct(F.concat(F.lit("in-"), "id").alias("id"), F.col("id").alias("source"), F.col("parent").alias("target")).alias("data"))).alias("edges"))
+    text = n.join(F.broadcast(e)).select(F.to_json(F.struct("nodes", "edges")).alias("j"))  # one row
     kind = "nodes array<struct<data:struct<id:string>>>, edges array<struct<data:struct<id:string,source:string,target:string>>>"
-    raw = spark.createDataFrame([(text,)], "j string").select(F.from_json("j", kind).alias("e")).select("e.*")
-    return ids(el.from_grouped(raw).elements())
+    return ids(el.from_grouped(text.select(F.from_json("j", kind).alias("e")).select("e.*")).elements())
 
 
 @query("s5_add", both("kind <> 'customer'", "false") + " UNION ALL SELECT id, 'nodes' FROM gn WHERE kind = 'customer' AND acctbal > 0 UNION ALL SELECT id, 'edges' FROM ge WHERE source IN (SELECT id FROM gn WHERE acctbal > 0)", on="geo")
@@ -180,13 +182,13 @@ def f7(g: Graph) -> DataFrame:
     return values(g.nodes.sparkSession, some=c.some(test), every=c.every(test))
 
 
-@query("f8_is_all_are", "SELECT true AS one, false AS every", on="geo")
+@query("f8_is_all_are", "SELECT bool_or(kind = 'nation') AS one, bool_and(kind = 'nation') AS every FROM gn", on="geo")
 def f8(g: Graph) -> DataFrame:
     c = g.elements("node")
     return values(g.nodes.sparkSession, one=c.is_(".nation"), every=c.all_are(".nation"))
 
 
-@query("f9_same", "SELECT true AS same, false AS other", on="geo")
+@query("f9_same", ", p AS (SELECT DISTINCT parent AS id FROM gn WHERE kind IN ('customer', 'supplier')), n AS (SELECT id FROM gn WHERE kind = 'nation'), r AS (SELECT id FROM gn WHERE kind = 'region') SELECT (SELECT count(*) FROM (FROM p EXCEPT FROM n)) + (SELECT count(*) FROM (FROM n EXCEPT FROM p)) = 0 AS same, (SELECT count(*) FROM (FROM r EXCEPT FROM n)) = 0 AS other", on="geo")
 def f9(g: Graph) -> DataFrame:
     return values(g.nodes.sparkSession, same=g.elements(".nation").same(tr.parents_of(g.elements(".customer, .supplier"))), other=g.elements(".nation").same(g.elements(".region")))
 
@@ -196,7 +198,7 @@ def f10(g: Graph) -> DataFrame:
     return values(g.nodes.sparkSession, shared=g.elements(RICH).any_same(g.elements(POOR)))
 
 
-@query("f11_contains", "SELECT true AS inside, false AS outside", on="geo")
+@query("f11_contains", "SELECT count(*) FILTER (kind = 'nation' AND id NOT IN (SELECT id FROM gn)) = 0 AS inside, count(*) FILTER (kind <> 'nation') = 0 AS outside FROM gn", on="geo")
 def f11(g: Graph) -> DataFrame:
     n = g.elements("node")
     return values(g.nodes.sparkSession, inside=n.contains(g.elements(".nation")), outside=g.elements(".nation").contains(n))

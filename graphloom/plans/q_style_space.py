@@ -145,17 +145,19 @@ def b6_select(g: Graph) -> DataFrame:
     return geo.select_in_box(g.elements(), 300, 200, 100, 50, mode)
 
 
-@query("b4_outer_size", "SELECT 30 + 2 + 2 * 5.0 AS center, 30 + 4 + 2 * 5.0 AS outside, 30 + 2 * 5.0 AS inside")
+@query("b4_outer_size", "SELECT p_partkey AS id, p_size + 2 + 2 * 5.0 AS center, p_size + 4 + 2 * 5.0 AS outside, p_size + 2 * 5.0 AS inside FROM part")
 def b4(spark, sf_dir: str) -> DataFrame:
-    d, b, p = F.lit(30.0), F.lit(2.0), F.lit(5.0)
-    return spark.range(1).select(*[geo.outer_size(d, b, p, k).alias(k) for k in ("center", "outside", "inside")])
+    d, b, p = F.col("p_size").cast("double"), F.lit(2.0), F.lit(5.0)
+    return graphs.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), *[geo.outer_size(d, b, p, k).alias(k) for k in ("center", "outside", "inside")])
 
 
-@query("b5_box_algebra", "SELECT true AS meets, false AS inside, -1.0 AS x1")
-def b5(spark, sf_dir: str) -> DataFrame:
-    a = {k: F.lit(v) for k, v in {"x1": 0.0, "y1": 0.0, "x2": 10.0, "y2": 10.0}.items()}
-    b = {k: F.lit(v) for k, v in {"x1": 10.0, "y1": 5.0, "x2": 12.0, "y2": 7.0}.items()}
-    return spark.range(1).select(geo.boxes_intersect(a, b).alias("meets"), geo.box_in_box(a, b).alias("inside"), geo.expand(a, 1, 1, 1, 1)["x1"].alias("x1"))
+@query("b5_box_algebra", "SELECT id, x - 20 <= 300 AND x + 20 >= 100 AND y - 10 <= 400 AND y + 10 >= 200 AS meets, x - 20 >= 100 AND x + 20 <= 300 AND y - 10 >= 200 AND y + 10 <= 400 AS inside, x - 21 AS x1, y + 14 AS y2 FROM gn", on="geo")
+def b5(g: Graph) -> DataFrame:
+    """Boxes about all nodes against one box."""
+    own = {"x1": F.col("x") - 20, "y1": F.col("y") - 10, "x2": F.col("x") + 20, "y2": F.col("y") + 10}
+    box = {k: F.lit(v) for k, v in {"x1": 100.0, "y1": 200.0, "x2": 300.0, "y2": 400.0}.items()}
+    grown = geo.expand(own, 2, 3, 4, 1)
+    return g.nodes.select("id", geo.boxes_intersect(box, own).alias("meets"), geo.box_in_box(box, own).alias("inside"), grown["x1"].alias("x1"), grown["y2"].alias("y2"))
 
 
 @query("b6_box_selection", "SELECT id FROM gn WHERE x + 0.5 >= 100 AND x - 0.5 <= 300 AND y + 0.5 >= 50 AND y - 0.5 <= 200", on="geo")
@@ -176,16 +178,20 @@ def b7(g: Graph) -> DataFrame:
     return geo.nearest(g.elements("node"), 340.2, 30.1)
 
 
-@query("b8_segment_maths", "SELECT 25.0 AS d, true AS crossing, true AS ellipse, true AS polygon, false AS apart")
-def b8(spark, sf_dir: str) -> DataFrame:
+SEGMENTS = """, l AS (SELECT e.id, s.x AS sx, s.y AS sy, t.x AS tx, t.y AS ty FROM ge e JOIN gn s ON s.id = e.source JOIN gn t ON t.id = e.target),
+q AS (SELECT *, least(greatest(coalesce(((500 - sx) * (tx - sx) + (400 - sy) * (ty - sy)) / nullif((tx - sx) ^ 2 + (ty - sy) ^ 2, 0), 0), 0), 1) AS t, (400.0 - 100) * (tx - sx) - (500.0 - 100) * (ty - sy) AS c FROM l)
+SELECT id, round((500 - sx - t * (tx - sx)) ^ 2 + (400 - sy - t * (ty - sy)) ^ 2, 6) AS d,
+    coalesce((((500.0 - 100) * (sy - 100) - (400.0 - 100) * (sx - 100)) / nullif(c, 0)) BETWEEN 0 AND 1 AND (((tx - sx) * (sy - 100) - (ty - sy) * (sx - 100)) / nullif(c, 0)) BETWEEN 0 AND 1, false) AS crossing,
+    ((sx - 400) / 300) ^ 2 + ((sy - 300) / 200) ^ 2 <= 1 AS ellipse, sx >= 0 AND sy >= 0 AND sx + sy < 605 AS polygon FROM q"""
+
+
+@query("b8_segment_maths", SEGMENTS, on="geo")
+def b8(g: Graph) -> DataFrame:
+    """All edges against a point, a segment, an ellipse and a triangle."""
     L = lambda *v: [F.lit(float(x)) for x in v]
-    return spark.range(1).select(
-        geo.segment_sqdist(*L(5, 5, 0, 0, 10, 0)).alias("d"),
-        geo.segments_cross(L(0, 0, 10, 10), L(0, 10, 10, 0)).alias("crossing"),
-        geo.in_ellipse(*L(2, 1, 10, 6, 0, 0)).alias("ellipse"),
-        geo.in_polygon(*L(2, 2), [(0, 0), (5, 0), (0, 5)]).alias("polygon"),
-        geo.segments_cross(L(0, 0, 1, 1), L(5, 5, 9, 0)).alias("apart"),
-    )
+    at = [F.col(k) for k in ("sx", "sy", "tx", "ty")]
+    corner = geo.in_polygon(F.col("sx"), F.col("sy"), [(-1.0, -1.0), (607.0, -1.0), (-1.0, 607.0)])
+    return geo.edge_ends(g.elements()).select("id", F.round(geo.segment_sqdist(*L(500, 400), *at), 6).alias("d"), geo.segments_cross(at, L(100, 100, 500, 400)).alias("crossing"), geo.in_ellipse(F.col("sx"), F.col("sy"), *L(600, 400, 400, 300)).alias("ellipse"), corner.alias("polygon"))
 
 
 @query("b9_fit", "SELECT round(least(780 / w, 580 / h), 9) AS zoom, round((800 - least(780 / w, 580 / h) * (x1 + x2)) / 2, 6) AS px FROM (" + BOX.format("true") + ")", on="geo")
@@ -288,15 +294,19 @@ def l8(g: Graph) -> DataFrame:
 # scalar functions
 
 
-@query("x_text_functions", "SELECT 'background-color' AS dash, 'backgroundColor' AS camel, 'Abc' AS cap")
-def x_text(spark, sf_dir: str) -> DataFrame:
-    return spark.range(1).select(colors.camel_to_dash(F.lit("backgroundColor")).alias("dash"), colors.dash_to_camel(F.lit("background-color")).alias("camel"), colors.capitalize(F.lit("abc")).alias("cap"))
+@query("x_text_functions", "SELECT id, kind || '-' || lower(segment) AS dash, upper(substr(kind, 1, 1)) || substr(kind, 2) AS cap FROM gn WHERE kind = 'customer'", on="geo")
+def x_text(g: Graph) -> DataFrame:
+    """Kinds and segments to camel case and back, and with one capital."""
+    plain = F.concat_ws("-", "kind", F.lower("segment"))
+    return g.elements(".customer").nodes.select("id", colors.camel_to_dash(colors.dash_to_camel(plain)).alias("dash"), colors.capitalize(F.col("kind")).alias("cap"))
 
 
-@query("x_math_functions", "SELECT [1.0, 3.0]::DOUBLE[] AS roots, 0.5 AS bezier, 5.0 AS clamped")
-def x_math(spark, sf_dir: str) -> DataFrame:
+@query("x_math_functions", "SELECT id, CASE WHEN x < y THEN [x, y] ELSE [y, x] END::DOUBLE[] AS roots, round(0.25 * 0.25 * x + 2 * 0.25 * 0.75 * y + 0.75 * 0.75 * 100, 6) AS bezier, least(greatest(200, x), 600)::DOUBLE AS clamped FROM gn", on="geo")
+def x_math(g: Graph) -> DataFrame:
+    """The roots x and y of (t - x)(t - y), a point of a curve, and a bounded x."""
     L = lambda v: F.lit(float(v))
-    return spark.range(1).select(colors.quadratic_roots(L(1), L(-4), L(3)).alias("roots"), colors.bezier_at(L(0), L(0.5), L(1), L(0.5)).alias("bezier"), colors.clamp(L(0), L(9), L(5)).alias("clamped"))
+    x, y = F.col("x"), F.col("y")
+    return g.nodes.select("id", colors.quadratic_roots(L(1), -(x + y), x * y).alias("roots"), F.round(colors.bezier_at(x, y, L(100), L(0.75)), 6).alias("bezier"), colors.clamp(L(200), x, L(600)).alias("clamped"))
 
 
 @query("x_kinds", "SELECT id, acctbal IS NOT NULL AS number, coalesce(floor(acctbal) = acctbal, false) AS whole, segment IS NULL AS empty, segment IS NOT NULL AS nonempty FROM gn", on="geo")
