@@ -398,7 +398,7 @@ def e6(spark, sf_dir: str) -> DataFrame:
     """Degrees kept over a stream of line items, run to its end; what a batch would give."""
     import uuid
 
-    from graphloom.operators.iterate import ensure_checkpoint_dir
+    from graphloom.operators.iterate import cut, ensure_checkpoint_dir
 
     ensure_checkpoint_dir(spark)
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -410,4 +410,8 @@ def e6(spark, sf_dir: str) -> DataFrame:
     save = lambda df, n: df.write.mode("overwrite").parquet(out)  # noqa: E731  the last batch holds the complete result
     q = ev.degree_stream(edges).writeStream.outputMode("complete").option("checkpointLocation", f"{out}-log").trigger(availableNow=True).foreachBatch(save).start()
     q.awaitTermination()
-    return spark.read.parquet(out)
+    result = cut(spark.read.parquet(out))
+    for folder in (out, f"{out}-log"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return result

@@ -9,6 +9,7 @@ from graphloom.plans import selector
 from graphloom.sources import elements
 
 
+# A graph of six nodes with known results, and seven points with two known clusters (test_k_means_golden).
 @pytest.fixture(scope="module")
 def six(spark):
     ends = [("ae", 1), ("ab", 3), ("be", 4), ("bc", 5), ("ce", 6), ("cd", 2), ("cf", 1), ("de", 7), ("df", 8)]
