@@ -8,7 +8,7 @@ without a gap and gaps without a piece, meets by rank: the running difference of
 and conflicts between ranges never gather in one place.  Then the gaps shrink and the next round begins.
 
 Pieces that are larger than every gap open sequences, class by class: those over a half of the capacity one each, those over a
-third two, and so on.  Small pieces, up to a 32nd of the capacity, are first bundled in the order of their length, so that the number of rounds depends
+third two, and so on; where all that is left fits one range, its sweep opens them.  Small pieces, up to a 32nd of the capacity, are first bundled in the order of their length, so that the number of rounds depends
 on the capacity and not on the number of pieces.
 """
 
@@ -34,7 +34,9 @@ from graphloom.operators.iterate import Rounds
 #: A worker's memory for ids of chunks, counted with so many bytes for each entry besides its chunk and ids.
 CACHE_BYTES, ENTRY_BYTES = 48 << 20, 230
 #: Rows of a range, and bundles that a sequence holds at least.
-ROWS, BUNDLES = 100_000, 32
+ROWS, BUNDLES = 1_000_000, 32
+#: Items of over a half, a third ... of the capacity open sequences together.
+CLASSES = (2, 3, 4, 5, 7, 10, 16, 33, 1 << 62)
 #: Texts are tokenised in groups of up to so many characters.
 GROUP_CHARS = 1 << 21
 # Fixed value: how the tokenizer file cuts text, after composing (NFC) and lower-casing it.
@@ -168,7 +170,8 @@ def _bundled(pieces: DataFrame, unit: int) -> DataFrame:
 def _sorted(rows: DataFrame, size: str, *then: str, ranges: int | None = None) -> DataFrame:
     """Range-sorted by falling size, in so many ranges as the rows need."""
     order = [F.col(size).desc(), *then]
-    return rows.repartitionByRange(ranges or _ranges(rows), *order).sortWithinPartitions(*order)
+    ranges = ranges or _ranges(rows)
+    return (rows.coalesce(1) if ranges == 1 else rows.repartitionByRange(ranges, *order)).sortWithinPartitions(*order)
 
 
 def _ranges(rows: DataFrame) -> int:
@@ -208,9 +211,10 @@ def _rows(rows: list[tuple], *names: str) -> pa.RecordBatch:
 
 def _swept(items: DataFrame, gaps: DataFrame, capacity: int) -> DataFrame:
     """``id, size, seq, at, free``: items that found a place (``id, seq, at``), items that didn't (``id, size``), and what is left
-    of every gap (``seq, free``)."""
+    of every gap (``seq, free``).  In a single range, an item that finds no gap opens a sequence at once."""
     events = items.select("size", F.lit(1).alias("kind"), "id").union(gaps.select("free", F.lit(0), "seq"))
     ranges = _ranges(events)
+    alone = ranges == 1
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Gaps wait on a stack, the smallest on top.  What an item leaves of a gap comes back when the sweep gets to its size."""
@@ -226,6 +230,9 @@ def _swept(items: DataFrame, gaps: DataFrame, capacity: int) -> DataFrame:
                     seq, free = gaps.pop()
                     out.append((key, None, seq, capacity - free, None, None))
                     heapq.heappush(later, (size - free, seq))
+                elif alone:
+                    out.append((key, None, key, 0, None, None))
+                    heapq.heappush(later, (size - capacity, key))
                 else:
                     left.append((key, size, None, None, None, -len(left)))
             yield _rows(out, "id", "size", "seq", "at", "free", "level")
@@ -237,7 +244,7 @@ def _swept(items: DataFrame, gaps: DataFrame, capacity: int) -> DataFrame:
 
     names = "id long, size long, seq long, at long, free long, level long"
     found = cut(_sorted(events, "size", "kind", "id", ranges=ranges).mapInArrow(sweep, names).withColumn("part", F.spark_partition_id().cast("long")))
-    if ranges == 1 and found.rdd.getNumPartitions() == 1:
+    if alone:
         return found.select("id", "size", "seq", "at", "free")
     rest = found.where("level is not null")
     change = rest.groupBy("part").agg(F.sum(F.when(F.col("id").isNull(), 1).otherwise(-1)).cast("long").alias("n"))
@@ -274,20 +281,22 @@ def pack(pieces: DataFrame, capacity: int = 2048, id_col: str = "doc_id") -> Dat
     items = cut(items)
     gaps = items.limit(0).select(F.col("id").alias("seq"), F.col("size").alias("free"))
     placed = Rounds(items.limit(0).select("id", F.col("id").alias("seq"), F.col("size").alias("at")))
+    again = False
     while True:
         most, least = items.agg(F.max("size"), F.min("size")).first()
         if most is None:
             break
         room = gaps.agg(F.max("free")).first()[0] or 0
-        if room < most:  # what no gap holds opens sequences: the largest class of it
-            over = max(room, capacity // (capacity // most + 1))
-            large = items.where(F.col("size") > over)
+        if room < most and _ranges(items.select("id").union(gaps.select("seq"))) > 1:  # what no gap holds opens sequences: the largest class of it, in one round or two
+            floor = capacity // next(k for k in CLASSES if k > capacity // most)
+            large = items.where(F.col("size") > (floor if again else max(room, floor)))
             new = cut(_opened(large, capacity))
             if new.where("seq is not null").isEmpty():
                 new = cut(_opened(large, capacity, ranges=1))  # no more than a few items in each of many ranges
             placed.add(new.where("seq is not null").select("id", "seq", "at"))
-            items = items.where(F.col("size") <= over).unionByName(new.where("seq is null").select("id", "size"))
+            items = items.join(new.where("seq is not null").select("id"), "id", "left_anti")
             gaps = gaps.union(new.where(F.col("free") >= least).select("seq", "free"))
+        again = room < most
         swept = cut(_swept(items, gaps, capacity))
         placed.add(swept.where("id is not null and seq is not null").select("id", "seq", "at"))
         items = swept.where("id is not null and seq is null").select("id", "size")
