@@ -1,8 +1,8 @@
 """Operator 2: near-duplicates by MinHash bands and sequential Bayesian verification.
 
 1. Texts with the same set of shingles form a class, named by a digest of the set.
-2. Classes meet in buckets of signature bands (24 of 5 rows: a pair at similarity 0.85 shares none
-   with odds of 1e-6; the pipeline's stage takes 40 bands, which give 1e-7 at 0.8).
+2. Classes meet in buckets of signature bands (28 of 5 rows: a pair at similarity 0.85 shares none
+   with odds of 8e-8; the pipeline's stage takes 40 bands, which give 1e-7 at 0.8).
 3. A bucket's smallest members (1, 8, 64, ... as the rounds go) are its hubs.
    Kernels compare members with hubs, so pairs never become rows unless they look similar: signatures (low bytes
    of 384 minima) are compared a batch at a time and a pair goes when the posterior odds of
@@ -24,16 +24,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import cut, release
+from graphloom.llm.common import cut, release, text_groups
 from graphloom.llm.components import components
 from graphloom.llm.shingles import MinHash, band_keys, set_key, shingle_list, shingle_lists
 
-MISS = 1e-5
+#: Odds of dropping a linked pair at each of the twelve looks at its signatures.
+MISS = 1e-7
 BATCH = 32
 HASHES = 384
 GROWTH = 8
 SALT_ROWS = 4096
 PAIRS = 200_000
+#: Characters of texts that are worked on together.
+GROUP_CHARS = 1 << 21
 
 
 def least_matches(threshold: float, hashes: int, miss: float) -> list[tuple[int, int]]:
@@ -52,15 +55,14 @@ def least_matches(threshold: float, hashes: int, miss: float) -> list[tuple[int,
 
 
 def _fingerprints(df: DataFrame, kind: str, shingle: int, bands: int, rows: int) -> DataFrame:
-    """``id, n, node, sig, heads, bands``: size and digest of the set, low bytes of the minima, band keys (and
-    32 bits of each)."""
+    """``id, n, node, sig, heads``: size and digest of the set, low bytes of the minima, 32 bits of each band's key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = MinHash(max(HASHES, bands * rows))
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
-                lists = shingle_lists([(t or "").encode() for t in part.column(1).to_pylist()], shingle)
+            for lo, texts in text_groups(b.column(1), GROUP_CHARS):
+                part = b.slice(lo, len(texts))
+                lists = shingle_lists([(t or "").encode() for t in texts], shingle)
                 minima = family.signatures(lists)
                 keys = band_keys(minima, bands, rows)
                 sets = [np.unique(x) for x in lists]
@@ -69,12 +71,11 @@ def _fingerprints(df: DataFrame, kind: str, shingle: int, bands: int, rows: int)
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([set_key(s) for s in sets], pa.binary()),
                     pa.array([s.tobytes() for s in low], pa.binary()),
-                    pa.array([k.astype(np.uint32).tobytes() for k in keys], pa.binary()),
-                    pa.array(list(keys), pa.list_(pa.int64())),
+                    pa.array(list(keys.astype(np.uint32).view(np.int32)), pa.list_(pa.int32())),
                 ]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["id", "n", "node", "sig", "heads", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["id", "n", "node", "sig", "heads"])
 
-    return df.mapInArrow(run, f"id {kind}, n long, node binary, sig binary, heads binary, bands array<long>")
+    return df.mapInArrow(run, f"id {kind}, n long, node binary, sig binary, heads array<int>")
 
 
 def _promising(met: DataFrame, threshold: float, first_only: bool) -> DataFrame:
@@ -88,7 +89,7 @@ def _promising(met: DataFrame, threshold: float, first_only: bool) -> DataFrame:
         nodes: list[bytes] = []
         comps: list[bytes] = []
         sigs: list[bytes] = []
-        heads: list[bytes] = []
+        heads: list[list[int]] = []
         band_of: list[int] = []
         left: list[np.ndarray] = []
         right: list[np.ndarray] = []
@@ -119,7 +120,7 @@ def _promising(met: DataFrame, threshold: float, first_only: bool) -> DataFrame:
                 keep = matches >= least
                 i, j, matches, done = i[keep], j[keep], matches[keep], n
             if first_only:
-                head = np.frombuffer(b"".join(heads), np.uint32).reshape(len(heads), -1)
+                head = np.array(heads, np.int32)
                 own = (head[i] == head[j]).argmax(axis=1) == np.array(band_of)[j]
                 i, j = i[own], j[own]
             out = pa.RecordBatch.from_arrays([pa.array([nodes[k] for k in i], pa.binary()), pa.array([nodes[k] for k in j], pa.binary())], names=["hub", "node"])
@@ -204,36 +205,47 @@ def near_duplicates(
     the same component and agree on ``kept``.  Other columns are left out."""
     kind = df.schema[id_col].dataType.simpleString()
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    spark = df.sparkSession
     prints = cut(_fingerprints(docs, kind, shingle, bands, rows))
     usable = prints.where("n > 0 and id is not null")
-    classes = cut(
-        usable.groupBy("node").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("heads").alias("heads"), F.first("bands").alias("bands"))
-    )
-    banded = classes.select("node", F.posexplode("bands").alias("band", "key"))
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
-    state = cut(banded.join(shared, "key").select("key", "band", "node", F.col("node").alias("comp")))
-    cand = state.select("node").distinct()
+    classes = cut(usable.groupBy("node").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("heads").alias("heads")))
+    owners = cut(prints.select("id", "n", "node"))  # the wide columns are kept once for each class
+    del prints, usable
+    release(spark)
+    # 32 bits of a key and the band's number; what they bring together by chance, the signatures tell apart
+    keyed = classes.select("node", F.transform("heads", lambda h, i: F.shiftleft(i.cast("long"), 32).bitwiseOR(h.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))).alias("keys"))
+    banded = keyed.select("node", F.explode("keys").alias("key"))
+    shared = cut(banded.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"))
+    # one row a class, with the keys of the buckets that it is in
+    state = cut(banded.join(shared, "key").groupBy("node").agg(F.collect_list("key").alias("keys")).select("node", F.col("node").alias("comp"), "keys"))
+    del keyed, banded, shared
+    release(spark)
+    cand = state.select("node")
     sigs = cut(classes.select("node", "rep", "sig", "heads").join(cand, "node"))
+    named = cut(classes.select("node", "rep"))
+    del classes, cand
+    release(spark)
     texts = cut(
         sigs.select("node", "rep").join(docs.where("id is not null"), F.col("rep") == F.col("id"))
         .select("node", "text", F.md5("text").alias("digest"))
         .dropDuplicates(["node", "digest"])
         .drop("digest")
     )
-    release(df.sparkSession)
+    release(spark)
     comps, hubs = None, 1
     while True:
-        keys = state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"))
+        rows = state.select("node", "comp", F.explode("keys").alias("key"))
+        keys = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"))
         keys = keys.where("lo <> hi").select("key", F.ceil(F.col("m") / SALT_ROWS).cast("int").alias("salts"))
-        state = cut(state.join(keys, "key").select("key", "band", "node", "comp", "salts"))
-        if state.isEmpty():
+        opened = cut(rows.join(keys, "key").select("key", "node", "comp", "salts"))
+        if opened.isEmpty():
             break
         order = Window.partitionBy("key").orderBy("node")
-        chosen = cut(state.withColumn("place", F.row_number().over(order)).where(F.col("place") <= hubs).drop("place"))
+        chosen = cut(opened.withColumn("place", F.row_number().over(order)).where(F.col("place") <= hubs).drop("place"))
         salt = F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")
-        members = state.withColumns({"salt": salt, "member": F.lit(True)})
+        members = opened.withColumns({"salt": salt, "member": F.lit(True)})
         copies = chosen.withColumns({"salt": F.explode(F.sequence(F.lit(0), F.col("salts") - 1)), "member": F.lit(False)})
-        met = members.unionByName(copies).join(sigs.select("node", "sig", "heads"), "node")
+        met = members.unionByName(copies).join(sigs.select("node", "sig", "heads"), "node").withColumn("band", F.shiftright("key", 32).cast("int"))
         met = met.repartition("key", "salt").sortWithinPartitions("key", "salt", "member", "node")
         likely = cut(_promising(met, percent / 100, hubs > 1).distinct())
         hub_texts = texts.select(F.col("node").alias("hub"), F.col("text").alias("hub_text"))
@@ -242,15 +254,13 @@ def near_duplicates(
         # earlier links count as what they connected
         links = cut(links if comps is None else links.union(comps.where("node <> component").select("node", "component")))
         comps = cut(components(links))
-        state = (
-            state.join(chosen.select("key", "node"), ["key", "node"], "left_anti")
-            .join(comps, "node", "left")
-            .select("key", "band", "node", F.coalesce("component", "node").alias("comp"))
-        )
+        # hubs met everyone and leave; classes go on with what they are connected to by now
+        gone = chosen.groupBy("node").agg(F.collect_list("key").alias("gone"))
+        state = opened.groupBy("node").agg(F.collect_list("key").alias("keys")).join(gone, "node", "left").join(comps, "node", "left")
+        state = cut(state.select("node", F.coalesce("component", "node").alias("comp"), F.array_except("keys", F.coalesce("gone", F.array().cast("array<bigint>"))).alias("keys")))
         hubs *= GROWTH
-        del keys, chosen, members, copies, met, likely, found, links
-        release(df.sparkSession)
-    named = classes.select("node", "rep")
+        del rows, keys, opened, chosen, members, copies, met, likely, found, links, gone
+        release(spark)
     if comps is not None:
         labels = named.join(comps, "node")
         least = labels.groupBy("component").agg(F.min("rep").alias("component_id"))
@@ -260,8 +270,7 @@ def near_duplicates(
         named = named.withColumnRenamed("rep", "component_id")
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
     return (
-        prints.select("id", "n", "node")
-        .join(named, "node", "left")
+        owners.join(named, "node", "left")
         .select(
             F.col("id").alias(id_col),
             F.col("n").alias("n_shingles"),

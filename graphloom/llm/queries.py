@@ -23,7 +23,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(documents(spark, sf_dir), percent=85, bands=24, rows=5)
+    return neardup.near_duplicates(documents(spark, sf_dir), percent=85, bands=28, rows=5)
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(documents(spark, sf_dir))
+    return licenses.scan_licenses(documents(spark, sf_dir), licenses.public())
 
 
 def op4_licenses_public(spark: SparkSession, sf_dir: str) -> DataFrame:
