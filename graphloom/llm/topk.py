@@ -6,8 +6,8 @@ lower bound is what was read of it, plus the worst entries of the lists in which
 next to be read instead.  Rows whose upper bound is under the k-th best lower bound can't qualify any more, and a
 query is done when no more than k rows are left.  Only those are looked up, for their final scores in whole numbers.
 
-Reading is sequential in blocks of entries and goes on for a group of queries at once, with the same entry for all of them.
-Rows stay where their block is; queries are copied to every block, row by row, and a task holds one block and one group.
+Lists are read down to a few depths, for a group of queries at once: what they give down to a depth, with the bounds of what is
+below, is a matrix, and sums of it are matrix products.  Rows stay where their block is; queries are copied to every block, row by row, and a task holds one block and one group.
 """
 
 from __future__ import annotations
@@ -21,10 +21,11 @@ from pyspark.sql import functions as F
 
 BLOCK_ROWS = 8192
 #: Queries that read a block together.
-GROUP = 32
-#: A block's lists are read in so many steps; bounds are looked at behind some of them.
-STEPS, LOOK = 16, (4, 8, 12, 14)
-EXACT = float(1 << 53)
+GROUP = 64
+#: Shares of the lists' length down to which they are read before bounds are looked at.
+DEPTHS = (0.25, 0.5, 0.75, 0.9, 1.0)
+#: Up to these, sums of whole numbers are exact in 32 and in 64 bits.
+EXACT32, EXACT64 = float(1 << 24), float(1 << 53)
 
 
 class SortedLists:
@@ -32,42 +33,46 @@ class SortedLists:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         self.ids, self.whole = ids, x
-        self.x = x.astype(np.float64)
-        self.order = np.argsort(-self.x, axis=0, kind="stable")  # places by falling value, a column for each list
-        self.rank = np.empty_like(self.order)
-        np.put_along_axis(self.rank, self.order, np.arange(len(ids))[:, None], axis=0)
-        self.values = np.take_along_axis(self.x, self.order, axis=0)
-        self.largest = float(np.abs(self.x).max()) if x.size else 0.0
+        n = len(ids)
+        order = np.argsort(-x.astype(np.float64), axis=0, kind="stable")  # places by falling value, a column for each list
+        self.rank = np.empty((n, x.shape[1]), np.int32)
+        np.put_along_axis(self.rank, order, np.arange(n, dtype=np.int32)[:, None], axis=0)
+        self.values = np.take_along_axis(x, order, axis=0)
+        self.largest = float(np.abs(x.astype(np.float64)).max()) if x.size else 0.0
+        self.depths = sorted({max(1, round(share * n)) for share in DEPTHS} | {n})
+        self.known: dict[tuple[int, type], list[np.ndarray]] = {}
         self.read = self.entries = 0
 
+    def _down_to(self, depth: int, kind: type) -> list[np.ndarray]:
+        """What is known when all lists are read down to a depth: for rows read from the top, and for those read from the bottom, the
+        entry where it was met, and where it wasn't the worst of its list (lower bounds) or the one next to be read (upper bounds)."""
+        if (depth, kind) not in self.known:
+            x, n = self.whole.astype(kind), len(self.ids)
+            values = self.values.astype(kind)
+            met, met_below = self.rank < depth, self.rank >= n - depth
+            if depth == n:
+                self.known[depth, kind] = [x, x]
+            else:
+                self.known[depth, kind] = [np.where(met, x, values[-1]), np.where(met_below, x, values[0]), np.where(met, x, values[depth]), np.where(met_below, x, values[n - 1 - depth])]
+        return self.known[depth, kind]
+
     def top(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, list[int]]]:
         """For each query ids and scores of the k best rows but its own: higher score first, then smaller id."""
-        n, dims = self.x.shape
-        q = queries.astype(np.float64)
+        n = len(self.ids)
+        most = self.largest * np.abs(queries.astype(np.float64)).sum(axis=1)
+        slack = np.where(most < EXACT64, 0.0, most * 1e-12)  # what rounding may be off
+        kind = np.float32 if most.max(initial=0) < EXACT32 else np.float64
+        q = queries.astype(kind)
         up, down = np.maximum(q, 0).T.copy(), np.minimum(q, 0).T.copy()  # dimensions x queries
-        most = self.largest * np.abs(q).sum(axis=1)
-        slack = np.where(most < EXACT, 0.0, most * 1e-12)  # what rounding may be off
-        seen = np.zeros((n, len(q)))
         mine = [np.flatnonzero(self.ids == i) for i in own]
-        active, left = np.arange(len(q)), [np.empty(0, np.int64)] * len(q)
+        active, left, before = np.arange(len(q)), [np.empty(0, np.int64)] * len(q), 0
         self.entries += n * int(np.count_nonzero(q))
-        edges = np.linspace(0, n, STEPS + 1).astype(int)
-        for step, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True), 1):
-            self.read += (b - a) * int(np.count_nonzero(q[active]))
-            for d in range(dims):
-                if up[d].any():
-                    rows = self.order[a:b, d]
-                    seen[rows] += self.values[a:b, d, None] * up[d]
-                if down[d].any():
-                    rows = self.order[n - b : n - a, d]
-                    seen[rows] += self.values[n - b : n - a, d, None] * down[d]
-            if step < STEPS and step not in LOOK:
-                continue
-            low = high = seen
-            if b < n:
-                unmet, unmet_below = (self.rank >= b).astype(np.float64), (self.rank < n - b).astype(np.float64)
-                low = seen + unmet @ (self.values[-1][:, None] * up) + unmet_below @ (self.values[0][:, None] * down)
-                high = seen + unmet @ (self.values[b][:, None] * up) + unmet_below @ (self.values[n - 1 - b][:, None] * down)
+        for depth in self.depths:
+            self.read += (depth - before) * int(np.count_nonzero(q[active]))
+            before = depth
+            known = self._down_to(depth, kind)
+            low = known[0] @ up + known[1] @ down
+            high = low if len(known) == 2 else known[2] @ up + known[3] @ down
             done = []
             for j, query in enumerate(active):
                 bounds = low[:, j].copy()
@@ -75,12 +80,12 @@ class SortedLists:
                 bar = np.partition(bounds, n - k)[n - k] if n > k else -np.inf
                 may = high[:, j] >= bar - slack[query]
                 may[mine[query]] = False
-                if step == STEPS or np.count_nonzero(may) <= k:
+                if depth == n or np.count_nonzero(may) <= k:
                     left[query] = np.flatnonzero(may)
                     done.append(j)
             if done:
                 keep = np.setdiff1d(np.arange(len(active)), done)
-                active, seen, up, down = active[keep], seen[:, keep], up[:, keep].copy(), down[:, keep].copy()
+                active, up, down = active[keep], up[:, keep].copy(), down[:, keep].copy()
             if not len(active):
                 break
         return [self._resolved(left[j], queries[j], k) for j in range(len(q))]
@@ -129,7 +134,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id
     dims, blocks = shape["dims"] or 0, max(1, -(-shape["n"] // block_rows))
     held = rows.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.lit(0).alias("asks"), "id", "v")
     asked = rows.where("asks").select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(1).alias("asks"), "id", "v")
-    met = held.unionByName(asked).repartition(blocks, "block").sortWithinPartitions("block", "asks", "id")
+    # with room, so that hashes of the few numbers seldom bring two blocks to one task
+    met = held.unionByName(asked).repartition(4 * blocks, "block").sortWithinPartitions("block", "asks", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, lists = None, None
