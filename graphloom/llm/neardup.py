@@ -243,9 +243,13 @@ def near_duplicates(
         order = Window.partitionBy("key").orderBy("node")
         chosen = cut(opened.withColumn("place", F.row_number().over(order)).where(F.col("place") <= hubs).drop("place"))
         salt = F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")
-        members = opened.withColumns({"salt": salt, "member": F.lit(True)})
-        copies = chosen.withColumns({"salt": F.explode(F.sequence(F.lit(0), F.col("salts") - 1)), "member": F.lit(False)})
-        met = members.unionByName(copies).join(sigs.select("node", "sig", "heads"), "node").withColumn("band", F.shiftright("key", 32).cast("int"))
+        # a class meets its signature once and then goes to its buckets
+        wide = sigs.select("node", "sig", "heads")
+        of = opened.groupBy("node").agg(F.first("comp").alias("comp"), F.collect_list(F.struct("key", "salts")).alias("of"))
+        members = of.join(wide, "node").select("node", "comp", "sig", "heads", F.explode("of").alias("of")).select("node", "comp", "sig", "heads", "of.key", "of.salts")
+        members = members.withColumns({"salt": salt, "member": F.lit(True)})
+        copies = chosen.join(wide, "node").withColumns({"salt": F.explode(F.sequence(F.lit(0), F.col("salts") - 1)), "member": F.lit(False)})
+        met = members.unionByName(copies).withColumn("band", F.shiftright("key", 32).cast("int"))
         met = met.repartition("key", "salt").sortWithinPartitions("key", "salt", "member", "node")
         likely = cut(_promising(met, percent / 100, hubs > 1).distinct())
         hub_texts = texts.select(F.col("node").alias("hub"), F.col("text").alias("hub_text"))
@@ -259,7 +263,7 @@ def near_duplicates(
         state = opened.groupBy("node").agg(F.collect_list("key").alias("keys")).join(gone, "node", "left").join(comps, "node", "left")
         state = cut(state.select("node", F.coalesce("component", "node").alias("comp"), F.array_except("keys", F.coalesce("gone", F.array().cast("array<bigint>"))).alias("keys")))
         hubs *= GROWTH
-        del rows, keys, opened, chosen, members, copies, met, likely, found, links, gone
+        del rows, keys, opened, chosen, wide, of, members, copies, met, likely, found, links, gone
         release(spark)
     if comps is not None:
         labels = named.join(comps, "node")
