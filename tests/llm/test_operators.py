@@ -619,3 +619,23 @@ def test_pipeline_stages(spark, tmp_path):
     packed = cp.run(spark, str(tmp_path / "sf")).collect()
     assert {r["doc_id"] for r in packed} == {0, 1, 2, 3, 4, 5}
     assert [name for name, _ in cp.STAGES] == ["language_id", "line_dedup", "near_dedup", "secret_scan", "best_fit_packing"]
+
+
+def test_pipeline_stages_on_odd_tables(spark):
+    """No rows; repeated rows, rows without an id or a text, and a long text."""
+    import corpus_pipeline as cp
+
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    rng = random.Random(23)
+    body = words(rng, 60, 9999)
+    rows = [(1, body, "en", "s", 9), (1, body, "en", "s", 9), (None, body, "en", None, None), (2, None, None, None, None), (3, words(rng, 40_000, 9999), "en", "s", 9), (None, None, None, None, None)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {"language_id": 4, "line_dedup": 6, "near_dedup": 6, "secret_scan": 6}
+    for name, stage in cp.STAGES:
+        none = stage(spark, odd.limit(0), "")
+        out = stage(spark, odd, "")
+        assert none.count() == 0
+        if name == "best_fit_packing":
+            assert out.groupBy("doc_id").count().where("doc_id = 3").first()["count"] > 10 and out.where("doc_id is null").count() == 2
+        else:
+            assert none.columns == out.columns == columns and out.count() == kept[name]
