@@ -3,7 +3,7 @@
 1. Texts with the same set of shingles form a class, named by a digest of the set.
 2. Classes meet in buckets of signature bands (28 of 5 rows: a pair at similarity 0.85 shares none
    with odds of 8e-8; the pipeline's stage takes 40 bands, which give 1e-7 at 0.8).
-3. A bucket's smallest members (1, 8, 64, ... as the rounds go) are its hubs.
+3. A bucket's smallest members (1, 4, 16, ... as the rounds go) are its hubs, those of its largest component first.
    Kernels compare members with hubs, so pairs never become rows unless they look similar: signatures (low bytes
    of 384 minima) are compared a batch at a time and a pair goes when the posterior odds of
    reaching the threshold (uniform prior) fall under ``MISS``.
@@ -32,7 +32,7 @@ from graphloom.llm.shingles import MinHash, band_keys, set_key, shingle_list, sh
 MISS = 1e-7
 BATCH = 32
 HASHES = 384
-GROWTH = 8
+GROWTH = 4
 SALT_ROWS = 4096
 PAIRS = 200_000
 #: Characters of texts that are worked on together.
@@ -80,8 +80,9 @@ def _fingerprints(df: DataFrame, kind: str, shingle: int, bands: int, rows: int)
 
 def _promising(met: DataFrame, threshold: float, first_only: bool) -> DataFrame:
     """``hub, node`` of the pairs that signatures don't rule out.  ``met``: ``key, salt, member, band, node, comp,
-    sig, heads``, each (key, salt) with its hubs (member false) before its members.  If ``first_only``, a pair that
-    shares several bands comes from the first of them alone: its bucket there stays open until one of
+    sig, heads, leads``, each (key, salt) with its hubs (member false) before its members; ``leads``: the bands in whose
+    buckets a hub is one.  A pair that shares several bands comes from one of them alone: the first in which the
+    hub is one (if the smallest are hubs), or if ``first_only``, the first of all: its bucket there stays open until one of
     the pair was a hub, or both are connected."""
     steps = least_matches(threshold, HASHES, MISS)
 
@@ -90,11 +91,13 @@ def _promising(met: DataFrame, threshold: float, first_only: bool) -> DataFrame:
         comps: list[bytes] = []
         sigs: list[bytes] = []
         heads: list[list[int]] = []
+        leads: list[list[int] | None] = []
         band_of: list[int] = []
+        both: list[bool] = []  # members that are hubs of their bucket as well
         left: list[np.ndarray] = []
         right: list[np.ndarray] = []
         waiting = 0
-        group, hubs, members = None, [], []
+        group, hubs, members, names = None, [], [], set()
 
         def close() -> None:
             """Pairs of the group's hubs with the members met so far."""
@@ -111,7 +114,7 @@ def _promising(met: DataFrame, threshold: float, first_only: bool) -> DataFrame:
             name = np.frombuffer(b"".join(nodes), ">u8").reshape(-1, 2)
             part = np.frombuffer(b"".join(comps), ">u8").reshape(-1, 2)
             x = np.frombuffer(b"".join(sigs), np.uint8).reshape(-1, HASHES)
-            before = (name[i, 0] < name[j, 0]) | ((name[i, 0] == name[j, 0]) & (name[i, 1] < name[j, 1]))
+            before = ~np.array(both)[j] | (name[i, 0] < name[j, 0]) | ((name[i, 0] == name[j, 0]) & (name[i, 1] < name[j, 1]))
             apart = (part[i] != part[j]).any(axis=1)
             i, j = i[before & apart], j[before & apart]
             matches, done = np.zeros(len(i), np.int64), 0
@@ -119,25 +122,30 @@ def _promising(met: DataFrame, threshold: float, first_only: bool) -> DataFrame:
                 matches += (x[i, done:n] == x[j, done:n]).sum(axis=1)
                 keep = matches >= least
                 i, j, matches, done = i[keep], j[keep], matches[keep], n
-            if first_only:
-                head = np.array(heads, np.int32)
-                own = (head[i] == head[j]).argmax(axis=1) == np.array(band_of)[j]
-                i, j = i[own], j[own]
+            head = np.array(heads, np.int32)
+            shared = head[i] == head[j]
+            if not first_only:
+                led = np.zeros(head.shape, bool)
+                for k in np.unique(i):
+                    led[k, leads[k]] = True
+                shared &= led[i]
+            own = shared.argmax(axis=1) == np.array(band_of)[j]
+            i, j = i[own], j[own]
             out = pa.RecordBatch.from_arrays([pa.array([nodes[k] for k in i], pa.binary()), pa.array([nodes[k] for k in j], pa.binary())], names=["hub", "node"])
             return out
 
         def drop() -> None:
             """Forgets all rows but the open group's hubs."""
-            nonlocal nodes, comps, sigs, heads, band_of, left, right, waiting, hubs
-            nodes, comps, sigs, heads, band_of = ([v[k] for k in hubs] for v in (nodes, comps, sigs, heads, band_of))
+            nonlocal nodes, comps, sigs, heads, leads, band_of, both, left, right, waiting, hubs
+            nodes, comps, sigs, heads, leads, band_of, both = ([v[k] for k in hubs] for v in (nodes, comps, sigs, heads, leads, band_of, both))
             hubs, left, right, waiting = list(range(len(hubs))), [], [], 0
 
         for b in batches:
             columns = [c.to_pylist() for c in b.columns]
-            for key, salt, member, band, node, comp, sig, head in zip(*columns, strict=True):
+            for key, salt, member, band, node, comp, sig, head, lead in zip(*columns, strict=True):
                 if (key, salt) != group:
                     close()
-                    group, hubs = (key, salt), []
+                    group, hubs, names = (key, salt), [], set()
                     if waiting >= PAIRS or len(nodes) >= PAIRS // 8:
                         if left:
                             yield test()
@@ -147,16 +155,20 @@ def _promising(met: DataFrame, threshold: float, first_only: bool) -> DataFrame:
                     yield test()
                     drop()
                 (members if member else hubs).append(len(nodes))
+                if not member:
+                    names.add(node)
+                both.append(node in names)
                 nodes.append(node)
                 comps.append(comp)
                 sigs.append(sig)
                 heads.append(head)
+                leads.append(lead)
                 band_of.append(band)
         close()
         if left:
             yield test()
 
-    return met.select("key", "salt", "member", "band", "node", "comp", "sig", "heads").mapInArrow(run, "hub binary, node binary")
+    return met.select("key", "salt", "member", "band", "node", "comp", "sig", "heads", "leads").mapInArrow(run, "hub binary, node binary")
 
 
 def _linked(pairs: DataFrame, percent: int, shingle: int) -> DataFrame:
@@ -235,20 +247,23 @@ def near_duplicates(
     comps, hubs = None, 1
     while True:
         rows = state.select("node", "comp", F.explode("keys").alias("key"))
-        keys = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"))
-        keys = keys.where("lo <> hi").select("key", F.ceil(F.col("m") / SALT_ROWS).cast("int").alias("salts"))
-        opened = cut(rows.join(keys, "key").select("key", "node", "comp", "salts"))
+        # members of a bucket's largest component come first as hubs: they only meet those that are not connected to it
+        sizes = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
+        keys = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("comps"), F.sum("m").alias("m"), F.min_by("comp", F.struct(-F.col("m"), "comp")).alias("main"))
+        keys = keys.where("comps > 1").select("key", "main", F.ceil(F.col("m") / SALT_ROWS).cast("int").alias("salts"))
+        opened = cut(rows.join(keys, "key").select("key", "node", "comp", "salts", (F.col("comp") != F.col("main")).alias("aside")))
         if opened.isEmpty():
             break
-        order = Window.partitionBy("key").orderBy("node")
-        chosen = cut(opened.withColumn("place", F.row_number().over(order)).where(F.col("place") <= hubs).drop("place"))
+        order = Window.partitionBy("key").orderBy("aside", "node")
+        chosen = cut(opened.withColumn("place", F.row_number().over(order)).where(F.col("place") <= hubs).drop("place", "aside"))
         salt = F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")
         # a class meets its signature once and then goes to its buckets
         wide = sigs.select("node", "sig", "heads")
         of = opened.groupBy("node").agg(F.first("comp").alias("comp"), F.collect_list(F.struct("key", "salts")).alias("of"))
         members = of.join(wide, "node").select("node", "comp", "sig", "heads", F.explode("of").alias("of")).select("node", "comp", "sig", "heads", "of.key", "of.salts")
-        members = members.withColumns({"salt": salt, "member": F.lit(True)})
-        copies = chosen.join(wide, "node").withColumns({"salt": F.explode(F.sequence(F.lit(0), F.col("salts") - 1)), "member": F.lit(False)})
+        members = members.withColumns({"salt": salt, "member": F.lit(True), "leads": F.lit(None).cast("array<int>")})
+        leads = chosen.groupBy("node").agg(F.collect_list(F.shiftright("key", 32).cast("int")).alias("leads"))
+        copies = chosen.join(wide.join(leads, "node"), "node").withColumns({"salt": F.explode(F.sequence(F.lit(0), F.col("salts") - 1)), "member": F.lit(False)})
         met = members.unionByName(copies).withColumn("band", F.shiftright("key", 32).cast("int"))
         met = met.repartition("key", "salt").sortWithinPartitions("key", "salt", "member", "node")
         likely = cut(_promising(met, percent / 100, hubs > 1).distinct())
@@ -263,7 +278,7 @@ def near_duplicates(
         state = opened.groupBy("node").agg(F.collect_list("key").alias("keys")).join(gone, "node", "left").join(comps, "node", "left")
         state = cut(state.select("node", F.coalesce("component", "node").alias("comp"), F.array_except("keys", F.coalesce("gone", F.array().cast("array<bigint>"))).alias("keys")))
         hubs *= GROWTH
-        del rows, keys, opened, chosen, wide, of, members, copies, met, likely, found, links, gone
+        del rows, sizes, keys, opened, chosen, wide, of, members, leads, copies, met, likely, found, links, gone
         release(spark)
     if comps is not None:
         labels = named.join(comps, "node")

@@ -97,6 +97,25 @@ def test_near_duplicates_equal_brute_force(spark, percent, bands):
     assert [r["kept"] for r in rows if r["doc_id"] is None] == [True]
 
 
+def test_near_copies_meet_once_in_a_round(spark, monkeypatch):
+    """Near copies share most of their buckets; a pair comes from one of them, and what is not linked in the end was compared."""
+    rng, found, promising = random.Random(11), [], neardup._promising
+    monkeypatch.setattr(neardup, "_promising", lambda *a: found.append(promising(*a)) or found[-1])
+    base = words(rng, 150).split()
+    texts = [" ".join(f"x{rng.random()}" if rng.random() < rate else w for w in base) for rate in (0.0, 0.005, 0.02, 0.03) for _ in range(30)]
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(table(spark, texts), percent=85, bands=28).collect()}
+    sets, label = [brute_set(t) for t in texts], list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        both = len(sets[a] & sets[b])
+        if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both) and label[a] != label[b]:
+            least, most = sorted((label[a], label[b]))
+            label = [least if x == most else x for x in label]
+    assert got == dict(enumerate(label)) and 1 < len(set(label)) < 100
+    for pairs in found:
+        rows = [(r["hub"], r["node"]) for r in pairs.collect()]
+        assert len(rows) == len({frozenset(r) for r in rows})
+
+
 def test_near_duplicates_without_rows_and_with_repeated_rows(spark):
     assert neardup.near_duplicates(table(spark, [])).count() == 0
     one = table(spark, ["a b c d e f g"])
