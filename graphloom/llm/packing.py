@@ -46,9 +46,10 @@ PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 VISIBLE = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
 # str.split() also cuts at these four, which the tokenizer doesn't see as white space
 ODD = "\x1c\x1d\x1e\x1f"
-# str.lower() looks at the neighbours of sigma, the tokenizer doesn't; beyond the first plane the two know
-# different versions of Unicode
-OTHER = re.compile("[\u03a3\U00010000-\U0010ffff]")
+# str.lower() looks at the neighbours of sigma, the tokenizer doesn't; beyond the first plane, and where Python has no
+# character, the two know different versions of Unicode
+UNKNOWN = "".join(c for c in map(chr, range(0x80, 0x10000)) if unicodedata.category(c) == "Cn")
+OTHER = re.compile(f"[\u03a3\U00010000-\U0010ffff{UNKNOWN}]")
 
 
 class WordTokenizer:

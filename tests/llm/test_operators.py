@@ -7,6 +7,7 @@ import itertools
 import json
 import random
 import re
+import unicodedata
 import urllib.parse
 import zlib
 from functools import reduce
@@ -581,6 +582,15 @@ def test_tokenizer_keeps_to_its_memory(monkeypatch):
         assert len(t.chunks) < 100
 
 
+def test_tokenizer_on_every_letter_before_punctuation():
+    t = packing.WordTokenizer(WORD_VOCABULARY)
+    letters = [c for c in map(chr, range(0x10000)) if not "\ud800" <= c <= "\udfff" and not c.isspace()]
+    for k in range(0, len(letters), 500):
+        text = " ".join(f"{c}. x{c}'s,{c}!? ({c})-{c}{c}" for c in letters[k : k + 500])
+        text = unicodedata.normalize("NFC", text)
+        assert t.ids([text]) == [t.plain(text)], k
+
+
 def test_language_id(spark):
     rng = random.Random(12)
     stems = {"aa": ["ting", "wor", "ly", "the"], "bb": ["keit", "ung", "ßen", "der"], "cc": ["ción", "ñas", "los", "que"]}
