@@ -16,11 +16,11 @@ from __future__ import annotations
 
 import heapq
 import re
+import string
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,7 @@ from graphloom.llm.common import cut, sums_before, text_groups
 from graphloom.operators.iterate import Rounds
 
 #: A worker's memory for ids of chunks, counted with so many bytes for each entry besides its chunk and ids.
-CACHE_BYTES, ENTRY_BYTES = 48 << 20, 230
+CACHE_BYTES, ENTRY_BYTES = 96 << 20, 230
 #: Rows of a range, and bundles that a sequence holds at least.
 ROWS, BUNDLES = 1_000_000, 32
 #: Items of over a half, a third ... of the capacity open sequences together.
@@ -46,28 +46,53 @@ PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 VISIBLE = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
 # str.split() also cuts at these four, which the tokenizer doesn't see as white space
 ODD = "\x1c\x1d\x1e\x1f"
+# ASCII characters that are neither letters, digits nor white space
+PUNCTUATION = string.punctuation
 # str.lower() looks at the neighbours of sigma, the tokenizer doesn't; beyond the first plane, and where Python has no
 # character, the two know different versions of Unicode
 UNKNOWN = "".join(c for c in map(chr, range(0x80, 0x10000)) if unicodedata.category(c) == "Cn")
 OTHER = re.compile(f"[\u03a3\U00010000-\U0010ffff{UNKNOWN}]")
 
 
+class Chunks(dict[str, bytes]):
+    """Ids of chunks between blanks, as bytes; a chunk that is not there comes from ``before`` or is made by ``merge``, a
+    piece's ids, and stays.  ``room`` falls by the bytes that come in.
+
+    Tokens never span white space nor two pieces, so the ids of a chunk are those of its pieces, each a chunk of its own.
+    Punctuation behind a letter or digit always is a piece."""
+
+    def __init__(self, merge: Callable[[str], bytes], room: int, before: dict[str, bytes]):
+        super().__init__()
+        self.merge, self.room, self.before = merge, room, before
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.before.pop(chunk, None)
+        if ids is None:
+            word = chunk.rstrip(PUNCTUATION)
+            if len(word) < len(chunk) and word[-1:].isalnum():
+                ids = self[word] + self[chunk[len(word) :]]
+            elif chunk.isalpha() or (pieces := PIECES.findall(chunk)) == [chunk]:
+                ids = self.merge(chunk)
+            else:
+                ids = b"".join([self[p] for p in pieces])
+        self[chunk] = ids
+        self.room -= 2 * len(chunk) + len(ids) + ENTRY_BYTES
+        return ids
+
+
 class WordTokenizer:
     """Ids as the tokenizer file gives them, as bytes of little-endian 32-bit numbers.
 
-    Tokens never span white space nor two pieces, so the ids of a chunk between blanks are those of its pieces.
-    A group of texts is cut into chunks, each distinct chunk that is new goes through the tokenizer's merges once, and the
-    ids of chunks are kept for later groups, up to ``CACHE_BYTES``."""
+    A chunk of a text goes through the tokenizer's merges once and its ids are kept.  When half of ``CACHE_BYTES`` is full,
+    the chunks in it wait to be met again while the other half fills, so frequent ones stay and rare ones go."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.merges = self.tokenizer.model
-        self.chunks: dict[str, bytes] = {}
-        self.room = CACHE_BYTES
         self.names = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.chunks = self._empty({})
 
     def plain(self, text: str) -> bytes:
         """By the tokenizer alone."""
@@ -80,30 +105,27 @@ class WordTokenizer:
         return not ("<|" in text and any(s in text for s in self.special) or any(c in text for c in ODD))
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        cut = [t.lower().split() if self.simple(t) else None for t in texts]
-        known, own = self.chunks, dict.fromkeys(chain.from_iterable(filter(None, cut)))
-        new = self._learn([c for c in own if c not in known])
-        for c in own:
-            own[c] = new[c] if c in new else known[c]
-        get = own.__getitem__
-        out = [self.plain(t) if chunks is None else b"".join(map(get, chunks)) for t, chunks in zip(texts, cut, strict=True)]
-        self.room -= sum(map(len, new)) * 2 + sum(map(len, new.values())) + ENTRY_BYTES * len(new)
-        if self.room < 0:
-            known.clear()
-            self.room = CACHE_BYTES
-        else:
-            known.update(new)
-        return out
-
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        cut = list(map(PIECES.findall, chunks))
-        pieces = dict.fromkeys(chain.from_iterable(cut))
-        merge, name = self.merges.tokenize, self.names.__getitem__
-        for p in pieces:
-            visible = p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(VISIBLE)
-            pieces[p] = b"".join([name(t.id) for t in merge(visible)])
-        get = pieces.__getitem__
-        return {c: b"".join(map(get, ps)) for c, ps in zip(chunks, cut, strict=True)}
+        return list(map(self.of, texts))
+
+    def of(self, text: str) -> bytes:
+        if not self.simple(text):
+            return self.plain(text)
+        known = self.chunks
+        ids = b"".join(map(known.__getitem__, text.lower().split()))
+        if known.room < 0:
+            known.before = {}
+            # what a single long text has brought may be too much to keep
+            self.chunks = self._empty({} if known.room < -CACHE_BYTES // 2 else known)
+        return ids
+
+    def _empty(self, before: dict[str, bytes]) -> Chunks:
+        merge, name = self.tokenizer.model.tokenize, self.names.__getitem__
+
+        def ids(piece: str) -> bytes:
+            visible = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(VISIBLE)
+            return b"".join([name(t.id) for t in merge(visible)])
+
+        return Chunks(ids, CACHE_BYTES // 2, before)
 
 
 @lru_cache(maxsize=2)

@@ -10,6 +10,7 @@ import re
 import unicodedata
 import urllib.parse
 import zlib
+from collections import Counter
 from functools import reduce
 
 import numpy as np
@@ -582,6 +583,39 @@ def test_tokenizer_keeps_to_its_memory(monkeypatch):
         assert len(t.chunks) < 100
 
 
+def test_tokenizer_keeps_what_comes_again(monkeypatch):
+    import tokenizers
+
+    class Counted:
+        """The tokenizer as its own model, which counts the pieces that go through its merges."""
+
+        def __init__(self, real):
+            self.real, self.model, self.merged = real, self, Counter()
+
+        def tokenize(self, piece):
+            self.merged[piece] += 1
+            return self.real.model.tokenize(piece)
+
+        def __getattr__(self, name):
+            return getattr(self.real, name)
+
+    real = tokenizers.Tokenizer.from_file(WORD_VOCABULARY)
+    monkeypatch.setattr(tokenizers, "Tokenizer", type("Files", (), {"from_file": lambda path: Counted(real)}))
+    monkeypatch.setattr(packing, "CACHE_BYTES", 40_000)
+    t = packing.WordTokenizer(WORD_VOCABULARY)
+    rng = random.Random(4)
+    rare = ["".join(rng.choices("abcdefghij", k=9)) for _ in range(2000)]
+    for k in range(0, len(rare), 20):
+        text = f"frequent words, frequent (words). {' '.join(rare[k : k + 20])} {rare[k]}, {rare[k]}."
+        assert t.ids([text]) == [t.plain(text)]
+        kept = {**t.chunks.before, **t.chunks}
+        assert sum(2 * len(c) + len(ids) + packing.ENTRY_BYTES for c, ids in kept.items()) < packing.CACHE_BYTES + 10_000
+    assert set(t.tokenizer.merged.values()) == {1}  # frequent ones stay, punctuation makes no new word
+    long = " ".join(f"{a}{b}" for a, b in zip(rare, rare[1:]))
+    assert t.ids([long, "after it"]) == [t.plain(long), t.plain("after it")]
+    assert len(t.chunks) == 2 and not t.chunks.before
+
+
 def test_tokenizer_on_every_letter_before_punctuation():
     t = packing.WordTokenizer(WORD_VOCABULARY)
     letters = [c for c in map(chr, range(0x10000)) if not "\ud800" <= c <= "\udfff" and not c.isspace()]
